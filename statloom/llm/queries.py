@@ -5,19 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import decontaminate, mix
 from .common import read
+from .lm_score import lm_scores
 from .near_dup import near_duplicate_classes
+from .secrets import scan
+
+
+def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
 
 
 def op8_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL}
