@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Members of a bucket that one window task orders; larger buckets are cut by the next band's hash.
 PIECE = 2048
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
+#: Words in a task's table of hashes before it is emptied: bounds a worker's memory.
+TABLE = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,16 +44,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(text: str | None, known: dict[bytes, int] | None = None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of the lower-cased words (as 64-bit hashes, sorted) and their counts. A text of fewer than ``k`` words, but not none, is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(_known) > 400_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    x = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    known = {} if known is None else known
+    if len(known) > TABLE:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    x = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(k, len(x))
     h = np.zeros(len(x) - k + 1, np.uint64)
     for j in range(k):
@@ -86,8 +88,9 @@ def prob_min_hash(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarr
 
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, int] = {}
     for b in batches:
-        sets = [shingle_hashes(t.as_py()) for t in b.column("text")]
+        sets = [shingle_hashes(t.as_py(), known) for t in b.column("text")]
         ids = prob_min_hash(sets, bands * rows).reshape(len(sets), bands, rows)
         h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), ids.shape[:2]) * _GOLD
         for j in range(rows):
@@ -99,8 +102,9 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, int] = {}
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([shingle_hashes(t.as_py())[0].tobytes() for t in b.column("text")], pa.binary())], ["h", "s"])
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([shingle_hashes(t.as_py(), known)[0].tobytes() for t in b.column("text")], pa.binary())], ["h", "s"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
