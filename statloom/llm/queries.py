@@ -10,17 +10,32 @@ from . import decontaminate, mix
 from .common import read
 from .lm_score import lm_scores
 from .near_dup import near_duplicate_classes
+from .quality_net import quality_scores
+from .quality_rules import quality_rules
 from .secrets import scan
+from .toxicity import toxicity
 
 
 def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op5_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
