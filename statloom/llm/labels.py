@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: The most labelled rows that a classifier is fitted on (least hash of the id). Scores, counts and statistics cover all rows.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 
 
 def adam(params: dict[str, np.ndarray], grad, steps: int, rate: float) -> dict[str, np.ndarray]:

@@ -1,6 +1,6 @@
 """Toxicity by a cumulative-link ordinal regression on sparse text features.
 
-Features are the different words of a text and their leading 4 to 6 characters
+Features are the different words of a text and their leading 3 to 7 characters
 (which catch the inflected forms of a stem). Grades are ordered: 0 is harmless,
 1 to 3 are rising severities. One weight vector is shared by all thresholds,
 
@@ -8,7 +8,7 @@ Features are the different words of a text and their leading 4 to 6 characters
 
 and the expected severity is the sum of these probabilities over k. Labels may
 carry grades in a column of their own; from two-valued labels the grades of toxic
-texts are the thirds of their density of features that mark toxic texts.
+texts are the thirds of their number of different words that mark toxic texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, map_rows
 from .labels import TRAIN_ROWS, adam, sigmoid
 
-GRADES, FEATURES, LEAST_TEXTS = 3, 4096, 4
+GRADES, FEATURES, LEAST_TEXTS, LEAST_LIFT = 3, 4096, 5, 10
 #: Words in a worker's table before it is emptied.
 TABLE = 100_000
 _word = re.compile(r"[^\W\d_]+")
@@ -33,7 +33,7 @@ _word = re.compile(r"[^\W\d_]+")
 
 def parts(word: str) -> list[str]:
     """The features of a word: itself and its leading characters."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in (3, 4, 5, 6, 7) if len(word) > n)]
 
 
 def words_of(text: str | None) -> Counter[str]:
@@ -41,7 +41,7 @@ def words_of(text: str | None) -> Counter[str]:
 
 
 def select_features(texts: list[Counter[str]], toxic: np.ndarray, most: int = FEATURES) -> list[str]:
-    """The features that split toxic from harmless texts best, by the likelihood ratio of their presence; only those beyond chance."""
+    """The features that split toxic from harmless texts best, by the likelihood ratio of their presence; only those beyond chance that are LEAST_LIFT times as frequent in toxic texts."""
     seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
     for c, t in zip(texts, toxic, strict=True):
         seen[bool(t)].update({p for w in c for p in parts(w)})
@@ -49,7 +49,7 @@ def select_features(texts: list[Counter[str]], toxic: np.ndarray, most: int = FE
     out = []
     for f, a in seen[True].items():
         b = seen[False][f]
-        if a + b < LEAST_TEXTS or a / n1 <= b / n0:
+        if a + b < LEAST_TEXTS or a / n1 <= LEAST_LIFT * (b + 0.5) / n0:
             continue
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
         g = 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))
@@ -66,8 +66,8 @@ def rows_of(texts: list[Counter[str]], place: dict[str, int]) -> tuple[np.ndarra
 
 
 def grades_of(texts: list[Counter[str]], toxic: np.ndarray, place: dict[str, int]) -> np.ndarray:
-    """Grades from two-valued labels: 0, or 1 to GRADES by thirds of the share of marked words."""
-    share = np.array([sum(k for w, k in c.items() if any(p in place for p in parts(w))) / max(1, sum(c.values())) for c in texts])
+    """Grades from two-valued labels: 0, or 1 to GRADES by thirds of the number of different marked words."""
+    share = np.array([sum(any(p in place for p in parts(w)) for w in c) if t else 0 for c, t in zip(texts, toxic, strict=True)])
     cuts = np.quantile(share[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
     return np.where(toxic, 1 + np.searchsorted(cuts, share, side="right"), 0)
 
@@ -93,8 +93,8 @@ def fit(texts: list[Counter[str]], grade: np.ndarray, most: int = FEATURES) -> t
 
     p = {"w": np.full(len(names), 0.5), "t": np.concatenate([[2.0], np.zeros(GRADES - 1)])}
     if len(texts):
-        for _ in range(6):  # features were chosen because they mark toxic texts: no weight may excuse one
-            p = adam(p, grad, 100, 0.05)
+        for rate in (0.3, 0.3, 0.3, 0.1, 0.1, 0.03):  # features were chosen because they mark toxic texts: no weight may excuse one
+            p = adam(p, grad, 100, rate)
             p["w"] = np.maximum(p["w"], 0)
     theta = p["t"][0] + np.concatenate([[0], np.cumsum(np.exp(p["t"][1:]))])
     return dict(zip(names, p["w"].tolist(), strict=True)), theta
