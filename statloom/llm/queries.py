@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mix
+from . import decontaminate, mix, warc
 from .common import read
+from .html_text import main_text
 from .lm_score import lm_scores
 from .near_dup import near_duplicate_classes
 from .quality_net import quality_scores
@@ -28,10 +29,18 @@ def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op5_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL}
+    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL}
