@@ -69,4 +69,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     if keep is not None:
         of = of.filter(keep(F.col("__id")))
     of = of.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(of), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(of), F.col("doc_id") == F.col("__id"))
+    return rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(bound).select("doc_id", "text", "y")
+
+
+def text_sample(docs: DataFrame, bound: int) -> list[str | None]:
+    """At most ``bound`` texts, those with the least hash of their id. Ids are chosen first, so that tasks send no texts but the chosen ones."""
+    ids = docs.select(F.col("doc_id").alias("__id")).dropna().orderBy(F.xxhash64("__id"), "__id").limit(bound).distinct()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    return [r.text for r in rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(bound).collect()]
