@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ArraySizeError, InvalidArgumentError
+from ..workers import importable
 from .regression import coefficient_statistics, gram, unpack
 
 
@@ -94,7 +95,7 @@ def fit_rows(df: DataFrame, nway: int, factors: Sequence[str], y: str, kept: Seq
             yield pd.DataFrame(out, columns=[*by, "term", "coefficient", "c", "sse", "n", "p"])
 
     schema = T.StructType([*[g.schema[b] for b in by], *[T.StructField(k, t) for k, t in (("term", T.IntegerType()), ("coefficient", T.DoubleType()), ("c", T.DoubleType()), ("sse", T.DoubleType()), ("n", T.LongType()), ("p", T.IntegerType()))]])
-    return coefficient_statistics(g.mapInPandas(solve, schema), by, alpha).select(*by, "term", "coefficient", "standard_error", "t_statistic", "probability", "confidence_interval")
+    return coefficient_statistics(importable(g).mapInPandas(solve, schema), by, alpha).select(*by, "term", F.coalesce("coefficient", F.lit(float("nan"))).alias("coefficient"), "standard_error", "t_statistic", "probability", "confidence_interval")
 
 
 def fit_model(df: DataFrame, nway: int, factors: Sequence[str], y: str, kept: Sequence[bool] | None = None, alpha: float = 0.05) -> DoeModel:

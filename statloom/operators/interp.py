@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import ArraySizeError, InvalidArgumentError, NonMonotonicError, PolynomialOrderError
+from ..workers import importable
 
 SPLINE_QUADRATIC_OVER_INTERVAL, SPLINE_KNOWN_FIRST_DERIVATIVE, SPLINE_KNOWN_SECOND_DERIVATIVE, SPLINE_CONTINUOUS_THIRD_DERIVATIVE = 1000, 1001, 1002, 1003
 
@@ -129,7 +130,7 @@ def spline(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, begin:
         return out
 
     names = ["start", "x0", "c0", "c1", "c2", "c3"]
-    seg = rows.groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(c, T.DoubleType()) for c in names]]))
+    seg = importable(rows).groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(c, T.DoubleType()) for c in names]]))
     seg = seg.select(*by, "start", F.struct(*names[1:]).alias("seg"))
     s, d = F.col("seg"), F.col("__x") - F.col("seg.x0")
     return _asof(seg, values, at, by, s["c0"] + d * (s["c1"] + d * (s["c2"] + d * s["c3"])))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import ArraySizeError, InvalidArgumentError
 from ..functions.distributions import Distribution, LogNormalDistribution
+from ..workers import importable
 
 
 @dataclass
@@ -162,7 +163,7 @@ def sample(spark: SparkSession, x, y, target: Target, chains: int = 4, iteration
                 s = chain.get_chain()
                 yield pd.DataFrame({"chain": int(c), "iter": np.arange(1, iterations + 1, dtype=np.int32), "params": list(s[:, :-1]), "variance": s[:, -1], "accepted": moves})
 
-    return spark.range(0, chains, 1, chains).mapInPandas(run, schema)
+    return importable(spark).range(0, chains, 1, chains).mapInPandas(run, schema)
 
 
 def burn_in(chains: DataFrame, share: float) -> DataFrame:

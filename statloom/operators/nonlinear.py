@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..errors import ArraySizeError, InvalidInputError, ToleranceTooSmallError, TooFewIterationsError, UnderdefinedProblemError
 from ..functions import kernel as K
 from ..functions.distributions import TDistribution
+from ..workers import importable
 
 LEVENBERG_MARQUARDT_UPDATE, QUADRATIC_UPDATE, NIELSEN_UPDATE = 1, 2, 3
 
@@ -199,4 +200,4 @@ def nonlinear_least_squares(df: DataFrame, model: Model, x: str, y: str, params:
         return pd.DataFrame([[*keys, i, float(p), *s.values(), got.iterations, bool(got.converged_on)] for i, (p, s) in enumerate(zip(got.params, statistics(got, alpha), strict=True))], columns=[*by, *names])
 
     kinds = [T.IntegerType(), *[T.DoubleType()] * 5, T.IntegerType(), T.BooleanType()]
-    return rows.groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
+    return importable(rows).groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import InvalidInputError
 from ..functions import kernel as K
 from ..functions.distributions import TDistribution
+from ..workers import importable
 
 
 def r_squared(df: DataFrame, measured: str, modelled: str, by: Sequence[str] = (), parameters: int | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 
     g = gram(df, columns, by)
     schema = T.StructType([*[g.schema[b] for b in by], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
-    return g.mapInPandas(invert, schema)
+    return importable(g).mapInPandas(invert, schema)
 
 
 def coefficient_statistics(fit: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -137,7 +138,7 @@ def linear_least_squares(df: DataFrame, x: str, y: str, order: int = 1, intercep
     power = lambda k: F.lit(1.0) if k == 0 else z if k == 1 else F.pow(z, F.lit(float(k)))
     sums = rows.groupBy(*by).agg(F.array(*[F.sum(power(k)) for k in range(2 * order + 1)]).alias("s"), F.array(*[F.sum(power(k) * w) for k in range(order + 1)]).alias("t"), F.sum(w * w).alias("yy"), F.count(F.lit(1)).alias("n"), F.first("m").alias("m"), F.first("d").alias("d"), F.first("y_mid").alias("y_mid"))
     schema = T.StructType([*[sums.schema[b] for b in by], *[T.StructField(k, t) for k, t in (("term", T.IntegerType()), ("coefficient", T.DoubleType()), ("c", T.DoubleType()), ("sse", T.DoubleType()), ("n", T.LongType()), ("p", T.IntegerType()))]])
-    fit = sums.mapInPandas(lambda it: _solve(it, by, order, intercept), schema)
+    fit = importable(sums).mapInPandas(lambda it: _solve(it, by, order, intercept), schema)
     stats = coefficient_statistics(fit, by, alpha)
     return stats.select(*by, "term", "coefficient", "standard_error", "t_statistic", "probability", "confidence_interval")
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..errors import InvalidArgumentError
 from ..functions.distributions import Distribution, MultivariateNormalDistribution
+from ..workers import importable
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -123,7 +124,7 @@ def bootstrap_population(df: DataFrame, value: str, statistic: str | Callable, o
         out["statistic"] = float(statistic(part["v"].to_numpy()))
         return out
 
-    return rows.groupBy(*by, "b").applyInPandas(one, schema)
+    return importable(rows).groupBy(*by, "b").applyInPandas(one, schema)
 
 
 def bootstrap(df: DataFrame, value: str, statistic: str | Callable = "mean", order: Sequence[str] = (), samples: int = 10_000, method: str = "random", alpha: float = 0.05, by: Sequence[str] = (), seed: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import InvalidArgumentError
+from ..workers import importable
 
 
 def difference(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -127,4 +128,4 @@ def lowess(df: DataFrame, x: str, y: str, fraction: float = 0.2, steps: int = 2,
         return part[names]
 
     schema = T.StructType([*rows.schema, *[T.StructField(c, T.DoubleType()) for c in names[-3:]]])
-    return rows.groupBy(*by).applyInPandas(one, schema)
+    return importable(rows).groupBy(*by).applyInPandas(one, schema)
