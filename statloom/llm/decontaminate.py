@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, written
+from .common import ascii_lower, fresh, written
 
 #: A word of this operator: digits, a-z and everything beyond ASCII.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,10 +88,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    _, hits = window_hits(rows.select(F.col("__row").alias("row"), "text"), items, window)
-    bad = written(hits.select(F.col("row").alias("__row")).distinct())
-    return rows.join(bad, "__row", "left_anti").drop("__row")
+    row = fresh(docs, "__row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    _, hits = window_hits(rows.select(F.col(row).alias("row"), "text"), items, window)
+    bad = written(hits.select(F.col("row").alias(row)).distinct())
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 SQL = r"""

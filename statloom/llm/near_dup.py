@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, map_rows, written
+from .common import WORD, fresh, map_rows, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Members of a bucket that one window task orders; larger buckets are cut by the next band's hash.
@@ -216,8 +216,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: that with the least doc_id (nulls first; of equal ids, that with the least text key; of equal rows, one). Texts without words all stay."""
     of = near_duplicate_classes(docs, threshold)
-    stay = of.filter("n > 0").groupBy("class_key").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.h").alias("__k"))
-    rows = docs.withColumn("__h", text_key())
+    i, k, h = (fresh(docs, x) for x in ("__i", "__k", "__h"))
+    stay = of.filter("n > 0").groupBy("class_key").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.h").alias(k))
+    rows = docs.withColumn(h, text_key())
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    one = rows.filter(worded).join(stay, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left_semi")
-    return one.dropDuplicates(["doc_id", "__h"]).unionByName(rows.filter(~worded)).drop("__h")
+    one = rows.filter(worded).join(stay, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left_semi")
+    return one.dropDuplicates(["doc_id", h]).unionByName(rows.filter(~worded)).select(*docs.columns)

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 #: Words that make up names, paths and placeholders rather than keys.
 DICTIONARY = "example|sample|test|dummy|placeholder|changeme|your|here|insert|secret|password|token|user|admin|default|value|config|local|host|image|file|page|index|static|assets|version|release|build|content|download|article|update|mail|www|http|https|com|org|net|html|json|png|jpg|pdf|null|none|true|false|xxxx|0000|1234|abcd|the|and|tion|ing|ed|er|en|th|on|re|an|in|sch|ung|lich|keit|heit|der|die|que|ment|eau|aux|les|cion|ado|mente|esta|ar|es|os"
 #: Names before a value that call it secret, and names that call it public.
@@ -221,16 +223,15 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SEC
 
     Only the few rows with a secret are joined; spans of one text never overlap.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    spans = scan(rows, labelled, threshold, ["__row"]).filter("is_secret").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    from .common import written
-
-    joined = rows.join(written(spans), "__row", "left")
+    row, marks = fresh(docs, "__row"), fresh(docs, "__spans")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    spans = scan(rows.select(row, "text"), labelled, threshold, [row]).filter("is_secret").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(marks))
+    joined = rows.join(written(spans), row, "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at"))
-    done = F.aggregate("__spans", zero, step)
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
+    done = F.aggregate(marks, zero, step)
+    text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+        joined = joined.withColumn("n_chars", F.when(F.col(marks).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return joined.select(*docs.columns)
