@@ -18,7 +18,6 @@ from statloom.llm.quality_net import quality_scores
 from statloom.llm.quality_rules import learn, quality_rules, repeat_words, text_counts
 
 DATA = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="module")
@@ -283,7 +282,8 @@ def test_signatures_estimate_similarity():
     assert (s[0] == s[1]).mean() == pytest.approx(300 / 500, abs=0.05) and not s[2].any()
     w = near_dup.prob_min_hash([(a[:2], np.array([1, 1])), (a[:2], np.array([1, 20]))], 4000)
     heavy, light = 1 + math.log(20), 1.0
-    want = 1 / (1 + heavy) * 1 + 1 / max(2, 1 + heavy) if False else sum(1 / sum(max(p / x, q / z) for p, q in ((light, light), (light, heavy))) for x, z in ((light, light), (light, heavy)))
+    pairs = ((light, light), (light, heavy))
+    want = sum(1 / sum(max(p / x, q / z) for p, q in pairs) for x, z in pairs)
     assert (w[0] == w[1]).mean() == pytest.approx(want, abs=0.05)
 
 
