@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir
+from .common import map_rows, shared_dir, written
 
 CHUNK_BYTES, LEAST_SHARED = 64 * 1024, 1000
+#: Up to this many groups of equal payloads (some 80 bytes each) are broadcast.
+BROADCAST_KEPT = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -142,13 +144,17 @@ def records(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
     Of equal payloads of ``least`` bytes and more the one with the largest
     page_id is kept (null ids are the least; rows with that same id are all kept).
+    Groups of equal payloads are broadcast if there are few, so that payloads are
+    not shuffled; else both sides are shuffled by digest.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     name = lambda i, r: F.concat(F.lit("urn:statloom:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), r.cast("string"))
     shared = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("i"), (-F.col("row")).alias("r"))).alias("k"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     kept = shared.select(F.col("digest").alias("d_"), F.col("size").alias("s_"), (-F.col("k.r")).alias("kept_row"), F.col("k.i").alias("kept_id"))
-    rows = rows.join(kept, (F.col("digest") == F.col("d_")) & (F.col("size") == F.col("s_")), "left")
+    kept = written(kept)
+    few = len(kept.limit(BROADCAST_KEPT + 1).select("kept_row").collect()) <= BROADCAST_KEPT
+    rows = rows.join(F.broadcast(kept) if few else kept, (F.col("digest") == F.col("d_")) & (F.col("size") == F.col("s_")), "left")
     revisit = F.col("kept_id").isNotNull() & (F.col("kept_id") != F.coalesce(F.col("page_id"), F.lit(-(2**63))))
     ids = F.when(revisit, F.nullif("kept_id", F.lit(-(2**63))).cast("string"))
     fields = F.create_map(F.lit("X-Page-ID"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("X-Refers-To-Page-ID"), F.coalesce(ids, F.lit("")), F.lit("X-URL-Null"), F.col("url").isNull().cast("string"))
