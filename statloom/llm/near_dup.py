@@ -9,15 +9,18 @@ Jaccard similarity of their shingles. Registers are hashed in bands; texts that
 share a band are candidates, and a candidate pair becomes a link only if the
 Jaccard similarity of the two whole shingle sets is at least the threshold.
 
-No bucket is expanded to pairs. The first round compares each member of a bucket
-with the bucket's least text; buckets of one class are then left out, and the
-later rounds compare neighbours in the order of each of the three following bands,
-between different classes only, until a round brings no new link. Work per round
-is linear in the members of the buckets.
+Buckets are first thinned out by rounds that are linear in their members: each
+member meets the bucket's least text; then, in buckets of several classes, its
+neighbours in the order of each of the three following bands; then a text of
+another class, drawn anew in each round, as long as a round halves what is mixed.
+What is still mixed is finished exactly: the texts of all mixed buckets are joined on the
+rarest shingles of each (prefix filter), in salted pieces and between different
+classes only, and every pair that can reach the threshold is verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,10 @@ from pyspark.sql.window import Window
 from .common import WORD, fresh, map_rows, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
-#: Members of a bucket that one window task orders; larger buckets are cut by the next band's hash.
+#: Members of a bucket that one window task orders; larger buckets are cut by the next band's hash. Of a shingle's texts in the exact join, the size of a salted piece.
 PIECE = 2048
+#: Cells that shingles are counted in to order them by rarity. Any order is exact; a good one makes fewer pairs.
+CELLS = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Words in a task's table of hashes before it is emptied: bounds a worker's memory.
 TABLE = 100_000
@@ -118,6 +123,47 @@ def _overlap(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles per cell, summed within the task."""
+    n = np.zeros(CELLS, np.int64)
+    for b in batches:
+        for s in b.column("s"):
+            n += np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(n)
+    for i in range(0, len(at), 65_536):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65_536]), pa.array(n[at[i : i + 65_536]])], ["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text with their places in the order by rarity: two texts that reach the threshold share one of them."""
+    for b in batches:
+        size, token, place = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for s in b.column("s"):
+            x = np.frombuffer(s.as_buffer(), np.uint64)
+            k = min(len(x), len(x) - math.ceil(threshold * len(x) - 1e-9) + 1)
+            token.append(x[np.lexsort((x, common[(x % np.uint64(CELLS)).astype(np.int64)]))[:k]])
+            place.append(np.arange(k))
+            size.append(k)
+        row = pa.array(np.repeat(np.arange(len(size)), size), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(place), pa.int64()), *[b.column(c).take(row) for c in ("h", "n", "c")]], ["token", "place", "h", "n", "c"])
+
+
+def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, na, b, nb) of different classes that can reach the threshold, none left out. ``texts`` has h, n, c and s (shingles)."""
+    common = np.zeros(CELLS, np.int64)
+    for r in map_rows(texts.select("s"), _cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        common[r.cell] = r.n
+    of = written(map_rows(texts.select("h", "n", "c", "s"), lambda it: _prefixes(it, threshold, common), "token long, place long, h binary, n long, c binary"))
+    token = of.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least_c"), F.max("c").alias("most_c")).filter("least_c <> most_c")
+    of = of.join(token.select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "token")
+    one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"))
+    two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"))
+    # at the first shingle that two texts share, no more can be shared than what follows it in both
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    can = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (most >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6)
+    return one.join(two, (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & can).select("a", "na", "b", "nb")
+
+
 def text_key(col: str = "text"):
     """16 bytes that stand for a text; null stands for itself."""
     return F.unhex(F.md5(F.col(col)))
@@ -157,6 +203,12 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
     return written(label.join(to, "c", "left").select("h", F.coalesce("nc", "c").alias("c")))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(h, n) and (h_, n_) as (a, na) and (b, nb), a being the less."""
+    low = F.col("h") < F.col("h_")
+    return pairs.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_")).alias("na"), F.when(low, F.col("n_")).otherwise(F.col("n")).alias("nb"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document row: doc_id, class_id, class_size, n (distinct shingles), h (16 bytes of the text), class_key (the least h of the class).
 
@@ -188,24 +240,32 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     first = member.filter("h <> first_h").select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("first_h").alias("b")).distinct()
     label = active.select("h", F.col("h").alias("c"))
     label = components(verified(first.join(count.select(F.col("h").alias("b"), F.col("n").alias("nb")), "b")), label)
+    turn, rows_before = 0, 0
     while True:
         now = member.join(label, "h")
         mixed = now.groupBy("band", "key").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c")).filter("least_c <> most_c")
         now = written(now.join(mixed.select("band", "key"), ["band", "key"]))
-        if now.isEmpty():
+        left = now.count()
+        if not left:
             break
-        pairs = None
-        for j in (1, 2, 3):
-            piece = F.pmod(F.xxhash64(f"next{j}"), F.ceil(F.col("size") / PIECE))
-            order = Window.partitionBy("band", "key", piece).orderBy(f"next{j}", f"next{j % 3 + 1}", "n", "h")
-            p = now.select("h", "n", "c", *[F.lag(x).over(order).alias(f"{x}_") for x in ("h", "n", "c")]).filter("h_ is not null and c <> c_")
-            low = F.col("h") < F.col("h_")
-            p = p.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_")).alias("na"), F.when(low, F.col("n_")).otherwise(F.col("n")).alias("nb"))
-            pairs = p if pairs is None else pairs.unionByName(p)
-        links = verified(pairs)
-        if links.isEmpty():
+        if turn > 1 and 2 * left > rows_before:  # what is left needs all pairs
+            links = verified(prefix_pairs(written(now.select("h", "n", "c").distinct().join(sets, "h")), threshold))
+            label = components(links, label)
             break
-        label = components(links, label)
+        if turn:  # a text of the first class in an order that is new in each round; its own class meets one of the last class
+            x = F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), F.xxhash64("h", F.lit(turn)).alias("y"), "h", "n", "c")
+            ends = now.groupBy("band", "key").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+            other = F.when(F.col("c") == F.col("lo.c"), F.col("hi")).otherwise(F.col("lo"))
+            pairs = _ordered(now.join(ends, ["band", "key"]).select("h", "n", "c", other["h"].alias("h_"), other["n"].alias("n_"), other["c"].alias("c_")).filter("c <> c_"))
+        else:
+            pairs = None
+            for j in (1, 2, 3):
+                piece = F.pmod(F.xxhash64(f"next{j}"), F.ceil(F.col("size") / PIECE))
+                order = Window.partitionBy("band", "key", piece).orderBy(f"next{j}", f"next{j % 3 + 1}", "n", "h")
+                p = _ordered(now.select("h", "n", "c", *[F.lag(x).over(order).alias(f"{x}_") for x in ("h", "n", "c")]).filter("h_ is not null and c <> c_"))
+                pairs = p if pairs is None else pairs.unionByName(p)
+        label = components(verified(pairs), label)
+        turn, rows_before = turn + 1, left
     of = signed.join(label, "h", "left").select("doc_id", "h", "n", F.coalesce("c", "h").alias("c"))
     named = of.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("n") == 0

@@ -273,6 +273,21 @@ def test_chains_of_copies(spark):
     assert got == classes(rows) and got[17] == 0
 
 
+def test_mixed_buckets_are_finished(spark):
+    """With one band all texts of a template meet in few buckets, and copies are neighbours in no order."""
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for k in range(60):
+        own = [f"u{k}x{i}" for i in range(60)]
+        rows += [(k, " ".join(template + own)), (100 + k, " ".join(template + own[: 59 - k % 7]))]
+    want, sets = classes(rows), [near_dup.shingle_hashes(t) for _, t in rows]
+    assert len(set(want.values())) == 60
+    register = dict(zip([i for i, _ in rows], near_dup.prob_min_hash(sets, 1)[:, 0].tolist(), strict=True))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    assert all(want[got[i]] == want[i] for i in got)
+    assert [k for k in range(60) if register[k] == register[100 + k] and got[k] != got[100 + k]] == []
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(1, 2**63, 400).astype(np.uint64))
