@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Every distinct text becomes a weighted set of five-word shingles (weight
-``1 + ln tf``). Each shingle is a Poisson process with its weight as rate whose
+Every distinct text becomes a set of five-word shingles, all of weight 1: links are
+judged on sets, and only equal weights make the probability Jaccard similarity the
+Jaccard similarity of the sets. Each shingle is a Poisson process with its weight as rate whose
 arrivals fall on random registers; a register keeps the shingle that arrives
 first, and a shingle is given up once its next arrival is later than every
-register's (ProbMinHash). Two texts agree in a register with the probability
-Jaccard similarity of their shingles. Registers are hashed in bands; texts that
+register's (ProbMinHash). Two texts agree in a register with the Jaccard similarity
+of their shingles. Registers are hashed in bands; texts that
 share a band are candidates, and a candidate pair becomes a link only if the
 Jaccard similarity of the two whole shingle sets is at least the threshold.
 
@@ -96,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
     known: dict[bytes, int] = {}
     for b in batches:
         sets = [shingle_hashes(t.as_py(), known) for t in b.column("text")]
-        ids = prob_min_hash(sets, bands * rows).reshape(len(sets), bands, rows)
+        ids = prob_min_hash([(s, np.ones_like(c)) for s, c in sets], bands * rows).reshape(len(sets), bands, rows)
         h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), ids.shape[:2]) * _GOLD
         for j in range(rows):
             h = _mix(h + ids[:, :, j])

@@ -302,6 +302,19 @@ def test_signatures_estimate_similarity():
     assert (w[0] == w[1]).mean() == pytest.approx(want, abs=0.05)
 
 
+def test_repeats_within_a_text_do_not_hide_its_copy():
+    """Equal shingle sets share every band, whatever the counts."""
+    import pyarrow as pa
+
+    a, b = [f"a{i}" for i in range(70)], [f"b{i}" for i in range(30)]
+    texts = [" ".join(a + b * 2), " ".join(a + b * 50)]
+    one, two = (near_dup.shingle_hashes(t) for t in texts)
+    assert (one[0] == two[0]).all() and one[1].max() < two[1].max()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"1", b"2"]), pa.array(texts)], ["doc_id", "h", "text"])
+    bands = next(near_dup._sign(iter([batch]), 20, 4)).column("bands").to_pylist()
+    assert bands[0] == bands[1]
+
+
 def test_drop_near_duplicates_of_odd_rows(odd):
     got = near_dup.drop_near_duplicates(odd)
     assert got.columns == odd.columns
