@@ -7,8 +7,8 @@ over the host (high entropy of a content over the pages) is not:
 
     importance = 1 - mean over contents of log(pages with the content) / log(pages with the node)
 
-Spark sums this per node from (host, node, content) counts, so no host is ever
-merged in one task. Page by page, branches of low importance are then removed,
+Spark counts the pages of each (host, node) and (host, node, content), equal pages
+of a host once, and sums this per node, so no host is ever merged in one task. Page by page, branches of low importance are then removed,
 as are branches whose presentation says what they are (menus, forms, scripts, ...).
 An article, its headings and its paragraphs are presentation that is never
 noise, so repeated passages stay; boxes inside an article are judged.
@@ -210,14 +210,17 @@ def _signed(x: int) -> int:
 
 
 def _site_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page, node and content, and one without content per page and node that shows any."""
     for b in batches:
-        host, node, content = [], [], []
-        for h, p in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            for n, c in sorted(contents(parse(p.as_py()))):
+        host, page, node, content = [], [], [], []
+        for h, k, p in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html"), strict=True):
+            found = sorted(contents(parse(p.as_py())))
+            for n, c in [*found, *((n, None) for n in sorted({n for n, _ in found}))]:
                 host.append(h)
+                page.append(k)
                 node.append(_signed(n))
-                content.append(_signed(c))
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(node, pa.int64()), pa.array(content, pa.int64())], ["host", "node", "content"])
+                content.append(None if c is None else _signed(c))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (host, page, node, content)], ["host", "page", "node", "content"])
 
 
 def host_key(url):
@@ -227,12 +230,12 @@ def host_key(url):
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """host, node: the nodes of low importance. ``pages`` has host and html."""
-    seen = map_rows(pages.select("host", "html"), _site_nodes, "host long, node long, content long").groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"))
-    node = seen.groupBy("host", "node").agg(F.sum(F.log(F.col("n").cast("double"))).alias("h"), F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("shown"))
-    # pages with the node: at least the most frequent content's, at most all showings
-    pages_with = F.greatest("most", F.col("shown") / F.greatest(F.lit(1.0), F.col("kinds") / 2.0))
-    importance = 1 - F.col("h") / F.col("kinds") / F.log(pages_with)
-    return node.filter((F.col("most") >= LEAST_PAGES) & (importance < LEAST_IMPORTANCE)).select("host", "node")
+    page = pages.select("host", F.xxhash64("html").alias("page"), "html")
+    seen = map_rows(page, _site_nodes, "host long, page long, node long, content long").distinct().groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"))
+    shown = F.col("content").isNotNull()
+    node = seen.groupBy("host", "node").agg(F.sum(F.when(shown, F.log(F.col("n").cast("double")))).alias("h"), F.count("content").alias("kinds"), F.max(F.when(~shown, F.col("n"))).alias("pages_with"))
+    importance = 1 - F.col("h") / F.col("kinds") / F.log(F.col("pages_with").cast("double"))
+    return node.filter((F.col("pages_with") >= LEAST_PAGES) & (importance < LEAST_IMPORTANCE)).select("host", "node")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], low: dict[int, set[int]]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +249,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. A null url belongs to the site of
     addresses without a host. Repeated rows are each extracted (and count as
-    pages of their site). A page without an article gives the text that is not
+    one page of their site). A page without an article gives the text that is not
     noise. Other columns are not looked at.
     """
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_key(F.col("url")).alias("host"))

@@ -187,6 +187,16 @@ def test_site_tree_drops_what_a_site_repeats(spark):
     assert got[3] == "story 3 21" and got[50] == "same line on every page\nstory 50 350" and got[51] == "" and got[52] == "story 0 0"
 
 
+def test_site_tree_keeps_what_groups_of_copies_share(spark):
+    """Stories that some pages of a large site share are not what the site repeats; equal pages count once."""
+    page = lambda i, j: f"<body><div class='x1'>same line</div><div class='x2'><p>story {i} {i * 7}</p></div><!-- {j} --></body>"
+    rows = [(5 * i + j, f"http://a.org/{i}/{j}", page(i, j)) for i in range(40) for j in range(5)]
+    rows += [(1000 + 10 * i + j, f"http://b.org/{i}/{j}", page(i, 0)) for i in range(3) for j in range(10)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[5 * i + j] == f"story {i} {i * 7}" for i in range(40) for j in range(5))
+    assert all(got[1000 + 10 * i + j] == f"same line\nstory {i} {i * 7}" for i in range(3) for j in range(10))
+
+
 # --- 5 ---
 def test_quality_scores(spark, odd):
     labels = read(spark, "/root/testdata/sf0.01", "labels")
