@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations only.
 
 A candidate is a long run of key characters that mixes letters and digits, or a
-quoted value that is assigned to a name. Spark expressions give its features:
+value of any characters that is assigned to a name that calls it secret. Spark expressions give its features:
 length, character transitions, coverage by dictionary words, signs of a path,
 and the words before and after. The forest is grown in numpy on the driver from
 a bounded table of labelled findings and is emitted as one nested conditional
@@ -25,8 +25,14 @@ DICTIONARY = "example|sample|test|dummy|placeholder|changeme|your|here|insert|se
 #: Names before a value that call it secret, and names that call it public.
 SECRET_NAMES = "token|secret|passw|pwd|api_?-?key|apikey|auth|bearer|credential|private|access_?-?key|session|signature|cookie"
 PUBLIC_NAMES = "commit|sha-?\\d|sha|md5|checksum|digest|hash|etag|uuid|guid|integrity|revision|build|version|id|isbn|doi|ref|file|path|url|href|src|image|base64"
-#: A run of 12 to 512 key characters with a letter and a digit, or a value of 8 and more after a secret name and = or :.
-CANDIDATE = r"""(?<![A-Za-z0-9_\-+/=.@%])(?=[A-Za-z_\-+/=.@:%]{0,80}[0-9])(?=[0-9_\-+/=.@:%]{0,80}[A-Za-z])[A-Za-z0-9_\-+/=.@:%]{12,512}"""
+_KEY = r"A-Za-z0-9_\-+/=.@:%"
+_VALUE = r"""[^\s"'`]{8,}+"""
+#: name=value after the start of a word, or a value of 8 and more characters after a secret name and = or :, or a run of 12 and more key characters with a letter and a digit. Cheap conditions first; no run has an upper length.
+CANDIDATE = (
+    rf"""(?:(?<![{_KEY}])(?=[\w.\-]{{3,}}+[=:][^\s"'`=:>])(?i:[\w.\-]*?(?:{SECRET_NAMES})[\w.\-]{{0,12}})[=:]{_VALUE}"""
+    rf"""|(?<=[=:>]["'`\s]{{0,3}})(?=[^\s"'`=:>][^\s"'`]{{7}})(?<=(?i:{SECRET_NAMES.replace("?", "{0,1}")})[\w.\-]{{0,12}}["'`]{{0,1}}\s{{0,2}}[=:]>{{0,1}}\s{{0,2}}["'`]{{0,1}}){_VALUE}"""
+    rf"""|(?<![{_KEY}])(?=[A-Za-z_\-+/=.@:%]*+[0-9])(?=[0-9_\-+/=.@:%]*+[A-Za-z])[{_KEY}]{{12,}}+)"""
+)
 NEAR = 48
 TREES, DEPTH, SEED = 15, 5, 7
 #: The most labelled findings that are used for training (least hash of the text around them).
@@ -54,9 +60,10 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = picked.select(*keep, "__p", "__s", F.explode(F.sequence(F.lit(2), F.size("__p"), F.lit(2))).alias("__i"))
     far = F.aggregate(F.slice("__p", 1, F.col("__i") - 1), F.lit(0), lambda a, p: a + F.length(p))
     start = F.when(F.element_at("__s", 1) == -1, far).otherwise(F.element_at("__s", F.col("__i")))
-    # a run may end a sentence or a clause
-    value = F.regexp_replace(F.element_at("__p", F.col("__i")), r"[.:,]+$", "")
     before = F.element_at("__p", F.col("__i") - 1)
+    # a run may end a sentence or a clause; what is in quotes ends with them
+    value = F.element_at("__p", F.col("__i"))
+    value = F.when(before.rlike("[\"'`]$"), F.regexp_replace(value, r"[.:,]+$", "")).otherwise(F.regexp_replace(value, r"[.:,;)]+$", ""))
     return rows.select(*keep, start.alias("start"), value.alias("value"), F.substring(before, F.greatest(F.length(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)).alias("before"), F.substring(F.element_at("__p", F.col("__i") + 1), 1, NEAR).alias("after"))
 
 
@@ -76,7 +83,7 @@ def features(found: DataFrame, keep: list[str]) -> DataFrame:
     each = {
         "length": F.length(c), "digits": count("[0-9]") / n, "uppers": count("[A-Z]") / n, "hex": truth(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "transitions": count("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") / n, "case_changes": count("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"({DICTIONARY})+", "")) / n, "vowel_runs": count("(?i)[bcdfghjklmnpqrstvwxz][aeiouy]") / n,
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"({DICTIONARY})", "")) / n, "vowel_runs": count("(?i)[bcdfghjklmnpqrstvwxz][aeiouy]") / n,
         "longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)), "specials": count("[^A-Za-z0-9]") / n,
         "slashes": count("/"), "dots": count("[.]"), "at": truth(c.contains("@") | c.rlike("^(?i)https?:|www[.]|://")), "is_uuid": truth(c.rlike("(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")),
         "names_secret": truth(tail.rlike(SECRET_NAMES) | last_word.rlike(f"({SECRET_NAMES})[\\w]{{0,12}}[\\s\"'`]*[=:]?[\\s\"'`]*$")), "names_public": truth(last_word.rlike(f"(^|[^a-z])({PUBLIC_NAMES})[\\s\"'`]*[=:]?[\\s\"'`]*$")),
@@ -145,6 +152,13 @@ def labelled_findings(n: int = 3000) -> tuple[tuple[str, str, str, int], ...]:
         else:
             before, value = before + rng.choice(("commit ", "Merge ", "sha256:", "index ", "md5sum ")), hexa(rng.choice((32, 40, 64)))
         out.append((before, value, after, 0))
+    for i in range(n // 5):  # assigned values that are no keys: passwords and passphrases, and words that only explain a name
+        name, mark = rng.choice(names), rng.choice("!#$&*?~^")
+        if i % 3 < 2:
+            value = rng.choice((lambda: chars(rng.randint(4, 10), low) + chars(rng.randint(1, 4), digit) + mark, lambda: chars(rng.randint(8, 16), low + up + digit), lambda: chars(rng.randint(2, 6), up + low) + mark + chars(rng.randint(4, 10), low + digit) + mark, lambda: "".join(rng.choice(("correct", "horse", "battery", "winter", "dragon", "purple", "monkey", "summer")) for _ in range(3))))()
+            out.append((prose() + " " + name + sep(), value, rng.choice(('"', "'", " ", "\n")) + " " + prose(), 1))
+        else:
+            out.append((prose() + " " + name + rng.choice((": ", " = ", "=", ' = "')), rng.choice(("required", "optional", "undefined", "<password>", "${PASSWORD}", "{{ token }}"[:8], "process.env.TOKEN", "your_password", "placeholder", "changeme1", "********", "xxxxxxxx")), " " + prose(), 0))
     return tuple(out)
 
 

@@ -153,6 +153,18 @@ def test_secrets(spark, odd):
     assert other == {(r.doc_id, r.text) for r in odd.filter("doc_id <> 8 or doc_id is null").collect()}
 
 
+def test_assigned_values_and_long_runs_are_whole(spark):
+    long = hashlib.sha512(b"k").hexdigest() * 7
+    values = ["hunter2!", "Tr0ub4dor", "correcthorsebattery", "P@ss!w0rd#2024xyz", long]
+    names = ['password = "', 'password = "', 'secret: "', 'pwd="', 'token = "']
+    rows = [(i, f'see {n}{v}" end') for i, (n, v) in enumerate(zip(names, values, strict=True))] + [(10, "password=hunter2! end"), (11, "the password is required: see the manual"), (12, "k = " + "0000" * 50_000 + "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(d).collect()}
+    assert [got[i].value for i in range(5)] == values and got[10].value == "password=hunter2!" and 11 not in got and got[12].length == 200_001
+    clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert [clean[i] for i in range(5)] == [f'see {n}[SECRET]" end' for n in names]
+
+
 def test_forest_generalises():
     from statloom.llm.secrets import fit_forest
 
