@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to Python: a batch ends at whichever comes first, so a worker's memory is bounded by one text or this much.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Paths of the tables written in each open scope, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +26,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts must not meet by the ten thousand in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Long texts must not meet by the ten thousand in a Python worker. The session keeps these bounds, as a plan reads them only when it runs."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", str(spark.conf.get(key)).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none, as in tests, one is set here."""
+    """The folder that driver and executors share. Only on one machine, as in tests, one is set here; a cluster has to name its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = os.path.join(os.environ.get("TMPDIR", "/tmp"), "statloom-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,11 +54,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables that :func:`written` makes inside are deleted at the end, but for those made with ``stay``; nothing lazy that reads them may leave."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for p in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, stay: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there and survives lost executors. With ``stay`` it belongs to the scope around the innermost one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_scopes) > stay:
+        _scopes[-1 - stay].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

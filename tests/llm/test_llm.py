@@ -185,11 +185,11 @@ def test_forest_generalises():
 # --- 4 ---
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one <b>two</b>&nbsp;\n three<p>four<br>five<div class="comments"><p>hi</div></article><footer>f</footer>'
-    assert blocks(parse(page)) == ["A & B", "one two three", "four five"]
-    assert blocks(parse("<div>a<div>b</div>c</div><!-- x --><script>if (a<b) d</script>")) == ["a", "b", "c"]
-    assert blocks(parse(None)) == [] and blocks(parse("<" * 50 + "a" * 3000)) != []
+    assert blocks(parse(page), {}) == ["A & B", "one two three", "four five"]
+    assert blocks(parse("<div>a<div>b</div>c</div><!-- x --><script>if (a<b) d</script>"), {}) == ["a", "b", "c"]
+    assert blocks(parse(None), {}) == [] and blocks(parse("<" * 50 + "a" * 3000), {}) != []
     deep = "<div>" * 5000 + "x"
-    assert blocks(parse(deep)) == ["x"]
+    assert blocks(parse(deep), {}) == ["x"]
 
 
 def test_site_tree_drops_what_a_site_repeats(spark):
