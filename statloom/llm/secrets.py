@@ -6,6 +6,11 @@ length, character transitions, coverage by dictionary words, signs of a path,
 and the words before and after. The forest is grown in numpy on the driver from
 a bounded table of labelled findings and is emitted as one nested conditional
 expression per tree, so scoring stays in the plan.
+
+A text is handled within its row: it is cut at its candidates into an array, and
+places, features and scores are transformations of that array. Nothing is joined
+or shuffled, and the work is in proportion to the text (times the square root of
+its number of candidates for the places).
 """
 
 from __future__ import annotations
@@ -18,10 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh
 
-#: Words that make up names, paths and placeholders rather than keys.
-DICTIONARY = "example|sample|test|dummy|placeholder|changeme|your|here|insert|secret|password|token|user|admin|default|value|config|local|host|image|file|page|index|static|assets|version|release|build|content|download|article|update|mail|www|http|https|com|org|net|html|json|png|jpg|pdf|null|none|true|false|xxxx|0000|1234|abcd|the|and|tion|ing|ed|er|en|th|on|re|an|in|sch|ung|lich|keit|heit|der|die|que|ment|eau|aux|les|cion|ado|mente|esta|ar|es|os"
+#: Words and endings that make up names, paths and placeholders rather than keys.
+DICTIONARY = (
+    "about|access|account|action|address|admin|after|archive|article|assets|author|back|base|beta|blog|body|book|build|button|cache|cart|category|center|change|changeme|check|class|client|cloud|code|color|com|comment|common|config|connect|contact|content|core|count|country|create|custom|daily|data|date|debug|default|demo|design|detail|device|dev|digital|document|"
+    "domain|download|dummy|edit|email|error|event|example|export|feed|field|file|first|float|folder|font|form|forum|from|function|gallery|game|green|group|guide|head|header|health|help|here|home|host|house|html|http|https|icon|image|import|index|info|input|insert|internal|invoice|item|java|jpg|json|just|label|language|last|latest|left|library|license|light|line|link|list|live|local|login|logo|"
+    "mail|main|manager|market|master|media|member|menu|message|meta|mobile|model|module|music|name|net|news|next|none|null|number|object|office|offer|online|open|option|order|org|page|password|path|pdf|photo|placeholder|plugin|png|policy|post|price|print|private|product|profile|project|public|query|read|release|report|request|response|result|right|sale|sample|screen|script|search|secret|section|"
+    "secure|server|service|session|setting|share|shop|show|side|site|size|source|special|start|static|status|stock|store|style|support|system|table|team|template|test|text|that|the|theme|this|time|title|token|tool|topic|total|travel|true|type|update|upload|url|user|value|version|video|view|web|week|white|widget|window|with|work|world|www|year|your|"
+    "able|ado|ando|ation|aux|cion|der|die|eau|ement|esta|heit|ical|ing|keit|les|lich|ment|mente|ness|que|sch|tion|ung|ville|xxxx|0000|1234|abcd"
+)
 #: Names before a value that call it secret, and names that call it public.
 SECRET_NAMES = "token|secret|passw|pwd|api_?-?key|apikey|auth|bearer|credential|private|access_?-?key|session|signature|cookie"
 PUBLIC_NAMES = "commit|sha-?\\d|sha|md5|checksum|digest|hash|etag|uuid|guid|integrity|revision|build|version|id|isbn|doi|ref|file|path|url|href|src|image|base64"
@@ -41,56 +52,73 @@ FEATURES = ("length", "digits", "uppers", "hex", "transitions", "case_changes",
 
 
 def _clean(text: Column) -> Column:
-    """The text with the two marks of :func:`candidates` as spaces; places do not change."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02", "  ")
+    """The text with the mark of :func:`pieces` as a space; places do not change."""
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01", " ")
 
 
-def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per candidate: ``keep``, start (code points from 0), value, before and after (up to NEAR characters each).
+def pieces(text: Column) -> Column:
+    """A text cut at its candidates: every second piece is a candidate. Null if it has none.
 
-    Candidates are marked in place, and the text is cut at the marks: every
-    second piece is a candidate, and the lengths before it give its place.
+    The row's number (never negative) keeps the optimizer from copying the
+    expression into what is made of it, where it would run once per candidate.
     """
-    text = _clean(F.col("text"))
-    hit = docs.select(*keep, text.alias("__t")).filter(F.col("__t").rlike(CANDIDATE))
-    cut = hit.select(*keep, F.split(F.regexp_replace("__t", F.lit("(" + CANDIDATE + ")"), F.lit("\x01$1\x01")), "\x01").alias("__p"))
-    # start of each piece: running sum of the lengths before it
-    starts = F.aggregate("__p", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    picked = cut.select(*keep, "__p", F.when(F.size("__p") <= 64, starts).otherwise(F.array(F.lit(-1))).alias("__s"))
-    rows = picked.select(*keep, "__p", "__s", F.explode(F.sequence(F.lit(2), F.size("__p"), F.lit(2))).alias("__i"))
-    far = F.aggregate(F.slice("__p", 1, F.col("__i") - 1), F.lit(0), lambda a, p: a + F.length(p))
-    start = F.when(F.element_at("__s", 1) == -1, far).otherwise(F.element_at("__s", F.col("__i")))
-    before = F.element_at("__p", F.col("__i") - 1)
-    # a run may end a sentence or a clause; what is in quotes ends with them
-    value = F.element_at("__p", F.col("__i"))
-    value = F.when(before.rlike("[\"'`]$"), F.regexp_replace(value, r"[.:,]+$", "")).otherwise(F.regexp_replace(value, r"[.:,;)]+$", ""))
-    return rows.select(*keep, start.alias("start"), value.alias("value"), F.substring(before, F.greatest(F.length(before) - NEAR + 1, F.lit(1)), F.lit(NEAR)).alias("before"), F.substring(F.element_at("__p", F.col("__i") + 1), 1, NEAR).alias("after"))
-
-
-def features(found: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and one double per name in FEATURES."""
-    v, b, a = F.col("value"), F.lower("before"), F.col("after")
+    return F.when(text.rlike(CANDIDATE) & (F.monotonically_increasing_id() >= 0), F.split(F.regexp_replace(text, F.lit("(" + CANDIDATE + ")"), F.lit("\x01$1\x01")), "\x01"))
+
+
+def places(p: Column) -> Column:
+    """The lengths before each piece: sums over stretches of about the square root of their number, then within each."""
+    n = F.size(p)
+    step = F.ceil(F.sqrt(n)).cast("int")
+    stretches = F.transform(F.sequence(F.lit(1), n, step), lambda i: F.transform(F.slice(p, i, step), F.length))
+    grow = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    total = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + x)
+    before = lambda of: F.aggregate(F.transform(of, total), F.array(F.lit(0)), grow)
+    return F.flatten(F.zip_with(stretches, F.slice(before(stretches), F.lit(1), F.size(stretches)), lambda of, at: F.slice(F.aggregate(of, F.array(at), grow), F.lit(1), F.size(of))))
+
+
+def candidates(p: Column, at: Column) -> Column:
+    """Structs (start, value, before, after) of the candidates of a text, from its :func:`pieces` and :func:`places`; before and after are up to NEAR characters each."""
+
+    def one(x: Column, start: Column) -> Column:
+        # a run may end a sentence or a clause; what is in quotes ends with them
+        value = F.when(x["before"].rlike("[\"'`]$"), F.regexp_replace(x["value"], r"[.:,]+$", "")).otherwise(F.regexp_replace(x["value"], r"[.:,;)]+$", ""))
+        near = F.substring(x["before"], F.greatest(F.length(x["before"]) - NEAR + 1, F.lit(1)), F.lit(NEAR))
+        return F.struct(start.alias("start"), value.alias("value"), near.alias("before"), F.substring(x["after"], F.lit(1), F.lit(NEAR)).alias("after"))
+
+    around = F.zip_with(every_second(p, 0), every_second(p, 1), lambda b, v: F.struct(b.alias("before"), v.alias("value")))
+    three = F.zip_with(around, F.slice(every_second(p, 0), F.lit(2), F.size(p)), lambda x, a: F.struct(x["before"].alias("before"), x["value"].alias("value"), a.alias("after")))
+    return F.zip_with(F.filter(three, lambda x: x["value"].isNotNull()), every_second(at, 1), one)
+
+
+def every_second(x: Column, first: int) -> Column:
+    return F.filter(x, lambda _, i: i % 2 == first)
+
+
+_NAMED = r"^([A-Za-z_][A-Za-z_.\-]{1,39})[=:](?=.)"
+
+
+def features(value: Column, before: Column, after: Column, dictionary: str = DICTIONARY) -> list[Column]:
+    """One double per name in FEATURES."""
     # name=value in one run: the name counts as a word before
-    name = F.lower(F.regexp_extract(v, r"^([A-Za-z_][A-Za-z_.\-]{1,39})[=:](?=.)", 1))
-    core = F.when(F.length(name) > 0, F.expr("substring(value, length(regexp_extract(value, '^([A-Za-z_][A-Za-z_.\\\\-]{1,39})[=:](?=.)', 1)) + 2)")).otherwise(v)
-    found = found.select(*keep, core.alias("core"), F.concat(b, name).alias("b"), (F.length(name) > 0).alias("named"), a.alias("a"))
-    c = F.col("core")
+    name = F.lower(F.regexp_extract(value, _NAMED, 1))
+    named = F.length(name) > 0
+    c = F.when(named, F.substring(value, F.length(name) + 2, F.length(value))).otherwise(value)
+    b = F.concat(F.lower(before), name)
     n = F.greatest(F.length(c), F.lit(1))
     count = lambda rx: F.regexp_count(c, F.lit(rx))
-    tail = F.regexp_extract("b", r"([^\s]{0,40})[\s]*[\"'`(]*[\s]*[=:]*>?[\s]*[\"'`(]*$", 1)
-    last_word = F.substring(F.col("b"), F.greatest(F.length("b") - 30, F.lit(1)), F.lit(31))
-    truth = lambda x: x.cast("double")
+    tail = F.regexp_extract(b, r"([^\s]{0,40})[\s]*[\"'`(]*[\s]*[=:]*>?[\s]*[\"'`(]*$", 1)
+    last_word = F.substring(b, F.greatest(F.length(b) - 30, F.lit(1)), F.lit(31))
     each = {
-        "length": F.length(c), "digits": count("[0-9]") / n, "uppers": count("[A-Z]") / n, "hex": truth(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
+        "length": F.length(c), "digits": count("[0-9]") / n, "uppers": count("[A-Z]") / n, "hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
         "transitions": count("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") / n, "case_changes": count("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"({DICTIONARY})", "")) / n, "vowel_runs": count("(?i)[bcdfghjklmnpqrstvwxz][aeiouy]") / n,
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"({dictionary})", "")) / n, "vowel_runs": count("(?i)[bcdfghjklmnpqrstvwxz][aeiouy]") / n,
         "longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)), "specials": count("[^A-Za-z0-9]") / n,
-        "slashes": count("/"), "dots": count("[.]"), "at": truth(c.contains("@") | c.rlike("^(?i)https?:|www[.]|://")), "is_uuid": truth(c.rlike("(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")),
-        "names_secret": truth(tail.rlike(SECRET_NAMES) | last_word.rlike(f"({SECRET_NAMES})[\\w]{{0,12}}[\\s\"'`]*[=:]?[\\s\"'`]*$")), "names_public": truth(last_word.rlike(f"(^|[^a-z])({PUBLIC_NAMES})[\\s\"'`]*[=:]?[\\s\"'`]*$")),
-        "assigned": truth(F.col("named") | F.col("b").rlike("[=:]>?[\\s\"'`]*$")), "quoted": truth(F.col("b").rlike("[\"'`]$")), "placeholder": truth(F.lower(c).rlike("x{4}|0{5}|1234|abcd|example|sample|your|changeme|dummy|placeholder|insert|(.)\\1{4}")),
-        "after_word": truth(F.col("a").rlike("^[\"'`]?[\\s,;)]|^[\"'`]?$")), "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.sqrt(n),
+        "slashes": count("/"), "dots": count("[.]"), "at": c.contains("@") | c.rlike("^(?i)https?:|www[.]|://"), "is_uuid": c.rlike("(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"),
+        "names_secret": tail.rlike(SECRET_NAMES) | last_word.rlike(f"({SECRET_NAMES})[\\w]{{0,12}}[\\s\"'`]*[=:]?[\\s\"'`]*$"), "names_public": last_word.rlike(f"(^|[^a-z])({PUBLIC_NAMES})[\\s\"'`]*[=:]?[\\s\"'`]*$"),
+        "assigned": named | b.rlike("[=:]>?[\\s\"'`]*$"), "quoted": b.rlike("[\"'`]$"), "placeholder": F.lower(c).rlike("x{4}|0{5}|1234|abcd|example|sample|your|changeme|dummy|placeholder|insert|(.)\\1{4}"),
+        "after_word": after.rlike("^[\"'`]?[\\s,;)]|^[\"'`]?$"), "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.sqrt(n),
     }
-    return found.select(*keep, *[each[k].cast("double").alias(k) for k in FEATURES])
+    return [each[k].cast("double").alias(k) for k in FEATURES]
 
 
 @lru_cache
@@ -199,53 +227,67 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
     return [grow(x[i := rng.integers(0, len(y), len(y))], y[i], rng, depth) for _ in range(trees)] if len(y) else [0.5]
 
 
-def tree_column(tree: tuple | float) -> Column:
+def tree_column(tree: tuple | float, x: Column) -> Column:
+    """A tree as a conditional on the fields of the struct ``x``."""
     if isinstance(tree, float):
         return F.lit(tree)
     f, t, low, high = tree
-    return F.when(F.col(FEATURES[f]) <= F.lit(t), tree_column(low)).otherwise(tree_column(high))
+    return F.when(x[FEATURES[f]] <= F.lit(t), tree_column(low, x)).otherwise(tree_column(high, x))
 
 
 def train_forest(labelled: DataFrame, bound: int = TRAIN_ROWS) -> list:
-    """A forest from labelled findings (before, value, after, label); rows with a null are left out."""
+    """A forest from labelled findings (before, value, after, label: 1 for a secret); rows with a null are left out."""
     some = labelled.select("before", "value", "after", F.col("label").cast("int").alias("label")).dropna().orderBy(F.xxhash64("before", "value", "after"), "value", "before", "after", "label").limit(bound)
-    rows = features(some, ["label"]).collect()
+    rows = some.select("label", *features(F.col("value"), F.col("before"), F.col("after"))).collect()
     x = np.array([[r[k] for k in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit_forest(x, np.array([r.label for r in rows], float))
 
 
+def scored(docs: DataFrame, text: str, labelled: DataFrame | None) -> tuple[DataFrame, str, str]:
+    """``docs`` with a column of the pieces of ``text`` and one of its findings, structs (start, value, score), both null for a text without candidates, and their names."""
+    forest = train_forest(findings_table(docs.sparkSession) if labelled is None else labelled)
+    p, at, found = (fresh(docs, c) for c in ("__pieces", "__places", "__found"))
+    df = docs.withColumn(p, pieces(_clean(F.col(text)))).withColumn(at, places(F.col(p))).withColumn(found, candidates(F.col(p), F.col(at))).drop(at)
+    with_features = lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), F.struct(*features(c["value"], c["before"], c["after"])).alias("x"))
+    mean = lambda x: F.round(reduce(lambda a, b: a + b, [tree_column(t, x) for t in forest]) / F.lit(float(len(forest))), 9)
+    df = df.withColumn(found, F.transform(found, with_features))
+    return df.withColumn(found, F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), mean(c["x"]).alias("score")))), p, found
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """A row per candidate of every whole text: doc_id (or ``keep``), start, length, value, score, is_secret.
 
     start counts code points from 0; a name in front of a value (name=value) is
     part of the candidate. A null or empty text has no candidates; a null doc_id
     is kept; each of repeated rows has its own. Columns of ``docs`` other than
-    ``keep`` and text are not looked at.
+    ``keep`` and text are not looked at. ``labelled`` is a table of labelled
+    findings (before, value, after, label); by default the library's own.
     """
     keep = keep or ["doc_id"]
-    spark = docs.sparkSession
-    forest = train_forest(findings_table(spark) if labelled is None else labelled)
-    found = candidates(docs, keep)
-    kept = [*keep, "start", "value"]
-    rows = features(found.select(*kept[:-1], F.col("value"), "before", "after").withColumn("__v", F.col("value")), [*kept[:-1], "__v"]).withColumnRenamed("__v", "value")
-    score = reduce(lambda a, b: a + b, [tree_column(t) for t in forest]) / F.lit(float(len(forest)))
-    return rows.select(*kept, score.alias("score")).select(*keep, F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("length"), "value", F.round("score", 9).alias("score"), (F.round("score", 9) >= threshold).alias("is_secret"))
+    df = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    df, p, found = scored(df.filter(_clean(F.col("text")).rlike(CANDIDATE)), "text", labelled)
+    rows = df.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.explode_outer(found).alias("__f"))
+    f = F.col("__f")
+    return rows.filter(f.isNotNull()).select(*keep, f["start"].cast("long").alias("start"), F.length(f["value"]).cast("long").alias("length"), f["value"].alias("value"), f["score"].alias("score"), (f["score"] >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark`` (and n_chars, if there is one, counted anew); no row is dropped.
 
-    Only the few rows with a secret are joined; spans of one text never overlap.
+    A null or empty text and one without a secret stay as they are; repeated rows
+    are each redacted; columns of any other name are kept as they are.
     """
-    row, marks = fresh(docs, "__row"), fresh(docs, "__spans")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    spans = scan(rows.select(row, "text"), labelled, threshold, [row]).filter("is_secret").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(marks))
-    joined = rows.join(written(spans), row, "left")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at"))
-    done = F.aggregate(marks, zero, step)
-    text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
-    joined = joined.withColumn("text", text)
+    df, p, found = scored(docs, "text", labelled)
+    done = fresh(df, "__done")
+    hit = F.exists(found, lambda f: f["score"] >= threshold)
+
+    def shown(x: Column, f: Column) -> Column:
+        return F.when(f["score"] >= threshold, F.concat(F.lit(mark), F.substring(x, F.length(f["value"]) + 1, F.length(x)))).otherwise(x)
+
+    masked = F.zip_with(every_second(F.col(p), 1), F.col(found), shown)
+    whole = F.array_join(F.zip_with(every_second(F.col(p), 0), masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    df = df.withColumn(done, F.when(hit, whole))
+    new = {"text": F.coalesce(F.col(done), F.col("text").cast("string")).alias("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col(marks).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(done).isNull(), F.col("n_chars")).otherwise(F.length(done)).cast(dict(docs.dtypes)["n_chars"]).alias("n_chars")
+    return df.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
