@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows and bytes in an Arrow batch sent to Python: a batch ends at whichever comes first, so a worker's memory is bounded by one text or this much.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Rows of a key that may meet in one task of a join, hot keys that are broadcast, and pieces that the rows of a hot key are dealt into if there are more.
+HOT_ROWS, BROADCAST_KEYS, SALTS = 512, 100_000, 64
 #: Paths of the tables written in each open scope, the innermost last.
 _scopes: list[list[str]] = []
 
@@ -78,6 +80,27 @@ def written(df: DataFrame, stay: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row per key; ``size``: its rows in ``rows``, not kept) in which no task gets all rows of a hot key.
+
+    Keys of more than HOT_ROWS rows are broadcast if there are at most
+    BROADCAST_KEYS of them, else their rows are dealt into SALTS pieces each;
+    the others are joined by key. ``facts`` should be a table.
+    """
+    hot, cold = facts.filter(F.col(size) > HOT_ROWS).drop(size), facts.filter(F.col(size) <= HOT_ROWS).drop(size)
+    out = rows.join(cold, on)
+    n = hot.count()
+    if not n:
+        return out
+    if n <= BROADCAST_KEYS:
+        other = rows.join(F.broadcast(hot), on)
+    else:
+        salt = fresh(rows, "__salt")
+        dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+        other = dealt.join(hot.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, salt]).drop(salt)
+    return out.unionByName(other)
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -107,8 +130,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(bound).select("doc_id", "text", "y")
 
 
-def text_sample(docs: DataFrame, bound: int) -> list[str | None]:
-    """At most ``bound`` texts, those with the least hash of their id. Ids are chosen first, so that tasks send no texts but the chosen ones."""
-    ids = docs.select(F.col("doc_id").alias("__id")).dropna().orderBy(F.xxhash64("__id"), "__id").limit(bound).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    return [r.text for r in rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(bound).collect()]
+def id_sample(docs: DataFrame, bound: int) -> DataFrame:
+    """The rows of at most ``bound`` ids, those with the least hash; of rows that repeat an id, all. Only ids are sorted and sent."""
+    ids = docs.select(F.col("doc_id").alias("__id")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id").limit(bound)
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, map_rows, written
+from .common import WORD, fresh, map_rows, scratch, spread_join, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Members of a bucket that one window task orders; larger buckets are cut by the next band's hash. Of a shingle's texts in the exact join, the size of a salted piece.
@@ -217,18 +217,27 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     Rows with an equal text are one class. Texts without words (null or only
     white space) are equal to no other text: each row has its own doc_id as
     class and size 1. Rows with a null doc_id take part; a class of nulls only
-    has a null class_id. Columns other than doc_id and text are not looked at.
+    has a null class_id. doc_id may have any type that has an order; an empty
+    table gives no rows. Columns other than doc_id and text are not looked at.
     """
+    with scratch(docs.sparkSession):
+        return _classes(docs, threshold, bands, rows)
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", text_key())
-    signed = written(map_rows(base, lambda it: _sign(it, bands, rows), "doc_id long, h binary, n long, bands array<long>"))
+    signed = written(map_rows(base, lambda it: _sign(it, bands, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, h binary, n long, bands array<long>"), stay=True)
     own = signed.filter("n > 0")
-    texts = own.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = texts.select("h", "n", "bands", F.posexplode("bands").alias("band", "key"))
-    member = member.select("h", "n", "band", "key", *[F.element_at("bands", ((F.col("band") + j) % bands + 1).cast("int")).alias(f"next{j}") for j in (1, 2, 3)])
-    bucket = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("first_h")).filter("size > 1")
-    member = written(member.join(bucket, ["band", "key"]))
-    active = member.select("h").distinct()
-    once = base.filter("h is not null").join(active.hint("shuffle_hash"), "h", "left_semi")
+    texts = own.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("one"))
+    member = texts.select("h", "n", "one", "bands", F.posexplode("bands").alias("band", "key"))
+    member = member.select("h", "n", "one", "band", "key", *[F.element_at("bands", ((F.col("band") + j) % bands + 1).cast("int")).alias(f"next{j}") for j in (1, 2, 3)])
+    member = written(member)
+    bucket = written(member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("first_h")).filter("size > 1").withColumn("rows", F.col("size")))
+    member = written(spread_join(member, bucket, ["band", "key"], "rows"))
+    active = written(member.select("h", "one").distinct())
+    # of the copies of a text one is enough: that with the least doc_id
+    reps = active.select(F.col("h").alias("h_"), F.col("one"))
+    once = base.filter("h is not null").join(reps.hint("shuffle_hash"), (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
     sets = map_rows(once.select("h", "text"), _shingles, "h binary, s binary").groupBy("h").agg(F.first("s").alias("s"))
     sets = written(sets)
 
@@ -243,9 +252,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     label = components(verified(first.join(count.select(F.col("h").alias("b"), F.col("n").alias("nb")), "b")), label)
     turn, rows_before = 0, 0
     while True:
-        now = member.join(label, "h")
-        mixed = now.groupBy("band", "key").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c")).filter("least_c <> most_c")
-        now = written(now.join(mixed.select("band", "key"), ["band", "key"]))
+        now = written(member.join(label, "h"))
+        mixed = now.groupBy("band", "key").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c"), F.count(F.lit(1)).alias("rows")).filter("least_c <> most_c")
+        now = written(spread_join(now, written(mixed.select("band", "key", "rows")), ["band", "key"], "rows"))
         left = now.count()
         if not left:
             break
@@ -255,9 +264,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
             break
         if turn:  # a text of the first class in an order that is new in each round; its own class meets one of the last class
             x = F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), F.xxhash64("h", F.lit(turn)).alias("y"), "h", "n", "c")
-            ends = now.groupBy("band", "key").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+            ends = written(now.groupBy("band", "key").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("rows")))
             other = F.when(F.col("c") == F.col("lo.c"), F.col("hi")).otherwise(F.col("lo"))
-            pairs = _ordered(now.join(ends, ["band", "key"]).select("h", "n", "c", other["h"].alias("h_"), other["n"].alias("n_"), other["c"].alias("c_")).filter("c <> c_"))
+            pairs = _ordered(spread_join(now, ends, ["band", "key"], "rows").select("h", "n", "c", other["h"].alias("h_"), other["n"].alias("n_"), other["c"].alias("c_")).filter("c <> c_"))
         else:
             pairs = None
             for j in (1, 2, 3):
@@ -267,11 +276,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
                 pairs = p if pairs is None else pairs.unionByName(p)
         label = components(verified(pairs), label)
         turn, rows_before = turn + 1, left
-    of = signed.join(label, "h", "left").select("doc_id", "h", "n", F.coalesce("c", "h").alias("c"))
-    named = of.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = F.col("n") == 0
-    of = of.withColumn("c", F.when(~alone, F.col("c"))).join(named, "c", "left")
-    return of.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "n", "h", F.col("c").alias("class_key"))
+    # rows are added up per text, texts per class, and the sums are joined back the same way
+    text = own.groupBy("h").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    text = written(text.join(label, "h", "left").select("h", F.coalesce("c", "h").alias("c"), "id", "rows"))
+    classes = written(text.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("texts")))
+    text = written(spread_join(text, classes, ["c"], "texts"), stay=True)
+    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n", "h", F.lit(None).cast("binary").alias("class_key"))
+    worded = spread_join(own.select("doc_id", "h", "n"), text.select("h", "class_id", "class_size", F.col("c").alias("class_key"), "rows"), ["h"], "rows")
+    return worded.select("doc_id", "class_id", "class_size", "n", "h", "class_key").unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

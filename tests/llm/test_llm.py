@@ -337,6 +337,22 @@ def test_repeats_within_a_text_do_not_hide_its_copy():
     assert bands[0] == bands[1]
 
 
+def test_ids_of_any_type_and_hot_keys(spark, docs, monkeypatch):
+    """String ids; and every join of a key with its rows by the way for hot keys, broadcast or dealt."""
+    from statloom.llm import common
+
+    want = {str(i): c for i, c in classes([(r.doc_id, r.text) for r in docs.collect()]).items()}
+    for rows, keys in ((512, 100_000), (1, 100_000), (1, 0)):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+        got = near_dup.near_duplicate_classes(docs.selectExpr("concat('d', doc_id) as doc_id", "text")).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.class_id, set()).add(r.doc_id[1:])
+        assert len(got) == len(want) and {frozenset(v) for v in by.values()} == {frozenset(i for i in want if want[i] == c) for c in set(want.values())}
+        assert all(r.class_size == len(by[r.class_id]) for r in got)
+
+
 def test_drop_near_duplicates_of_odd_rows(odd):
     got = near_dup.drop_near_duplicates(odd)
     assert got.columns == odd.columns
