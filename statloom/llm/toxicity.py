@@ -9,6 +9,9 @@ Features are the different words of a text and their leading 3 to 7 characters
 and the expected severity is the sum of these probabilities over k. Labels may
 carry grades in a column of their own; from two-valued labels the grades of toxic
 texts are the thirds of their number of different words that mark toxic texts.
+
+Tasks count the features of the labelled texts and Spark adds them up; only the
+chosen features and, per labelled text, the numbers of those it has reach the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_rows
+from .common import labelled_sample, map_rows, scratch, written
 from .labels import TRAIN_ROWS, adam, sigmoid
 
 GRADES, FEATURES, LEAST_TEXTS, LEAST_LIFT = 3, 4096, 5, 10
@@ -40,66 +43,72 @@ def words_of(text: str | None) -> Counter[str]:
     return Counter(_word.findall((text or "").lower()))
 
 
-def select_features(texts: list[Counter[str]], toxic: np.ndarray, most: int = FEATURES) -> list[str]:
-    """The features that split toxic from harmless texts best, by the likelihood ratio of their presence; only those beyond chance that are LEAST_LIFT times as frequent in toxic texts."""
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic texts, harmless texts) with the feature, added up within the task as far as memory allows."""
     seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-    for c, t in zip(texts, toxic, strict=True):
-        seen[bool(t)].update({p for w in c for p in parts(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    out = []
-    for f, a in seen[True].items():
-        b = seen[False][f]
-        if a + b < LEAST_TEXTS or a / n1 <= LEAST_LIFT * (b + 0.5) / n0:
-            continue
-        e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
-        g = 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))
-        if g > 20:
-            out.append((-g, f))
-    return [f for _, f in sorted(out)[:most]]
-
-
-def rows_of(texts: list[Counter[str]], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every feature that is present, once per text."""
-    at = [(i, j) for i, c in enumerate(texts) for j in {place[p] for w in c for p in parts(w) if p in place}]
-    both = np.array(at, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def grades_of(texts: list[Counter[str]], toxic: np.ndarray, place: dict[str, int]) -> np.ndarray:
+
+    def out() -> pa.RecordBatch:
+        names = list(seen[True].keys() | seen[False].keys())
+        r = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[t][f] for f in names], pa.int64()) for t in (True, False)]], ["f", "a", "b"])
+        for c in seen.values():
+            c.clear()
+        return r
+
+    for b in batches:
+        for t, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
+            seen[y > 0].update({p for w in words_of(t.as_py()) for p in parts(w)})
+            if len(seen[True]) + len(seen[False]) > 10 * TABLE:
+                yield out()
+    if seen[True] or seen[False]:
+        yield out()
+
+
+def select_features(rows: DataFrame, n1: int, n0: int, most: int = FEATURES) -> list[str]:
+    """The features that split toxic from harmless texts (of which there are n1 and n0) best, by the likelihood ratio of their presence; only those beyond chance that are LEAST_LIFT times as frequent in toxic texts. ``rows`` has text and y."""
+    n1, n0 = max(1, n1), max(1, n0)
+    f = map_rows(rows, _count_parts, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    f = f.filter((a + b >= LEAST_TEXTS) & (a / n1 > LEAST_LIFT * (b + 0.5) / n0))
+    part = lambda x, n: F.when(x > 0, x * F.log(x * (n1 + n0) / ((a + b) * n))).otherwise(0.0)
+    f = f.withColumn("g", F.round(2 * (part(a, n1) + part(b, n0)), 9)).filter("g > 20")
+    return [r.f for r in f.orderBy(F.desc("g"), "f").limit(most).select("f").collect()]
+
+
+def _present(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Of each labelled text: its label, the numbers of its features, and how many of its different words have one."""
+    for b in batches:
+        words = [words_of(t.as_py()) for t in b.column("text")]
+        at = [sorted({place[p] for w in c for p in parts(w) if p in place}) for c in words]
+        marked = [sum(any(p in place for p in parts(w)) for w in c) for c in words]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(marked, pa.int64())], ["y", "at", "marked"])
+
+
+def grades_of(marked: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades from two-valued labels: 0, or 1 to GRADES by thirds of the number of different marked words."""
-    share = np.array([sum(any(p in place for p in parts(w)) for w in c) if t else 0 for c, t in zip(texts, toxic, strict=True)])
-    cuts = np.quantile(share[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
-    return np.where(toxic, 1 + np.searchsorted(cuts, share, side="right"), 0)
+    cuts = np.quantile(marked[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
+    return np.where(toxic, 1 + np.searchsorted(cuts, marked, side="right"), 0)
 
 
-def fit(texts: list[Counter[str]], grade: np.ndarray, most: int = FEATURES) -> tuple[dict[str, float], np.ndarray]:
-    """Weights by feature and the thresholds. ``grade`` is 0 to GRADES; if it has no value over 1 it is two-valued."""
-    toxic = grade > 0
-    names = select_features(texts, toxic, most)
-    place = {f: i for i, f in enumerate(names)}
-    if len(grade) and grade.max() <= 1:
-        grade = grades_of(texts, toxic, place)
-    r, j = rows_of(texts, place)
-    n = max(1, len(texts))
-    above = np.stack([grade > k for k in range(GRADES)], axis=1).astype(float) if len(texts) else np.zeros((0, GRADES))
+def fit(r: np.ndarray, j: np.ndarray, grade: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from the present features (text ``r`` has feature ``j``) and the grades, 0 to GRADES."""
+    texts = len(grade)
+    above = np.stack([grade > k for k in range(GRADES)], axis=1).astype(float)
+
+    def thresholds(t: np.ndarray) -> np.ndarray:
+        return t[0] + np.concatenate([[0], np.cumsum(np.exp(t[1:]))])
 
     def grad(p: dict[str, np.ndarray], step: int) -> dict[str, np.ndarray]:
-        s = np.bincount(r, p["w"][j], len(texts))
-        theta = p["t"][0] + np.concatenate([[0], np.cumsum(np.exp(p["t"][1:]))])
-        d = (sigmoid(s[:, None] - theta) - above) / n
-        dt = -d.sum(axis=0)
-        tail = np.cumsum(dt[::-1])[::-1]
-        return {"w": np.bincount(j, d.sum(axis=1)[r], len(names)) + 2e-5 * p["w"], "t": np.concatenate([[tail[0]], tail[1:] * np.exp(p["t"][1:])])}
-
-    p = {"w": np.full(len(names), 0.5), "t": np.concatenate([[2.0], np.zeros(GRADES - 1)])}
-    if len(texts):
+        s = np.bincount(r, p["w"][j], texts)
+        d = (sigmoid(s[:, None] - thresholds(p["t"])) - above) / texts
+        tail = np.cumsum(-d.sum(axis=0)[::-1])[::-1]
+        return {"w": np.bincount(j, d.sum(axis=1)[r], features) + 2e-5 * p["w"], "t": np.concatenate([[tail[0]], tail[1:] * np.exp(p["t"][1:])])}
+
+    p = {"w": np.full(features, 0.5), "t": np.concatenate([[2.0], np.zeros(GRADES - 1)])}
+    if texts:
         for rate in (0.3, 0.3, 0.3, 0.1, 0.1, 0.03):  # features were chosen because they mark toxic texts: no weight may excuse one
             p = adam(p, grad, 100, rate)
             p["w"] = np.maximum(p["w"], 0)
-    theta = p["t"][0] + np.concatenate([[0], np.cumsum(np.exp(p["t"][1:]))])
-    return dict(zip(names, p["w"].tolist(), strict=True)), theta
-
-
+    return p["w"], thresholds(p["t"])
 
 
 def raw_score(text: str | None, weights: dict[str, float], cache: dict[str, tuple[str, ...]]) -> float:
@@ -121,8 +130,20 @@ def _judge(batches: Iterator[pa.RecordBatch], weights: dict[str, float], theta:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray]:
-    rows = labelled_sample(docs, labels, label, bound).select("text", "y").toPandas()
-    return fit([words_of(t) for t in rows["text"]], np.clip(rows["y"].to_numpy(np.int64), 0, GRADES))
+    """Weights by feature and the thresholds, from at most ``bound`` labelled texts. Labels over 1 are grades."""
+    with scratch(docs.sparkSession):
+        rows = written(labelled_sample(docs, labels, label, bound).select("text", "y").repartition(8))
+        n1, n = rows.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.lit(1))).first()
+        names = select_features(rows, n1, n - n1)
+        place = {f: i for i, f in enumerate(names)}
+        got = map_rows(rows, lambda it: _present(it, place), "y int, at array<int>, marked long").orderBy("y", "at", "marked").collect()
+    grade = np.clip(np.array([r.y for r in got], np.int64), 0, GRADES)
+    if len(grade) and grade.max() <= 1:
+        grade = grades_of(np.array([r.marked for r in got]), grade > 0)
+    r = np.repeat(np.arange(len(got)), [len(x["at"]) for x in got])
+    j = np.array([i for x in got for i in x["at"]], np.int64)
+    weights, theta = fit(r, j, grade, len(names))
+    return dict(zip(names, weights.tolist(), strict=True)), theta
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
