@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -278,6 +279,34 @@ def two_sided_t(t: Number, dof: Number):
     return regularized_beta(dof / 2, half, dof / (dof + t * t))
 
 
+def t_quantile(p: float, dof: float) -> float:
+    """The t with P(T <= t) = p, a number for numbers: Fisher's expansion around the normal quantile where it is exact to double precision, else safeguarded Newton steps."""
+    if not 0 < p < 1 or not dof > 0:
+        return math.nan
+    if p < 0.5:
+        return -t_quantile(1 - p, dof)
+    z = NormalDist().inv_cdf(p)
+    g = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    t = z + sum(c / dof ** (i + 1) for i, c in enumerate(g))
+    if dof >= 1e4 and z < 8:
+        return t
+    low, high = 0.0, max(2 * abs(t), 2.0)
+    tail = 1 - p
+    while 0.5 * two_sided_t(high, dof) > tail:
+        low, high = high, 4 * high
+    t = min(max(t, low), high)
+    for _ in range(200):
+        over = 0.5 * two_sided_t(t, dof) - tail  # falls in t
+        low, high = (t, high) if over > 0 else (low, t)
+        density = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2) - 0.5 * math.log(dof * math.pi) - (dof + 1) / 2 * math.log1p(t * t / dof))
+        step = t + over / density if density > 0 else math.inf
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - t) <= 1e-15 * abs(new):
+            return new
+        t = new
+    return t
+
+
 def f_upper(f: Number, d1: Number, d2: Number):
     """P(F >= f), without cancellation."""
     return regularized_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))

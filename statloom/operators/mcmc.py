@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,11 +36,10 @@ class Target:
         return len(self.priors)
 
     def log_likelihood(self, x: np.ndarray, y: np.ndarray, params: np.ndarray, variance: float) -> float:
-        """Sum of the logarithms of normal densities of the residuals; 0 for variance 0."""
+        """Sum of the logarithms of normal densities of the residuals; a variance of 0 counts as 1."""
         if len(x) != len(y) or len(params) != len(self.priors):
             raise ArraySizeError("arrays of other sizes than expected")
-        if variance == 0:
-            return 0.0
+        variance = variance or 1.0
         r = np.asarray(y, float) - self.model(np.asarray(x, float), np.asarray(params, float))
         return float(-0.5 * (r @ r / variance + len(r) * math.log(2 * math.pi * variance)))
 
@@ -59,10 +59,12 @@ class Target:
         return sum(map(math.log, p)) if all(v > 0 for v in p) else -math.inf
 
     def sample_variance_prior(self, variance: float, n: int, rng: np.random.Generator) -> np.ndarray:
-        """Log-normal draws around a variance, inside [6e-6, 6] deviations."""
-        s = math.log(max(variance, 1e-300))
-        out = np.exp(s + self.data_noise * rng.standard_normal(n))
-        return np.clip(out, 6e-6 * self.data_noise, None)
+        """Log-normal draws around a variance, of those inside [6e-6, 6] deviations only (a deviation of 0 counts as 1)."""
+        d, mid = self.data_noise or 1.0, math.log(max(variance, 1e-300))
+        normal = NormalDist(mid, d)
+        low, high = math.log(6e-6 * d), math.log(6 * d)
+        share = rng.uniform(normal.cdf(low), normal.cdf(high), n)
+        return np.exp([min(max(normal.inv_cdf(u), low), high) if 0 < u < 1 else low if u <= 0 else high for u in share])
 
 
 @dataclass(frozen=True)

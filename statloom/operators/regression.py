@@ -2,11 +2,12 @@
 
 The data-sized work is one aggregate of powers of the centred and scaled
 predictor; each group then is one row, and the normal equations of that row are
-solved in Arrow batches. Statistics of the coefficients are expressions.
+solved in Arrow batches, where the statistics of the coefficients are finished too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidInputError
 from ..functions import kernel as K
-from ..functions.distributions import TDistribution
 from ..workers import importable
 
 
@@ -79,14 +79,28 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return importable(g).mapInPandas(invert, schema)
 
 
+def _statistics(parts: Iterator[pd.DataFrame], alpha: float) -> Iterator[pd.DataFrame]:
+    quantiles: dict[float, float] = {}
+    for part in parts:
+        out = []
+        for b, c, sse, n, p in zip(part["coefficient"], part["c"], part["sse"], part["n"], part["p"], strict=True):
+            dof = float(n - p)
+            se = math.sqrt(max(sse, 0.0) / dof * c) if dof > 0 and sse == sse and c >= 0 else math.nan
+            t = b / se if se > 0 else math.nan
+            if dof > 0 and dof not in quantiles:
+                quantiles[dof] = K.t_quantile(1 - alpha / 2, dof)
+            out.append((se, t, K.two_sided_t(float(t), dof) if t == t else math.nan, quantiles.get(dof, math.nan) * se))
+        yield part.assign(**dict(zip(("standard_error", "t_statistic", "probability", "confidence_interval"), np.array(out, float).reshape(-1, 4).T, strict=True)))
+
+
 def coefficient_statistics(fit: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Adds standard_error, t_statistic, probability, confidence_interval (half width) to rows with coefficient, c (the diagonal of (X'X)^-1), sse, n and p."""
-    dof = (F.col("n") - F.col("p")).cast("double")
-    s = fit.withColumn("dof", dof).withColumn("standard_error", F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.nullif(F.col("dof"), F.lit(0.0)) * F.col("c")))
-    s = s.withColumn("t_statistic", F.col("coefficient") / F.nullif(F.col("standard_error"), F.lit(0.0)))
-    s = s.withColumn("probability", K.two_sided_t(F.col("t_statistic"), F.col("dof")))
-    quantile = K.invert(lambda t: TDistribution(F.col("dof")).cdf(t), F.lit(1 - alpha / 2), F.lit(0.0), F.lit(1e5), 90)
-    return s.withColumn("confidence_interval", F.when(F.col("dof") > 0, quantile * F.col("standard_error")))
+    """Adds standard_error, t_statistic, probability, confidence_interval (half width) to rows with coefficient, c (the diagonal of (X'X)^-1), sse, n and p.
+
+    These are a few numbers per group and come out of Python already: they are
+    finished there, not as column expressions. Without degrees of freedom all four are null.
+    """
+    schema = T.StructType([*fit.schema, *[T.StructField(k, T.DoubleType()) for k in ("standard_error", "t_statistic", "probability", "confidence_interval")]])
+    return importable(fit).mapInPandas(lambda it: _statistics(it, alpha), schema)
 
 
 def _solve(parts: Iterator[pd.DataFrame], by: list[str], order: int, intercept: bool) -> Iterator[pd.DataFrame]:

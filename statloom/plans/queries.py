@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
@@ -213,10 +213,10 @@ def covariance_matrix(spark, sf):
 @query(f"""
 WITH s AS (SELECT l_returnflag, count(*)::DOUBLE AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity) AS sse, avg(l_quantity) AS m FROM lineitem GROUP BY ALL),
 t AS (SELECT l_returnflag, unnest([0, 1])::INT AS term, unnest([a, b]) AS coefficient, sqrt(sse / (n - 2)) * unnest([sqrt(1 / n + m * m / sxx), sqrt(1 / sxx)]) AS se, n - 2 AS dof FROM s)
-SELECT l_returnflag, term, round(coefficient, 4) AS coefficient, round(se, 6) AS standard_error, round(coefficient / se, 4) AS t_statistic, round({S.two_sided_t('coefficient / se', 'dof')}, 6) AS probability FROM t""")
+SELECT l_returnflag, term, round(coefficient, 4) AS coefficient, round(se, 6) AS standard_error, round(coefficient / se, 4) AS t_statistic, round({S.two_sided_t('coefficient / se', 'dof')}, 6) AS probability, round({S.t_quantile('1.959963984540054', 'dof')} * se, 6) AS confidence_interval FROM t""")
 def linear_least_squares(spark, sf):
     f = regression.linear_least_squares(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 1, by=["l_returnflag"])
-    return rounded(f.drop("confidence_interval"), {"coefficient": 4, "t_statistic": 4})
+    return rounded(f, {"coefficient": 4, "t_statistic": 4})
 
 
 @query("SELECT l_returnflag, unnest([0, 1])::INT AS term, round(unnest([0, sum(l_quantity * l_extendedprice) / sum(l_quantity ** 2)]), 4) AS coefficient FROM lineitem GROUP BY l_returnflag")
@@ -285,14 +285,28 @@ def doe_fit_two_way(spark, sf):
 _GRID = "(SELECT range AS id FROM range(1, 41))"
 
 
-@query(f"SELECT id, round(exp(lgamma((id + 1) / 2.0) - lgamma(id / 2.0) - 0.5 * ln(id * pi()) - (id + 1) / 2.0 * ln(1 + 0.25 * 0.25 * id * id / id)), 8) AS t_pdf, round(1 - 0.5 * {S.two_sided_t('id * 0.25', 'id')}, 8) AS t_cdf, round(exp(-0.5 * (id * 0.1 - 2) ** 2) / sqrt(2 * pi()), 8) AS n_pdf, round(CASE WHEN id > 20 THEN 1 - 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} END, 8) AS n_cdf, round(1 - {S.f_upper('id * 0.2', '8', '10')}, 8) AS f_cdf, round(exp(0.5 * ln(0.5 * id) * 3 - 0.25 * id - 2.5 * ln(2.0) - lgamma(2.5)), 8) AS c_pdf, round(1 - {S.gamma_q('2.5', '0.25 * id')}, 8) AS c_cdf, round(exp(lgamma(101) - lgamma(id + 1) - lgamma(101 - id) + id * ln(0.25) + (100 - id) * ln(0.75)), 8) AS b_pdf, round({S.ibeta('100 - id', 'id + 1', '0.75')}, 8) AS b_cdf, round(exp(id * ln(12.5) - 12.5 - lgamma(id + 1)), 8) AS p_pdf, round({S.gamma_q('id + 1', '12.5')}, 8) AS p_cdf, round(exp(-0.5 * ((ln(id * 0.5) - 1) / 0.5) ** 2) / (id * 0.5 * 0.5 * sqrt(2 * pi())), 8) AS l_pdf FROM {_GRID}")
+@query(f"SELECT id, round(exp(lgamma((id + 1) / 2.0) - lgamma(id / 2.0) - 0.5 * ln(id * pi()) - (id + 1) / 2.0 * ln(1 + 0.25 * 0.25 * id * id / id)), 8) AS t_pdf, round(1 - 0.5 * {S.two_sided_t('id * 0.25', 'id')}, 8) AS t_cdf, round(exp(-0.5 * (id * 0.1 - 2) ** 2) / sqrt(2 * pi()), 8) AS n_pdf, round(CASE WHEN id > 20 THEN 1 - 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} END, 8) AS n_cdf, round(1 - {S.f_upper('id * 0.2', '8', '10')}, 8) AS f_cdf, round(exp(0.5 * ln(0.5 * id) * 3 - 0.25 * id - 2.5 * ln(2.0) - lgamma(2.5)), 8) AS c_pdf, round(1 - {S.gamma_q('2.5', '0.25 * id')}, 8) AS c_cdf, round(exp(lgamma(101) - lgamma(id + 1) - lgamma(101 - id) + id * ln(0.25) + (100 - id) * ln(0.75)), 8) AS b_pdf, round({S.ibeta('100 - id', 'id + 1', '0.75')}, 8) AS b_cdf, round(exp(id * ln(12.5) - 12.5 - lgamma(id + 1)), 8) AS p_pdf, round({S.gamma_q('id + 1', '12.5')}, 8) AS p_cdf, round(exp(-0.5 * ((ln(id * 0.5) - 1) / 0.5) ** 2) / (id * 0.5 * 0.5 * sqrt(2 * pi())), 8) AS l_pdf, round(exp(4 * ln(8.0) + 5 * ln(10.0) + 3 * ln(id * 0.2) - 9 * ln(8 * id * 0.2 + 10) - lgamma(4) - lgamma(5) + lgamma(9)), 8) AS f_pdf, round(CASE WHEN ln(id * 0.5) > 1 THEN 1 - 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} END, 8) AS l_cdf FROM {_GRID}")
 def distributions(spark, sf):
     x = F.col("id").cast("double")
     t, n, f, c, b, p, q = D.TDistribution(x), D.NormalDistribution(), D.FDistribution(8.0, 10.0), D.ChiSquaredDistribution(5.0), D.BinomialDistribution(100.0, 0.25), D.PoissonDistribution(12.5), D.LogNormalDistribution(0.5, 1.0)
-    cols = {"t_pdf": t.pdf(x * 0.25), "t_cdf": t.cdf(x * 0.25), "n_pdf": n.pdf(x * 0.1 - 2), "n_cdf": n.cdf(x * 0.1 - 2), "f_cdf": f.cdf(x * 0.2), "c_pdf": c.pdf(x * 0.5), "c_cdf": c.cdf(x * 0.5), "b_pdf": b.pdf(x), "b_cdf": b.cdf(x), "p_pdf": p.pdf(x), "p_cdf": p.cdf(x), "l_pdf": q.pdf(x * 0.5)}
+    cols = {"t_pdf": t.pdf(x * 0.25), "t_cdf": t.cdf(x * 0.25), "n_pdf": n.pdf(x * 0.1 - 2), "n_cdf": n.cdf(x * 0.1 - 2), "f_cdf": f.cdf(x * 0.2), "c_pdf": c.pdf(x * 0.5), "c_cdf": c.cdf(x * 0.5), "b_pdf": b.pdf(x), "b_cdf": b.cdf(x), "p_pdf": p.pdf(x), "p_cdf": p.cdf(x), "l_pdf": q.pdf(x * 0.5), "f_pdf": f.pdf(x * 0.2), "l_cdf": q.cdf(x * 0.5)}
     return rounded(spark.range(1, 41).select("id", *[v.alias(k) for k, v in cols.items()]), 8)
 
 
+@query("""
+SELECT id, 0.0::DOUBLE AS t_mean, 0.0::DOUBLE AS t_mode, round((id + 2) / id::DOUBLE, 8) AS t_variance, round(id * 0.1::DOUBLE, 8) AS n_mean, round(id * 0.1::DOUBLE, 8) AS n_median, 0.25::DOUBLE AS n_variance, round((id + 4) / (id + 2.0), 8) AS f_mean, round(0.75 * (id + 4) / (id + 6.0), 8) AS f_mode,
+round(2.0 * (id + 4) ** 2 * (id + 10) / (8.0 * (id + 2) ** 2 * id), 8) AS f_variance, id::DOUBLE AS c_mean, greatest(id - 2, 0)::DOUBLE AS c_mode, 2.0::DOUBLE * id AS c_variance, round(id * 0.25::DOUBLE, 8) AS b_mean, round(id * 0.1875::DOUBLE, 8) AS b_variance, id + 0.5::DOUBLE AS p_mean, id + 0.5::DOUBLE AS p_variance,
+round(exp(id * 0.1 + 0.125), 6) AS l_mean, round(exp(id * 0.1), 6) AS l_median, round(exp(id * 0.1 - 0.25), 6) AS l_mode, round((exp(0.25) - 1) * exp(id * 0.2 + 0.25), 6) AS l_variance, round(exp(-0.5 * (2 - id) ** 2) / sqrt(2 * pi()), 8) AS recentred_pdf, round(id * 0.05::DOUBLE - 1, 6) AS n_quantile
+FROM (SELECT range AS id FROM range(1, 41))""")
+def distribution_properties(spark, sf):
+    x = F.col("id").cast("double")
+    t, n, f, c, b, p, q = D.TDistribution(x + 2), D.NormalDistribution(F.lit(0.5), x * 0.1), D.FDistribution(F.lit(8.0), x + 4), D.ChiSquaredDistribution(x), D.BinomialDistribution(x, F.lit(0.25)), D.PoissonDistribution(x + 0.5), D.LogNormalDistribution(F.lit(0.5), x * 0.1)
+    one = D.NormalDistribution(1.0, 0.0)
+    cols = {"t_mean": t.mean(), "t_mode": t.mode(), "t_variance": t.variance(), "n_mean": n.mean(), "n_median": n.median(), "n_variance": n.variance(), "f_mean": f.mean(), "f_mode": f.mode(), "f_variance": f.variance(), "c_mean": c.mean(), "c_mode": c.mode(), "c_variance": c.variance(), "b_mean": b.mean(), "b_variance": b.variance(), "p_mean": p.mean(), "p_variance": p.variance(), "l_mean": q.mean(), "l_median": q.median(), "l_mode": q.mode(), "l_variance": q.variance(), "recentred_pdf": one.recenter(x).pdf(F.lit(2.0)), "n_quantile": one.ppf(one.cdf(x * 0.05 - 1))}
+    out = spark.range(1, 41).select("id", *[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(k) for k, v in cols.items()])
+    return rounded(out, {k: 6 if k in ("l_mean", "l_median", "l_mode", "l_variance", "n_quantile") else 8 for k in cols})
+
+
 @query(f"SELECT id, round(exp(lgamma(id * 0.5) + lgamma(2.5) - lgamma(id * 0.5 + 2.5)), 8) AS beta, round({S.ibeta('id * 0.5', '2.5', '0.4')}, 8) AS regularized_beta, round({S.gamma_q('id * 0.5', '5.0')} , 8) AS gamma_q, round(exp(lgamma(id * 0.1 + 1)), 6) AS factorial, round(CASE WHEN id = 20 THEN 0 ELSE sign(id - 20) * (1 - {S.gamma_q('0.5', '((id - 20) * 0.1) ** 2')}) END, 8) AS erf FROM {_GRID}")
 def special_functions(spark, sf):
     x = F.col("id").cast("double")
@@ -325,9 +339,9 @@ def box_muller(spark, sf):
     return rounded(sampling.box_muller_sample(spark, 10.0, 2.0, 10_000, 7), 9)
 
 
-@query()
+@query(f"SELECT range AS i, round(-4 + 8 * {S.uniform('3', 'range', chr(39) + 'x' + chr(39))}, 9) AS value FROM range(40000) WHERE {S.uniform('3', 'range', chr(39) + 'u' + chr(39))} * 1.02 <= exp(-0.5 * (-4 + 8 * {S.uniform('3', 'range', chr(39) + 'x' + chr(39))}) ** 2) ORDER BY range LIMIT 2000")
 def rejection(spark, sf):
-    return sampling.rejection_sample(spark, D.NormalDistribution(1.0, 0.0), 2000, -4.0, 4.0, 3)
+    return rounded(sampling.rejection_sample(spark, D.NormalDistribution(1.0, 0.0), 2000, -4.0, 4.0, 3), 9)
 
 
 @query(f"SELECT range AS i, round(1 + 2 * {S.normal('5', 'range', '0')}, 9) AS x0, round(-1 + 0.5 * {S.normal('5', 'range', '0')} + 1 * {S.normal('5', 'range', '1')}, 9) AS x1 FROM range(2000)")

@@ -28,6 +28,11 @@ def two_sided_t(t: str, v: str) -> str:
     return ibeta(f"({v}) / 2", "0.5", f"({v}) / (({v}) + ({t}) * ({t}))")
 
 
+def t_quantile(z: str, v: str) -> str:
+    """The t quantile at the normal quantile z, by Fisher's expansion: for degrees of freedom in the thousands and more."""
+    return f"({z} + ({z} ** 3 + {z}) / (4 * ({v})) + (5 * {z} ** 5 + 16 * {z} ** 3 + 3 * {z}) / (96 * ({v}) ** 2) + (3 * {z} ** 7 + 19 * {z} ** 5 + 17 * {z} ** 3 - 15 * {z}) / (384 * ({v}) ** 3))"
+
+
 def f_upper(f: str, d1: str, d2: str) -> str:
     return ibeta(f"({d2}) / 2", f"({d1}) / 2", f"({d2}) / (({d2}) + ({d1}) * ({f}))")
 

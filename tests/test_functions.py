@@ -72,3 +72,15 @@ def test_properties():
     assert D.LogNormalDistribution(0.5, 1.0).cdf(math.e) == pytest.approx(0.5)
     m = D.MultivariateNormalDistribution().initialize([0, 0], [[1, 0.5], [0.5, 2]])
     assert m.pdf(0.0, 0.0) == pytest.approx(1 / (2 * math.pi * math.sqrt(1.75)))
+
+
+def test_t_quantile():
+    """Closed forms for 1 and 2 degrees of freedom, the cdf between, and the expansion for very many."""
+    for p in (0.6, 0.9, 0.975, 0.9999):
+        assert K.t_quantile(p, 1) == pytest.approx(math.tan(math.pi * (p - 0.5)), rel=1e-12)
+        assert K.t_quantile(p, 2) == pytest.approx((2 * p - 1) * math.sqrt(2 / (4 * p * (1 - p))), rel=1e-12)
+        assert K.t_quantile(1 - p, 5) == pytest.approx(-K.t_quantile(p, 5), rel=1e-12)
+        for dof in (3, 17.5, 400, 9999, 20_000):
+            assert 0.5 * K.two_sided_t(K.t_quantile(p, dof), float(dof)) == pytest.approx(1 - p, rel=1e-10)
+    assert K.t_quantile(0.975, 1e12) == pytest.approx(1.959963984540054, abs=1e-10)
+    assert math.isnan(K.t_quantile(0.975, 0)) and math.isnan(K.t_quantile(1.0, 5))

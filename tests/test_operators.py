@@ -284,3 +284,13 @@ def test_mcmc(spark):
 
 def _line(x, p):
     return p[0] * x + p[1]
+
+
+def test_variance_prior_stays_in_its_range():
+    """Draws are those of the log-normal inside the range: none piles up at a bound; variance 0 counts as 1."""
+    target = mcmc.Target(lambda x, p: p[0] * x, [D.NormalDistribution(1.0, 0.0)], 0.5)
+    v = target.sample_variance_prior(1.0, 4000, np.random.default_rng(1))
+    assert v.min() > 6e-6 * 0.5 and v.max() < 3 and (v == v.max()).sum() == 1
+    assert np.median(v) == pytest.approx(0.99, abs=0.05)
+    x = np.array([1.0, 2.0])
+    assert target.log_likelihood(x, 2 * x, [1.0], 0) == pytest.approx(target.log_likelihood(x, 2 * x, [1.0], 1.0))
