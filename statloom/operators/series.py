@@ -53,67 +53,75 @@ def allan_variance(df: DataFrame, value: str, order: Sequence[str], dt: float =
     return one.groupBy(*by, "m", "n").agg(F.sum(F.col("d") * F.col("d")).alias("q")).select(*by, F.col("m").cast("int").alias("m"), (F.col("m") * dt).alias("tau"), (F.col("q") / (2.0 * (F.col("n") - 2 * F.col("m") + 1) * F.col("m") * F.col("m"))).alias("allan_variance"))
 
 
-def _local_line(x: np.ndarray, y: np.ndarray, at: float, left: int, right: int, span: float, robust: np.ndarray | None) -> float | None:
-    """Weighted local line at ``at`` from the points left..right and those tied with the last; None if all weights vanish."""
-    h = max(at - x[left], x[right] - at)
-    end = right + 1
-    while end < len(x) and x[end] - at <= 0.999 * h:
-        end += 1
-    while end < len(x) and x[end] == x[end - 1]:
-        end += 1
-    part = slice(left, end)
-    d = np.abs(x[part] - at)
-    w = np.where(d <= 0.001 * h, 1.0, (1 - np.minimum(d / h if h > 0 else d * 0, 1) ** 3) ** 3)
-    w[d > 0.999 * h] = 0 if h > 0 else 1
-    if robust is not None:
-        w = w * robust[part]
-    total = w.sum()
-    if total <= 0:
-        return None
-    w = w / total
-    if h > 0:
-        mid = w @ x[part]
-        spread = w @ (x[part] - mid) ** 2
-        if np.sqrt(spread) > 0.001 * span:
-            w = w * (1 + (at - mid) / spread * (x[part] - mid))
-    return float(w @ y[part])
+#: Below the first share of a bandwidth a weight is 1, above the second 0; the first is also the least spread, as a share of the range, for which a line is fitted.
+NEAR_SHARE, FAR_SHARE = 0.001, 0.999
+#: Pairs of an anchor and a point that are weighted at once.
+PAIRS = 1 << 20
+
+
+def _anchors(x: np.ndarray, delta: float) -> np.ndarray:
+    """Places among distinct values at which lines are fitted: all, or each the last within ``delta`` of the one before."""
+    if delta <= 0:
+        return np.arange(len(x))
+    reach = np.maximum(np.searchsorted(x, x + delta, side="right") - 1, np.arange(len(x)) + 1)
+    out = [0]
+    while out[-1] < len(x) - 1:
+        out.append(min(int(reach[out[-1]]), len(x) - 1))
+    return np.array(out)
+
+
+def _lines(x: np.ndarray, y: np.ndarray, at: np.ndarray, width: np.ndarray, robust: np.ndarray) -> np.ndarray:
+    """Values at ``at`` of lines through the points within ``width``, weighted by tricube and ``robust``; nan where no weight is left."""
+    low = np.searchsorted(x, at - FAR_SHARE * width, side="left")
+    count = np.searchsorted(x, at + FAR_SHARE * width, side="right") - low
+    out = np.empty(len(at))
+    edges = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS)) + 1
+    for some in np.split(np.arange(len(at)), np.unique(edges[edges < len(at)])):
+        c = count[some]
+        who = np.repeat(np.arange(len(some)), c)
+        point = np.arange(len(who)) + np.repeat(low[some] - (np.cumsum(c) - c), c)
+        h = width[some][who]
+        share = np.abs(x[point] - at[some][who]) / np.where(h > 0, h, 1)
+        w = np.where(share <= NEAR_SHARE, 1.0, (1 - np.minimum(share, 1) ** 3) ** 3) * robust[point]
+        add = lambda v: np.bincount(who, v, len(some))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            total = add(w)
+            mid = add(w * x[point]) / total
+            off = x[point] - mid[who]
+            spread = add(w * off * off) / total
+            slope = np.where(np.sqrt(spread) > NEAR_SHARE * (x[-1] - x[0]), add(w * off * y[point]) / total / spread, 0.0)
+            out[some] = add(w * y[point]) / total + slope * (at[some] - mid)
+    return out
 
 
 def lowess_arrays(x: np.ndarray, y: np.ndarray, fraction: float = 0.2, steps: int = 2, delta: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smoothed values, robustness weights and residuals of one series with increasing x."""
+    """Smoothed values, robustness weights and residuals of one series with increasing x (Cleveland's locally weighted regression).
+
+    Equal x have one value. The bandwidth of a point is the distance to the
+    farthest of its nearest neighbours; as sums x[i] + x[i + near] grow with i, one
+    sorted search finds the neighbours of all points.
+    """
     n = len(x)
+    weight = np.ones(n)
     if n < 2:
-        return y.copy(), np.ones(n), np.zeros(n)
+        return y.copy(), weight, np.zeros(n)
     near = max(min(int(fraction * n), n), 2)
-    span, robust = x[-1] - x[0], None
-    fit = np.zeros(n)
+    value, first, back = np.unique(x, return_index=True, return_inverse=True)
+    anchors = _anchors(value, delta)
+    at = value[anchors]
+    left = np.searchsorted(x[: n - near] + x[near:], 2 * at)
+    width = np.maximum(at - x[left], x[left + near - 1] - at)
     for step in range(steps + 1):
-        left, right, done, i = 0, near - 1, -1, 0
-        while True:
-            while right < n - 1 and x[i] - x[left] > x[right + 1] - x[i]:
-                left, right = left + 1, right + 1
-            got = _local_line(x, y, x[i], left, right, span, robust)
-            fit[i] = y[i] if got is None else got
-            if done < i - 1:  # points that were skipped lie on the chord
-                a = (x[done + 1 : i] - x[done]) / (x[i] - x[done])
-                fit[done + 1 : i] = a * fit[i] + (1 - a) * fit[done]
-            done, cut = i, x[i] + delta
-            i = done + 1
-            while i < n and x[i] <= cut:
-                if x[i] == x[done]:
-                    fit[i], done = fit[done], i
-                i += 1
-            i = max(done + 1, i - 1)
-            if done >= n - 1:
-                break
-        rest = y - fit
-        if step == steps:
-            break
-        size = np.sort(np.abs(rest))
-        wide = 3 * (size[n // 2] + size[n - n // 2 - 1])
-        r = np.abs(rest)
-        robust = np.where(r <= 0.001 * wide, 1.0, np.where(r > 0.999 * wide, 0.0, (1 - np.minimum(r / wide if wide > 0 else r * 0, 1) ** 2) ** 2))
-    return fit, np.ones(n) if robust is None else robust, rest
+        got = _lines(x, y, at, width, weight)
+        fit = np.interp(value, at, np.where(np.isnan(got), y[first[anchors]], got))[back]
+        if step < steps:
+            size = np.abs(y - fit)
+            six = 6 * np.median(size)
+            share = size / (six if six > 0 else 1)
+            weight = np.where(share <= NEAR_SHARE, 1.0, np.where(share > FAR_SHARE, 0.0, (1 - np.minimum(share, 1) ** 2) ** 2))
+            if six == 0:
+                weight = np.where(size > 0, 0.0, 1.0)
+    return fit, weight, y - fit
 
 
 def lowess(df: DataFrame, x: str, y: str, fraction: float = 0.2, steps: int = 2, delta: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
