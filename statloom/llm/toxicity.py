@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         n1, n = rows.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.lit(1))).first()
         names = select_features(rows, n1, n - n1)
         place = {f: i for i, f in enumerate(names)}
-        got = map_rows(rows, lambda it: _present(it, place), "y int, at array<int>, marked long").orderBy("y", "at", "marked").collect()
+        got = sorted(map_rows(rows, lambda it: _present(it, place), "y int, at array<int>, marked long").collect())
     grade = np.clip(np.array([r.y for r in got], np.int64), 0, GRADES)
     if len(grade) and grade.max() <= 1:
         grade = grades_of(np.array([r.marked for r in got]), grade > 0)
