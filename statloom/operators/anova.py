@@ -36,10 +36,14 @@ def one_factor(df: DataFrame, value: str, level: str, by: Sequence[str] = ()) ->
 
 
 def two_factor(df: DataFrame, value: str, factor1: str, factor2: str, by: Sequence[str] = (), check: bool = True) -> DataFrame:
-    """Rows main, main2, interaction, within, total of a balanced design with replication.
+    """Rows main, main2, interaction, within, total of a two-factor design with replication.
 
-    Cells, rows, columns and the whole come from one pass with grouping sets. With
-    ``check`` an unbalanced design raises an error when the result is computed.
+    Cells of unequal sizes are analysed by their unweighted means: the effects are
+    those of the cell means, scaled by the harmonic mean of the cell sizes; within
+    and total are over all values. In a balanced design that is the usual analysis,
+    in others the parts do not add up to the total. With ``check`` an unbalanced
+    design raises an error when the result is computed; a pair of levels without
+    values always does. One aggregate over the rows, the rest over the cells.
     """
     by = list(by)
     if factor1 == factor2:
@@ -47,16 +51,19 @@ def two_factor(df: DataFrame, value: str, factor1: str, factor2: str, by: Sequen
     v = F.col(value).cast("double")
     cells = df.groupBy(*by, F.col(factor1).alias("f1"), F.col(factor2).alias("f2")).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s2")).filter("n > 0")
     sets = [[*by, "f1", "f2"], [*by, "f1"], [*by, "f2"], by]
-    g = cells.groupingSets(sets, *by, "f1", "f2").agg(F.grouping("f1").alias("no1"), F.grouping("f2").alias("no2"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"), F.sum((F.col("n") - 1) * F.coalesce("s2", F.lit(0.0))).alias("ssw"), F.min("n").alias("least"), F.max("n").alias("most"))
-    whole = (F.col("no1") == 1) & (F.col("no2") == 1)
-    pick = lambda a, b: F.collect_list(F.when((F.col("no1") == a) & (F.col("no2") == b), F.struct("n", "m")))
-    s = g.groupBy(*by).agg(pick(0, 0).alias("cell"), pick(0, 1).alias("row"), pick(1, 0).alias("col"), *[F.max(F.when(whole, F.col(c))).alias(c) for c in ("n", "m", "ssw", "least", "most")])
-    around = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x["n"] * (x["m"] - F.col("m")) * (x["m"] - F.col("m")))
-    s = s.select(*by, "n", "least", "most", F.size("row").alias("a"), F.size("col").alias("b"), F.size("cell").alias("c"), around("row").alias("ss1"), around("col").alias("ss2"), around("cell").alias("ssc"), F.col("ssw"))
+    g = cells.groupingSets(sets, *by, "f1", "f2").agg(F.grouping("f1").alias("no1"), F.grouping("f2").alias("no2"), F.sum("n").alias("n"), F.avg("m").alias("u"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"), (F.count(F.lit(1)) / F.sum(1 / F.col("n"))).alias("nh"), F.sum((F.col("n") - 1) * F.coalesce("s2", F.lit(0.0))).alias("ssw"), F.min("n").alias("least"), F.max("n").alias("most"))
+    of = lambda a, b, c: F.when((F.col("no1") == a) & (F.col("no2") == b), c)
+    # in a complete design the mean of row (column, cell) means is the unweighted grand mean
+    spread = lambda a, b: F.var_pop(of(a, b, F.col("u")))
+    s = g.groupBy(*by).agg(F.collect_list(of(0, 0, F.struct("n", "m"))).alias("cell"), *[F.count(of(*x, F.lit(1))).alias(k) for k, x in (("a", (0, 1)), ("b", (1, 0)), ("c", (0, 0)))], *[spread(*x).alias(k) for k, x in (("v1", (0, 1)), ("v2", (1, 0)), ("vc", (0, 0)))], *[F.max(of(1, 1, F.col(c))).alias(c) for c in ("n", "m", "nh", "ssw", "least", "most")])
+    between = F.aggregate("cell", F.lit(0.0), lambda t, x: t + x["n"] * (x["m"] - F.col("m")) * (x["m"] - F.col("m")))
+    scale = F.col("nh") * F.col("c")
+    s = s.select(*by, "n", "least", "most", "a", "b", "c", (scale * F.col("v1")).alias("ss1"), (scale * F.col("v2")).alias("ss2"), (scale * F.col("vc")).alias("ssc"), (between + F.col("ssw")).alias("sst"), "ssw")
+    right = F.col("c") == F.col("a") * F.col("b")
     if check:
-        balanced = (F.col("least") == F.col("most")) & (F.col("c") == F.col("a") * F.col("b"))
-        s = s.withColumn("ssw", F.when(balanced, F.col("ssw")).otherwise(F.raise_error(F.lit("the design is not balanced")).cast("double")))
-    s = s.select(*by, (F.col("a") - 1).alias("d1"), (F.col("b") - 1).alias("d2"), ((F.col("a") - 1) * (F.col("b") - 1)).alias("d3"), (F.col("n") - F.col("c")).alias("d4"), (F.col("n") - 1).alias("d5"), "ss1", "ss2", (F.col("ssc") - F.col("ss1") - F.col("ss2")).alias("ss3"), F.col("ssw").alias("ss4"), (F.col("ssc") + F.col("ssw")).alias("ss5"))
+        right = right & (F.col("least") == F.col("most"))
+    s = s.withColumn("ssw", F.when(right, F.col("ssw")).otherwise(F.raise_error(F.lit("the design is not balanced" if check else "a pair of levels has no values")).cast("double")))
+    s = s.select(*by, (F.col("a") - 1).alias("d1"), (F.col("b") - 1).alias("d2"), ((F.col("a") - 1) * (F.col("b") - 1)).alias("d3"), (F.col("n") - F.col("c")).alias("d4"), (F.col("n") - 1).alias("d5"), "ss1", "ss2", (F.col("ssc") - F.col("ss1") - F.col("ss2")).alias("ss3"), F.col("ssw").alias("ss4"), F.col("sst").alias("ss5"))
     return _rows(s, by, [("main", "d1", "ss1"), ("main2", "d2", "ss2"), ("interaction", "d3", "ss3"), ("within", "d4", "ss4"), ("total", "d5", "ss5")], "within")
 
 

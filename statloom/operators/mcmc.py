@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 from dataclasses import dataclass, field
 
@@ -18,6 +18,21 @@ from ..functions.distributions import Distribution, LogNormalDistribution
 from ..workers import importable
 
 
+def condense(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, x, y (mean), n, ss (squared deviations from the mean): all that a normal likelihood needs of the rows, one row per distinct x. Rows with a null are left out."""
+    v = F.col(y).cast("double")
+    rows = df.filter(F.col(x).isNotNull() & v.isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x"))
+    return rows.agg(F.avg(v).alias("y"), F.count(v).alias("n"), (F.var_pop(v) * F.count(v)).alias("ss")).orderBy(*by, "x")
+
+
+def squared_residuals(r: np.ndarray, n: np.ndarray | None = None, ss: np.ndarray | None = None) -> tuple[float, float]:
+    """Sum of squares and number of the residuals that points with residuals ``r`` stand for."""
+    if any(a is not None and len(a) != len(r) for a in (n, ss)):
+        raise ArraySizeError("as many counts and sums of squares as points")
+    n = np.ones(len(r)) if n is None else np.asarray(n, float)
+    return float(n @ (r * r) + (0.0 if ss is None else np.sum(ss))), float(n.sum())
+
+
 @dataclass
 class Target:
     """The model, the priors of its parameters and the noise of the variance's log-normal prior."""
@@ -35,16 +50,21 @@ class Target:
     def get_parameter_count(self) -> int:
         return len(self.priors)
 
-    def log_likelihood(self, x: np.ndarray, y: np.ndarray, params: np.ndarray, variance: float) -> float:
-        """Sum of the logarithms of normal densities of the residuals; a variance of 0 counts as 1."""
+    def log_likelihood(self, x: np.ndarray, y: np.ndarray, params: np.ndarray, variance: float, n: np.ndarray | None = None, ss: np.ndarray | None = None) -> float:
+        """Sum of the logarithms of normal densities of the residuals; a variance of 0 counts as 1.
+
+        With ``n`` and ``ss`` each point stands for n values with mean y whose squared
+        deviations from it add up to ss (see :func:`condense`); the sum is over all of them.
+        """
         if len(x) != len(y) or len(params) != len(self.priors):
             raise ArraySizeError("arrays of other sizes than expected")
         variance = variance or 1.0
         r = np.asarray(y, float) - self.model(np.asarray(x, float), np.asarray(params, float))
-        return float(-0.5 * (r @ r / variance + len(r) * math.log(2 * math.pi * variance)))
+        squares, count = squared_residuals(r, n, ss)
+        return float(-0.5 * (squares / variance + count * math.log(2 * math.pi * variance)))
 
-    def likelihood(self, x, y, params, variance: float) -> float:
-        return math.exp(self.log_likelihood(x, y, params, variance))
+    def likelihood(self, x, y, params, variance: float, n=None, ss=None) -> float:
+        return math.exp(self.log_likelihood(x, y, params, variance, n, ss))
 
     def evaluate_variance_prior(self, variance: float) -> float:
         return LogNormalDistribution(self.data_noise, 0.0).pdf(variance)
@@ -120,16 +140,17 @@ class ChainBuilder:
         self.rows.clear()
 
 
-def run_chain(x: np.ndarray, y: np.ndarray, target: Target, proposal: Proposal, iterations: int, rng: np.random.Generator, on_acceptance: Callable | None = None, on_rejection: Callable | None = None) -> tuple[ChainBuilder, np.ndarray]:
-    """States (parameters, variance) of one chain, the start first, and which moves were accepted."""
+def run_chain(x: np.ndarray, y: np.ndarray, target: Target, proposal: Proposal, iterations: int, rng: np.random.Generator, on_acceptance: Callable | None = None, on_rejection: Callable | None = None, n: np.ndarray | None = None, ss: np.ndarray | None = None) -> tuple[ChainBuilder, np.ndarray]:
+    """States (parameters, variance) of one chain, the start first, and which moves were accepted. ``n`` and ``ss`` as in :meth:`Target.log_likelihood`."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     p = np.array([float(d.mean()) for d in target.priors])
     r = y - target.model(x, p)
-    var = float(max(r @ r / max(1, len(r)), 1e-12))
+    squares, count = squared_residuals(r, n, ss)
+    var = max(squares / max(1.0, count), 1e-12)
     noise = LogNormalDistribution(target.data_noise, math.log(var))
 
     def posterior(q: np.ndarray, v: float) -> float:
-        return target.log_likelihood(x, y, q, v) + target.log_prior(q) + math.log(max(noise.pdf(v), 1e-300))
+        return target.log_likelihood(x, y, q, v, n, ss) + target.log_prior(q) + math.log(max(noise.pdf(v), 1e-300))
 
     chain, moves, now = ChainBuilder(len(p) + 1), np.zeros(iterations, bool), posterior(p, var)
     chain.push_new_state([*p, var])
@@ -153,15 +174,19 @@ def run_chain(x: np.ndarray, y: np.ndarray, target: Target, proposal: Proposal,
     return chain, moves
 
 
-def sample(spark: SparkSession, x, y, target: Target, chains: int = 4, iterations: int = 10_000, proposal: Proposal | None = None, seed: int = 0) -> DataFrame:
-    """chain, iter (from 1), params, variance, accepted. Chains are the parallel axis, each seeded by (seed, chain); the data go to each task, so they are meant to be small."""
+def sample(spark: SparkSession, x, y, target: Target, chains: int = 4, iterations: int = 10_000, proposal: Proposal | None = None, seed: int = 0, n=None, ss=None, on_acceptance: Callable | None = None, on_rejection: Callable | None = None) -> DataFrame:
+    """chain, iter (from 1), params, variance, accepted. Chains are the parallel axis, each seeded by (seed, chain).
+
+    The data go to each task, so they are meant to be small: give the sums of :func:`condense`
+    (``n``, ``ss``) for large tables. The hooks of :func:`run_chain` are called in the tasks.
+    """
     x, y, proposal = np.asarray(x, float), np.asarray(y, float), proposal or Proposal()
     schema = T.StructType([T.StructField("chain", T.LongType()), T.StructField("iter", T.IntegerType()), T.StructField("params", T.ArrayType(T.DoubleType())), T.StructField("variance", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for c in part["id"]:
-                chain, moves = run_chain(x, y, target, proposal, iterations, np.random.default_rng([seed, int(c)]))
+                chain, moves = run_chain(x, y, target, proposal, iterations, np.random.default_rng([seed, int(c)]), on_acceptance, on_rejection, n, ss)
                 s = chain.get_chain()
                 yield pd.DataFrame({"chain": int(c), "iter": np.arange(1, iterations + 1, dtype=np.int32), "params": list(s[:, :-1]), "variance": s[:, -1], "accepted": moves})
 

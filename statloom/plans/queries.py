@@ -160,25 +160,15 @@ def anova_one_factor(spark, sf):
     return rounded(a.select("source", "dof", (F.col("sum_of_squares") / 1e9).alias("ss"), "f_statistic", "probability"), {"ss": 4})
 
 
-_BAL = "SELECT o_orderpriority AS a, o_orderstatus AS b, o_totalprice AS v FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus))"
-
-
 @query(f"""
-WITH d AS ({_BAL}), gm AS (SELECT avg(v) AS m, count(*)::DOUBLE AS n FROM d),
-s AS (SELECT (SELECT sum(n * (x - m) ** 2) FROM (SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY a), gm) AS s1, (SELECT sum(n * (x - m) ** 2) FROM (SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY b), gm) AS s2,
- (SELECT sum(n * (x - m) ** 2) FROM (SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY a, b), gm AS g(m, z)) AS sc, (SELECT sum(w) FROM (SELECT var_samp(v) * (count(*) - 1) AS w FROM d GROUP BY a, b)) AS sw,
- (SELECT count(DISTINCT a) FROM d)::DOUBLE AS k, (SELECT count(DISTINCT b) FROM d)::DOUBLE AS l, (SELECT n FROM gm) AS n),
-q AS (SELECT 'main' AS source, k - 1 AS dof, s1 AS ss, sw / (n - k * l) AS e, n - k * l AS d2 FROM s UNION ALL SELECT 'main2', l - 1, s2, sw / (n - k * l), n - k * l FROM s UNION ALL SELECT 'interaction', (k - 1) * (l - 1), sc - s1 - s2, sw / (n - k * l), n - k * l FROM s)
+WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n, avg(o_totalprice) AS m, coalesce(var_samp(o_totalprice), 0) * (count(*) - 1) AS w FROM orders GROUP BY ALL),
+r AS (SELECT avg(m) AS m FROM c GROUP BY a), l AS (SELECT avg(m) AS m FROM c GROUP BY b),
+s AS (SELECT sum(n) AS n, sum(w) AS w, count(*)::DOUBLE AS k, count(*) / sum(1 / n) AS h, var_pop(m) AS vc, (SELECT var_pop(m) FROM r) AS v1, (SELECT var_pop(m) FROM l) AS v2, (SELECT count(*) FROM r)::DOUBLE AS k1, (SELECT count(*) FROM l)::DOUBLE AS k2, (SELECT var_pop(o_totalprice) * count(*) FROM orders) AS t FROM c),
+q AS (SELECT 'main' AS source, k1 - 1 AS dof, h * k * v1 AS ss, w / (n - k) AS e, n - k AS d2 FROM s UNION ALL SELECT 'main2', k2 - 1, h * k * v2, w / (n - k), n - k FROM s UNION ALL SELECT 'interaction', (k1 - 1) * (k2 - 1), h * k * (vc - v1 - v2), w / (n - k), n - k FROM s)
 SELECT source, dof, round(ss / 1e9, 4) AS ss, round(ss / dof / e, 6) AS f_statistic, round({S.f_upper('ss / dof / e', 'dof', 'd2')}, 6) AS probability FROM q
-UNION ALL SELECT 'within', n - k * l, round(sw / 1e9, 4), NULL, NULL FROM s UNION ALL SELECT 'total', n - 1, round((sc + sw) / 1e9, 4), NULL, NULL FROM s""".replace(", gm AS g(m, z)) AS sc", ", gm AS g(m, z)) AS sc").replace("(SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY a), gm)", "(SELECT count(*) AS c, avg(v) AS x FROM d GROUP BY a), gm)").replace("sum(n * (x - m) ** 2) FROM (SELECT count(*) AS c", "sum(c * (x - m) ** 2) FROM (SELECT count(*) AS c").replace("sum(n * (x - m) ** 2) FROM (SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY b), gm)", "sum(c * (x - m) ** 2) FROM (SELECT count(*) AS c, avg(v) AS x FROM d GROUP BY b), gm)").replace("sum(n * (x - m) ** 2) FROM (SELECT count(*) AS n, avg(v) AS x FROM d GROUP BY a, b), gm AS g(m, z))", "sum(c * (x - m) ** 2) FROM (SELECT count(*) AS c, avg(v) AS x FROM d GROUP BY a, b), gm)"))
+UNION ALL SELECT 'within', n - k, round(w / 1e9, 4), NULL, NULL FROM s UNION ALL SELECT 'total', n - 1, round(t / 1e9, 4), NULL, NULL FROM s""")
 def anova_two_factor(spark, sf):
-    from pyspark.sql.window import Window
-
-    o = table(spark, sf, "orders")
-    cell = ["o_orderpriority", "o_orderstatus"]
-    least = o.groupBy(*cell).count().agg(F.min("count").alias("r"))  # one row
-    rows = o.withColumn("i", F.row_number().over(Window.partitionBy(*cell).orderBy("o_orderkey"))).crossJoin(F.broadcast(least)).filter("i <= r")
-    a = anova.two_factor(rows, "o_totalprice", *cell)
+    a = anova.two_factor(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", "o_orderstatus", check=False)
     return rounded(a.select("source", "dof", (F.col("sum_of_squares") / 1e9).alias("ss"), "f_statistic", "probability"), {"ss": 4})
 
 
@@ -451,11 +441,11 @@ def interpolate_hermite(spark, sf):
 # --- Markov chains ---
 @query()
 def mcmc_regression(spark, sf):
-    """A line through the average price by quantity, four chains."""
-    rows = table(spark, sf, "lineitem").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("y")).orderBy("l_quantity").collect()  # one row per quantity, of which there are 50
+    """A line through the prices of all rows by quantity, four chains. The likelihood is that of every row, from sums per quantity."""
+    rows = mcmc.condense(table(spark, sf, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("y")), "l_quantity", "y").collect()  # one row per quantity, of which there are 50
     target = mcmc.Target(_line, [D.NormalDistribution(20.0, 0.0), D.NormalDistribution(2.0, 1.5)])
-    x, y = np.array([r.l_quantity for r in rows]), np.array([r.y / 1000 for r in rows])
-    return rounded(mcmc.summary(mcmc.burn_in(mcmc.sample(spark, x, y, target, 4, 2000, mcmc.Proposal(scale=0.02)), 0.5)), 8)
+    x, y, n, ss = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n", "ss"))
+    return rounded(mcmc.summary(mcmc.burn_in(mcmc.sample(spark, x, y, target, 4, 2000, mcmc.Proposal(scale=0.002), n=n, ss=ss), 0.5)), 8)
 
 
 def _line(x: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -294,3 +294,41 @@ def test_variance_prior_stays_in_its_range():
     assert np.median(v) == pytest.approx(0.99, abs=0.05)
     x = np.array([1.0, 2.0])
     assert target.log_likelihood(x, 2 * x, [1.0], 0) == pytest.approx(target.log_likelihood(x, 2 * x, [1.0], 1.0))
+
+
+def test_two_factor_unequal_cells(spark):
+    """Brute force by unweighted means, over all rows; a missing cell is an error."""
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i}", f"c{j}", float(i * 2 + j + i * j + rng.standard_normal())) for i in range(2) for j in range(3) for _ in range(2 + 3 * i + j)]
+    df = spark.createDataFrame(rows, "f1 string, f2 string, v double")
+    got = {x.source: x for x in anova.two_factor(df, "v", "f1", "f2", check=False).collect()}
+    cell = {(a, b): np.array([v for x, y, v in rows if (x, y) == (a, b)]) for a in ("r0", "r1") for b in ("c0", "c1", "c2")}
+    m = np.array([[cell[a, b].mean() for b in ("c0", "c1", "c2")] for a in ("r0", "r1")])
+    h = 6 / sum(1 / len(x) for x in cell.values())
+    r, c = m.mean(axis=1, keepdims=True), m.mean(axis=0, keepdims=True)
+    v = np.array([x[2] for x in rows])
+    want = {"main": h * 3 * ((r - m.mean()) ** 2).sum(), "main2": h * 2 * ((c - m.mean()) ** 2).sum(), "interaction": h * ((m - r - c + m.mean()) ** 2).sum(), "within": sum(((x - x.mean()) ** 2).sum() for x in cell.values()), "total": ((v - v.mean()) ** 2).sum()}
+    for k, ss in want.items():
+        assert got[k].sum_of_squares == pytest.approx(ss, rel=1e-9)
+    assert [got[k].dof for k in want] == [1, 2, 2, len(rows) - 6, len(rows) - 1]
+    with pytest.raises(Exception, match="not balanced"):
+        anova.two_factor(df, "v", "f1", "f2").collect()
+    with pytest.raises(Exception, match="no values"):
+        anova.two_factor(df.filter("f1 = 'r0' or f2 <> 'c2'"), "v", "f1", "f2", check=False).collect()
+
+
+def test_likelihood_of_condensed_rows(spark):
+    """The sums per x give the likelihood of every row."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, 200).astype(float)
+    y = 2 * x + 1 + rng.standard_normal(200)
+    rows = mcmc.condense(spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1.0), (1.0, None)], "x double, y double"), "x", "y").collect()
+    cx, cy, n, ss = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n", "ss"))
+    t = mcmc.Target(lambda x, p: p[0] * x + p[1], [D.NormalDistribution(2.0, 0.0), D.NormalDistribution(1.0, 0.0)])
+    for p, v in (((2.0, 1.0), 1.0), ((1.5, 0.2), 3.0)):
+        assert t.log_likelihood(cx, cy, np.array(p), v, n, ss) == pytest.approx(t.log_likelihood(x, y, np.array(p), v), rel=1e-12)
+    seen = []
+    chain, moves = mcmc.run_chain(cx, cy, t, mcmc.Proposal(), 30, np.random.default_rng(1), lambda *a: seen.append(1), lambda *a: seen.append(0), n, ss)
+    assert len(seen) == 29 and sum(seen) == moves.sum()
+    with pytest.raises(Exception):
+        t.log_likelihood(cx, cy, np.array([1.0, 1.0]), 1.0, n[1:], ss)
