@@ -86,6 +86,8 @@ def spline_second_derivatives(x: np.ndarray, y: np.ndarray, begin: int = SPLINE_
     n, h = len(x), np.diff(x)
     if n == 2 and begin not in (1001, 1002) and end not in (1001, 1002):
         return np.zeros(2)
+    if n > 4:
+        return _sweep(h, np.diff(y) / h, (begin, begin_value), (end, end_value))
     slope = np.diff(y) / h
     a, b = np.zeros((n, n)), np.zeros(n)
     for i in range(1, n - 1):
@@ -112,6 +114,36 @@ def spline_second_derivatives(x: np.ndarray, y: np.ndarray, begin: int = SPLINE_
     return np.linalg.solve(a, b) if np.linalg.matrix_rank(a) == n else np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def _outermost(kind: int, value: float, h: np.ndarray, slope: float) -> tuple[float, float, float]:
+    """(p, q, r): y'' at an end is p times that of the next knot, q times that of the one after, plus r. ``h`` and the end interval's ``slope`` are given outwards in."""
+    if kind == SPLINE_KNOWN_FIRST_DERIVATIVE:
+        return -0.5, 0.0, 3 * (slope - value) / h[0]
+    if kind == SPLINE_KNOWN_SECOND_DERIVATIVE:
+        return 0.0, 0.0, value
+    if kind == SPLINE_CONTINUOUS_THIRD_DERIVATIVE:
+        return (h[0] + h[1]) / h[1], -h[0] / h[1], 0.0
+    return 1.0, 0.0, 0.0
+
+
+def _sweep(h: np.ndarray, slope: np.ndarray, begin: tuple[int, float], end: tuple[int, float]) -> np.ndarray:
+    """y'' at five knots or more: with the ends replaced by what they are in terms of their neighbours, the inner rows are tridiagonal and dominated by their diagonal."""
+    low, mid, up, right = h[:-1] / 6, (h[:-1] + h[1:]) / 3, h[1:] / 6, np.diff(slope)
+    p, q, r = _outermost(*begin, h[:2], slope[0])
+    u, v, w = _outermost(*end, h[:-3:-1], slope[-1])
+    if end[0] == SPLINE_KNOWN_FIRST_DERIVATIVE:
+        w = -w
+    mid[0], up[0], right[0] = mid[0] + low[0] * p, up[0] + low[0] * q, right[0] - low[0] * r
+    mid[-1], low[-1], right[-1] = mid[-1] + up[-1] * u, low[-1] + up[-1] * v, right[-1] - up[-1] * w
+    for i in range(1, len(mid)):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        right[i] -= f * right[i - 1]
+    m = right / mid
+    for i in range(len(mid) - 2, -1, -1):
+        m[i] = (right[i] - up[i] * m[i + 1]) / mid[i]
+    return np.concatenate([[p * m[0] + q * m[1] + r], m, [u * m[-1] + v * m[-2] + w]])
+
+
 def spline(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, begin: int = SPLINE_QUADRATIC_OVER_INTERVAL, begin_value: float = 0.0, end: int = SPLINE_QUADRATIC_OVER_INTERVAL, end_value: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """``values`` with interpolated: cubic spline. The knots of a group are solved in one task; values join their segment as in :func:`linear`."""
     by = list(by)

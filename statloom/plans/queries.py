@@ -399,6 +399,19 @@ def lowess(spark, sf):
     return rounded(series.lowess(daily(spark, sf), "t", "v", 0.4, 2, 0.0, ["event_type"]), 8)
 
 
+@query(f"""
+WITH d AS (SELECT event_type, datediff('day', DATE '2024-01-01', d::DATE)::DOUBLE AS x, v AS y FROM ({_DAILY})), n AS (SELECT event_type, greatest(least(floor(0.4 * count(*)), count(*)), 2) AS near FROM d GROUP BY ALL),
+p AS (SELECT a.event_type, a.x, a.y, b.x AS u, b.y AS v, abs(b.x - a.x) AS far, row_number() OVER (PARTITION BY a.event_type, a.x ORDER BY abs(b.x - a.x)) AS i FROM d a JOIN d b USING (event_type)),
+h AS (SELECT event_type, x, max(far) AS h FROM p JOIN n USING (event_type) WHERE i <= near GROUP BY ALL),
+w AS (SELECT p.*, CASE WHEN far <= 0.001 * h THEN 1.0 WHEN far <= 0.999 * h THEN (1 - (far / h) ** 3) ** 3 ELSE 0 END AS w FROM p JOIN h USING (event_type, x)),
+s AS (SELECT event_type, x, y, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv, sum(w * u * u) / sum(w) AS uu, sum(w * u * v) / sum(w) AS uv FROM w GROUP BY ALL),
+r AS (SELECT event_type, x, y, mv + (x - mu) * (uv - mu * mv) / (uu - mu * mu) AS smoothed FROM s)
+SELECT event_type, x, round(y, 6) AS y, round(smoothed, 6) AS smoothed, 1.0::DOUBLE AS weight, round(y - smoothed, 6) AS residual FROM r""")
+def lowess_lines(spark, sf):
+    """Without robustness steps."""
+    return rounded(series.lowess(daily(spark, sf), "t", "v", 0.4, 0, 0.0, ["event_type"]), 6)
+
+
 # --- interpolation ---
 _KNOTS = f"SELECT event_type, datediff('day', DATE '2024-01-01', d::DATE)::DOUBLE AS x, v AS y FROM ({_DAILY})"
 _AT = "SELECT event_id, event_type, epoch(ts - TIMESTAMP '2024-01-01') / 86400 AS x FROM events"
@@ -424,7 +437,15 @@ def interpolate_polynomial(spark, sf):
     return rounded(interp.polynomial(daily(spark, sf).select("event_type", "t", "v"), at_time(spark, sf), "t", "v", "x", 2, ["event_type"]).select("event_id", "interpolated"), 4)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE k AS (SELECT event_type, x, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s FROM ({_KNOTS}) WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+l AS (SELECT *, lag(h) OVER w AS g, lag(s) OVER w AS r FROM k WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+t AS (SELECT event_type, i, n, CASE WHEN i = 2 THEN 0 ELSE g / 6 END AS a, (g + h) / 3 + CASE WHEN i = 2 THEN g / 6 ELSE 0 END + CASE WHEN i = n - 1 THEN h / 6 ELSE 0 END AS b, CASE WHEN i = n - 1 THEN 0 ELSE h / 6 END AS c, s - r AS d FROM l WHERE i BETWEEN 2 AND n - 1),
+f AS (SELECT event_type, i, n, c / b AS p, d / b AS q FROM t WHERE i = 2 UNION ALL SELECT t.event_type, t.i, t.n, t.c / (t.b - t.a * f.p), (t.d - t.a * f.q) / (t.b - t.a * f.p) FROM f JOIN t ON t.event_type = f.event_type AND t.i = f.i + 1),
+u AS (SELECT event_type, i, n, q AS m FROM f WHERE i = n - 1 UNION ALL SELECT f.event_type, f.i, f.n, f.q - f.p * u.m FROM u JOIN f ON f.event_type = u.event_type AND f.i = u.i - 1),
+m AS (SELECT event_type, i, m FROM u UNION ALL SELECT event_type, 1, m FROM u WHERE i = 2 UNION ALL SELECT event_type, n, m FROM u WHERE i = n - 1),
+z AS (SELECT k.event_type, CASE WHEN k.i = 1 THEN -1e300 ELSE x END AS start, x AS x0, y AS c0, s - h * (2 * a.m + b.m) / 6 AS c1, a.m / 2 AS c2, (b.m - a.m) / (6 * h) AS c3 FROM k JOIN m a ON a.event_type = k.event_type AND a.i = k.i JOIN m b ON b.event_type = k.event_type AND b.i = k.i + 1)
+SELECT e.event_id, round(c0 + (e.x - x0) * (c1 + (e.x - x0) * (c2 + (e.x - x0) * c3)), 4) AS interpolated FROM ({_AT}) e ASOF JOIN z ON e.event_type = z.event_type AND e.x >= z.start""")
 def interpolate_spline(spark, sf):
     return rounded(interp.spline(daily(spark, sf).select("event_type", "t", "v"), at_time(spark, sf), "t", "v", "x", by=["event_type"]).select("event_id", "interpolated"), 4)
 
@@ -448,6 +469,18 @@ def mcmc_regression(spark, sf):
     return rounded(mcmc.summary(mcmc.burn_in(mcmc.sample(spark, x, y, target, 4, 2000, mcmc.Proposal(scale=0.002), n=n, ss=ss), 0.5)), 8)
 
 
+@query("""
+WITH p(slope, v) AS (VALUES (1.5, 100.0), (1.4, 200.0), (0.0, 1.0)), r AS (SELECT slope, v, l_extendedprice / 1000 - 4 - slope * l_quantity AS r FROM lineitem, p)
+SELECT slope::DOUBLE AS slope, v::DOUBLE AS variance, round(sum(-0.5 * (r * r / v + ln(2 * pi() * v))), 2) AS log_likelihood, round(exp(-0.5 * (4.0 / 20) ** 2) / (20 * sqrt(2 * pi())) * exp(-0.5 * ((slope - 1.5) / 2) ** 2) / (2 * sqrt(2 * pi())), 12) AS prior, round(exp(-0.5 * ln(v) ** 2) / (v * sqrt(2 * pi())), 12) AS variance_prior FROM r GROUP BY slope, v""")
+def mcmc_likelihood(spark, sf):
+    """What the sampler evaluates, for all rows: likelihood from sums per quantity, prior of the parameters, prior of the variance."""
+    rows = mcmc.condense(table(spark, sf, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("y")), "l_quantity", "y").collect()  # one row per quantity, of which there are 50
+    target = mcmc.Target(_line, [D.NormalDistribution(20.0, 0.0), D.NormalDistribution(2.0, 1.5)])
+    x, y, n, ss = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n", "ss"))
+    of = [(b, v, target.log_likelihood(x, y, np.array([4.0, b]), v, n, ss), target.evaluate_prior([4.0, b]), float(target.evaluate_variance_prior(v))) for b, v in ((1.5, 100.0), (1.4, 200.0), (0.0, 1.0))]
+    return rounded(spark.createDataFrame(of, "slope double, variance double, log_likelihood double, prior double, variance_prior double"), {"log_likelihood": 2, "prior": 12, "variance_prior": 12})
+
+
 def _line(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p[0] + p[1] * x
 

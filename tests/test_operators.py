@@ -332,3 +332,20 @@ def test_likelihood_of_condensed_rows(spark):
     assert len(seen) == 29 and sum(seen) == moves.sum()
     with pytest.raises(Exception):
         t.log_likelihood(cx, cy, np.array([1.0, 1.0]), 1.0, n[1:], ss)
+
+
+def test_spline_ends_by_definition():
+    """The second derivatives fulfil the rows of the system: continuity inside, the conditions at both ends; for all ends, few knots and many."""
+    rng = np.random.default_rng(7)
+    for n in (5, 6, 40, 20_000):
+        x = np.cumsum(rng.uniform(0.5, 2, n)) if n != 6 else np.arange(6.0)
+        y = rng.standard_normal(n)
+        h, slope = np.diff(x), np.diff(y) / np.diff(x)
+        for begin in (1000, 1001, 1002, 1003):
+            for end in (1000, 1001, 1002, 1003):
+                m = interp.spline_second_derivatives(x, y, begin, 0.7, end, -0.4)
+                assert np.allclose(h[:-1] * m[:-2] / 6 + (h[:-1] + h[1:]) * m[1:-1] / 3 + h[1:] * m[2:] / 6, np.diff(slope), atol=1e-9)
+                first, last = slope[0] - h[0] * (2 * m[0] + m[1]) / 6, slope[-1] + h[-1] * (m[-2] + 2 * m[-1]) / 6
+                third = np.diff(m) / h
+                want = {1000: (m[0] - m[1], m[-1] - m[-2]), 1001: (first - 0.7, last + 0.4), 1002: (m[0] - 0.7, m[-1] + 0.4), 1003: (third[0] - third[1], third[-1] - third[-2])}
+                assert abs(want[begin][0]) < 1e-8 and abs(want[end][1]) < 1e-8
