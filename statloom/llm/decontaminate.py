@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, fresh, written
+from .common import BROADCAST_KEYS, HOT_ROWS, SALTS, ascii_lower, fresh, written
 
 #: A word of this operator: digits, a-z and everything beyond ASCII.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,13 +40,20 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     shingles = written(item_windows(items, window).withColumn("wid", F.xxhash64("win")).withColumn("wid", F.sha2(F.array_join("win", " "), 256)))
     wins = shingles.select("wid", "win").distinct()
     vocab = wins.select(F.explode("win").alias("w")).distinct()
-    few = len(wins.limit(BROADCAST_WINDOWS + 1).select(F.lit(1)).collect()) <= BROADCAST_WINDOWS
-    small = F.broadcast if few else (lambda df: df)
+    few = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     words = docs.select("row", tokens(F.col("text")).alias("ws"))
     # rarity over all documents, of the words that windows have
-    common = words.select(F.explode("ws").alias("w")).join(small(vocab), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    every, n = words.select(F.explode("ws").alias("w")), F.count(F.lit(1)).alias("df")
+    common = every.join(F.broadcast(vocab), "w", "left_semi").groupBy("w").agg(n) if few else every.groupBy("w").agg(n).join(vocab, "w", "left_semi")
     rarest = Window.partitionBy("wid").orderBy(F.coalesce("df", F.lit(0)), "w", "at")
-    prefix = wins.select("wid", "win", F.posexplode("win").alias("at", "w")).join(common, "w", "left").withColumn("r", F.row_number().over(rarest)).filter("r = 1 and df > 0").select("wid", "win", "at", "w")
+    # a word that many windows have must not bring them all to one task: the counts of few words go to every task, those of many are dealt
+    of = wins.select("wid", "win", F.posexplode("win").alias("at", "w"))
+    if few:
+        counted = of.join(F.broadcast(common), "w", "left")
+    else:
+        piece = F.pmod(F.xxhash64("wid"), F.lit(SALTS)).cast("int")
+        counted = of.withColumn("piece", piece).join(common.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["w", "piece"], "left")
+    prefix = counted.withColumn("r", F.row_number().over(rarest)).filter("r = 1 and df > 0").select("wid", "win", "at", "w", "df")
     prefix = written(prefix)
     if few:
         at = words.select("row", "ws", F.posexplode("ws").alias("pos", "w"))
@@ -58,7 +65,14 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
         near = F.slice("ws", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1)
         at = words.select("row", "ws", F.posexplode("ws").alias("pos", "w")).select("row", "w", "pos", near.alias("near"), F.least("pos", F.lit(window - 1)).alias("before"))
         same = F.slice("near", F.col("before") - F.col("at") + 1, F.size("win")) == F.col("win")
-        hits = at.join(prefix, (at["w"] == prefix["w"]) & (F.col("before") >= F.col("at")) & same)
+        # words with more than a share of all positions, of which there are fewer than BROADCAST_KEYS, are dealt into pieces
+        asked = prefix.groupBy("w").agg(F.max("df").alias("df"))
+        most = max(HOT_ROWS, (asked.agg(F.sum("df")).first()[0] or 0) // BROADCAST_KEYS)
+        pieces = F.least(F.ceil(F.col("df") / most), F.lit(SALTS)).cast("int")
+        hot = asked.filter(F.col("df") > most).select(F.col("w").alias("hot_w"), pieces.alias("pieces"))
+        at = at.join(F.broadcast(hot), F.col("w") == F.col("hot_w"), "left").withColumn("piece", F.pmod(F.xxhash64("row", "pos"), F.coalesce("pieces", F.lit(1))).cast("int"))
+        prefix = prefix.select("wid", "win", F.col("at"), F.col("w").alias("asked_w"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("asked_piece"))
+        hits = at.join(prefix, (F.col("w") == F.col("asked_w")) & (F.col("piece") == F.col("asked_piece")) & (F.col("before") >= F.col("at")) & same)
     return shingles, hits.select("row", (F.col("pos") - F.col("at")).alias("start"), F.size("win").alias("len"), "wid")
 
 

@@ -370,6 +370,8 @@ def test_both_joins_find_the_same(spark, docs, odd, monkeypatch):
     one = sorted(map(repr, decontaminate.contamination(both, items).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert one == sorted(map(repr, decontaminate.contamination(both, items).collect()))
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 1)  # words are dealt into pieces
+    assert one == sorted(map(repr, decontaminate.contamination(both, items).collect()))
     hit = {r.doc_id: r for r in decontaminate.contamination(odd, items).collect()}
     assert (hit[None].n_hit, hit[7].n_hit, hit[1].n_words) == (2, 1, 0)
     kept = decontaminate.drop_contaminated(odd, items)
