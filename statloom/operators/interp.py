@@ -32,23 +32,30 @@ def _asof(segments: DataFrame, values: DataFrame, x: str, by: Sequence[str], out
     return found.select(*values.columns, F.when(F.col("__x").isNotNull(), out).alias("interpolated"))
 
 
+def _after(now: Column, later: Column) -> Column:
+    """``later`` if it is beyond ``now``; equal knots are an error when the result is computed."""
+    return F.when(later > now, later).when(later.isNotNull(), F.raise_error(F.lit("knots are strictly monotonic")).cast("double"))
+
+
 def linear(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, by: Sequence[str] = ()) -> DataFrame:
-    """``values`` with interpolated: piecewise linear between the knots (x, y)."""
+    """``values`` with interpolated: piecewise linear between the knots (x, y). Knots without an x are left out; two with the same x are an error."""
     w = Window.partitionBy(*by).orderBy(x)
-    k = knots.select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.lead(F.col(x).cast("double")).over(w).alias("x1"), F.lead(F.col(y).cast("double")).over(w).alias("y1"), F.row_number().over(w).alias("i")).filter("x1 is not null")
-    seg = k.select(*by, F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x0")).alias("start"), F.struct("x0", "y0", "x1", "y1").alias("seg"))
+    k = knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.lead(F.col(x).cast("double")).over(w).alias("x1"), F.lead(F.col(y).cast("double")).over(w).alias("y1"), F.row_number().over(w).alias("i")).filter("x1 is not null")
+    seg = k.select(*by, F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x0")).alias("start"), F.struct("x0", "y0", _after(F.col("x0"), F.col("x1")).alias("x1"), "y1").alias("seg"))
     s = F.col("seg")
     return _asof(seg, values, at, by, s["y0"] + (F.col("__x") - s["x0"]) / (s["x1"] - s["x0"]) * (s["y1"] - s["y0"]))
 
 
 def polynomial(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, order: int = 2, by: Sequence[str] = ()) -> DataFrame:
-    """``values`` with interpolated: the polynomial through the order + 1 knots from the one before the value's segment on, shifted to lie inside the knots."""
+    """``values`` with interpolated: the polynomial through the order + 1 knots from the one before the value's segment on, shifted to lie inside the knots. Knots without an x are left out; two with the same x are an error."""
     if order < 1:
         raise PolynomialOrderError("the order is at least 1")
     by = list(by)
     w = Window.partitionBy(*by)
     o = w.orderBy("x0")
-    k = knots.select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"))
+    k = knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"))
+    before = F.lag("x0").over(o)
+    k = k.withColumn("x0", F.when(before.isNull(), F.col("x0")).otherwise(_after(before, F.col("x0"))))
     k = k.withColumn("i", F.row_number().over(o)).withColumn("n", F.count(F.lit(1)).over(w))
     # the window of knots that starts at i: for order 1 at the segment, else one before it
     k = k.withColumn("run", F.collect_list(F.struct("x0", "y0")).over(o.rowsBetween(0, order)))

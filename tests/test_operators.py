@@ -349,3 +349,13 @@ def test_spline_ends_by_definition():
                 third = np.diff(m) / h
                 want = {1000: (m[0] - m[1], m[-1] - m[-2]), 1001: (first - 0.7, last + 0.4), 1002: (m[0] - 0.7, m[-1] + 0.4), 1003: (third[0] - third[1], third[-1] - third[-2])}
                 assert abs(want[begin][0]) < 1e-8 and abs(want[end][1]) < 1e-8
+
+
+@pytest.mark.parametrize("method", [interp.linear, interp.polynomial])
+def test_equal_knots_are_an_error(spark, method):
+    knots = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (2.0, 5.0), (None, 9.0)], "x double, y double")
+    values = spark.createDataFrame([(0.5,), (2.0,)], "at double")
+    want = {interp.linear: 1.5, interp.polynomial: 1.25}[method]
+    assert {r.at: r.interpolated for r in method(knots, values, "x", "y", "at").collect()} == {0.5: want, 2.0: 5.0}
+    with pytest.raises(Exception, match="strictly monotonic"):
+        method(knots.unionByName(knots.filter("x = 1")), values, "x", "y", "at").collect()
