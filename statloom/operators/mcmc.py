@@ -152,11 +152,12 @@ def run_chain(x: np.ndarray, y: np.ndarray, target: Target, proposal: Proposal,
     def posterior(q: np.ndarray, v: float) -> float:
         return target.log_likelihood(x, y, q, v, n, ss) + target.log_prior(q) + math.log(max(noise.pdf(v), 1e-300))
 
+    jump = min(0.2, 2.4 * math.sqrt(2 / max(1.0, count)))  # log(variance) has about sqrt(2 / count) of width
     chain, moves, now = ChainBuilder(len(p) + 1), np.zeros(iterations, bool), posterior(p, var)
     chain.push_new_state([*p, var])
     for i in range(1, iterations):
         q = [proposal.draw(d, float(v), rng) for d, v in zip(target.priors, p, strict=True)]
-        v = var * math.exp(0.2 * rng.standard_normal())
+        v = var * math.exp(jump * rng.standard_normal())
         u = rng.random()
         if all(z is not None for z in q):
             q = np.array(q, float)
