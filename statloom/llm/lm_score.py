@@ -17,8 +17,8 @@ together.
 
 What is gathered grows with the corpus: words, classes and their counts come from
 all training documents. The network starts from ``MODEL_DOCS`` of them and is then
-fitted further by every task on the windows of a fixed share of its documents
-(one of ``SHARE``, by hash of the id); Spark averages the tasks' weights.
+fitted further by every task on all windows of all its training documents; Spark
+averages the tasks' weights.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod, id_sample, map_rows, written
 
 CLASSES, DIM, WINDOW, STRIDE = 128, 16, 32, 24
-#: The network starts from this many training documents (least hash of the id) and is fitted further on one in SHARE of all; the counts cover all of them.
-MODEL_DOCS, SHARE = 600, 32
+#: The network starts from this many training documents (least hash of the id) and is fitted further on one in SHARE of all, which is every one; the counts cover all of them.
+MODEL_DOCS, SHARE = 600, 1
 #: Every task holds the counts of the words that make up at least one in HEAD of all tokens, so of HEAD words at most: only the others of a text are shuffled.
 HEAD = 1 << 19
 #: Windows that a task fits at once.
 BLOCK = 8192
-#: Words in a worker's table before it is emptied, windows run at once, and windows that wait for it: all bound its memory.
+#: Words (or beginnings of words) in a worker's table before it is emptied, windows run at once, and windows that wait for it: all bound its memory.
 TABLE, CHUNK, PENDING = 100_000, 128, 4096
 START, END, OTHER = 0, 1, 2
 
@@ -98,20 +99,28 @@ def _sizes(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int]) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
 
+class _Table(dict):
+    """The class of each beginning of a word that was met."""
+
+    def __init__(self, pieces: dict[bytes, int]) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, start: bytes) -> int:
+        p = leading(start, self.pieces)
+        self[start] = k = OTHER if p is None else self.pieces[p]
+        return k
+
+
 class Classifier:
-    """Words to class ids, through a table that is emptied when it is full."""
+    """Words to class ids, through a table that is emptied when it is full. A class depends on no more of a word than the longest piece has."""
 
     def __init__(self, pieces: dict[bytes, int]) -> None:
-        self.pieces, self.table = pieces, {}
+        self.table, self.start = _Table(pieces), itemgetter(slice(max(map(len, pieces), default=0)))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        table, pieces = self.table, self.pieces
-        if len(table) > TABLE:
-            table.clear()
-        for w in set(words).difference(table):
-            p = leading(w, pieces)
-            table[w] = OTHER if p is None else pieces[p]
-        return np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        if len(self.table) > TABLE:
+            self.table.clear()
+        return np.fromiter(map(self.table.__getitem__, map(self.start, words)), np.int64, len(words))
 
 
 def windows(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +139,8 @@ def init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {"E": g(CLASSES, DIM) * 3, "P": g(WINDOW, DIM), "Q": g(DIM, DIM), "K": g(DIM, DIM), "V": g(DIM, DIM), "W": g(DIM, 2 * DIM), "c": np.zeros(2 * DIM, np.float32), "U": g(2 * DIM, DIM), "O": g(DIM, CLASSES), "b": np.zeros(CLASSES, np.float32)}
 
 
+#: What a position sees of its window, ones for sums of rows by one product, and the place of each weight of E.
+_FUTURE, _ONE, _CELL = np.tril(np.ones((WINDOW, WINDOW), np.float32)), np.ones(CLASSES, np.float32), np.arange(CLASSES * DIM).reshape(CLASSES, DIM)
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
 
 
@@ -150,7 +161,6 @@ def log_probability(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on:
     """log10 of the model's probability of each counted target, in the order of the windows. The same as :func:`hidden`, laid out for speed."""
     out = [np.empty(0)]
     qkv = np.concatenate([m["Q"] / np.float32(np.sqrt(DIM)), m["K"], m["V"]], axis=1)
-    future = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     for i in range(0, len(x), CHUNK):
         xs, ys, os = x[i : i + CHUNK], y[i : i + CHUNK], on[i : i + CHUNK]
         h = (m["E"][xs] + m["P"]).reshape(-1, DIM)
@@ -158,71 +168,96 @@ def log_probability(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on:
         a = q @ k.transpose(0, 2, 1)
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        a *= future
-        r = h + ((a @ v) / a.sum(axis=2, keepdims=True)).reshape(-1, DIM)
+        a *= _FUTURE
+        r = h + (a @ v).reshape(-1, DIM) / (a.reshape(-1, WINDOW) @ _ONE[:WINDOW])[:, None]
         r = r[os.ravel()]
         z = r @ m["W"]
         z += m["c"]
         np.maximum(z, 0, out=z)
         s = (r + z @ m["U"]) @ m["O"]
         s += m["b"]
-        s -= s.max(axis=1, keepdims=True)
+        if max(s.max(), -s.min()) > 60:  # only then an exponential could overflow or vanish
+            s -= s.max(axis=1, keepdims=True)
         got = s[np.arange(len(s)), ys[os]]
-        out.append((got - np.log(np.exp(s, out=s).sum(axis=1))).astype(np.float64) / np.log(10))
+        out.append((got - np.log(np.exp(s, out=s) @ _ONE)).astype(np.float64) / np.log(10))
     return np.concatenate(out)
 
 
-def train(seqs: list[np.ndarray], seed: int = 1, epochs: int = 3, batch: int = 64, most_windows: int = 24_000, start: dict[str, np.ndarray] | None = None, top: float = 0.01) -> dict[str, np.ndarray]:
-    """Adam on the mean cross-entropy of the counted targets, gradients by hand; from ``start``, if given. ``top`` is the highest rate."""
+def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the counted targets, by hand. The layers are those of :func:`hidden`, laid out for speed."""
+    at, scale = np.flatnonzero(on), np.float32(1 / np.sqrt(DIM))
+    wins = lambda w: w.reshape(len(x), WINDOW, -1)
+    qkv = np.concatenate([m["Q"] * scale, m["K"], m["V"]], axis=1)
+    h = (m["E"][x] + m["P"]).reshape(-1, DIM)
+    q, k, v = (wins(z) for z in np.split(h @ qkv, 3, axis=1))
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+    a *= _FUTURE
+    a /= wins(a.reshape(-1, WINDOW) @ _ONE[:WINDOW])
+    seen = (a @ v).reshape(-1, DIM)
+    r = (h + seen)[at]
+    z = r @ m["W"]
+    z += m["c"]
+    np.maximum(z, 0, out=z)
+    f = r + z @ m["U"]
+    p = f @ m["O"]
+    p += m["b"]
+    if max(p.max(), -p.min()) > 60:
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    each = np.float32(1 / max(1, len(at)))
+    p *= (each / (p @ _ONE))[:, None]
+    p[np.arange(len(p)), y.ravel()[at]] -= each
+    g = {"O": f.T @ p, "b": p.sum(axis=0)}
+    df = p @ m["O"].T
+    g["U"] = z.T @ df
+    dz = (df @ m["U"].T) * (z > 0)
+    g["W"], g["c"] = r.T @ dz, dz.sum(axis=0)
+    df += dz @ m["W"].T
+    dr = np.zeros_like(h)
+    dr[at] = df
+    ds = wins(dr) @ v.transpose(0, 2, 1)
+    ds -= wins(np.einsum("ij,ij->i", dr, seen))
+    ds *= a
+    d = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ wins(dr)], axis=2).reshape(-1, 3 * DIM)
+    g["Q"], g["K"], g["V"] = np.split(h.T @ d, 3, axis=1)
+    g["Q"] = g["Q"] * scale
+    dr += d @ qkv.T
+    g["P"], g["E"] = wins(dr).sum(axis=0), np.bincount(_CELL[x].ravel(), dr.ravel(), CLASSES * DIM)
+    return g
+
+
+def train(seqs: list[np.ndarray], seed: int = 1, epochs: int = 3, batch: int = 64, start: dict[str, np.ndarray] | None = None, top: float = 0.01) -> dict[str, np.ndarray]:
+    """The network fitted on all windows of the sequences."""
+    return train_windows([windows(s) for s in seqs if len(s) > 1], seed, epochs, batch, start, top)
+
+
+def train_windows(parts: list[tuple[np.ndarray, ...]], seed: int = 1, epochs: int = 3, batch: int = 64, start: dict[str, np.ndarray] | None = None, top: float = 0.01) -> dict[str, np.ndarray]:
+    """Adam on the mean cross-entropy of the counted targets of all windows; from ``start``, if given. ``top`` is the highest rate."""
     rng = np.random.default_rng(seed)
-    m = init(rng) if start is None else {k: v.copy() for k, v in start.items()}
-    parts = [windows(s) for s in seqs if len(s) > 1]
+    m = init(rng) if start is None else start
     if not parts:
         return m
     x, y, on = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    if len(x) > most_windows:
-        some = rng.choice(len(x), most_windows, replace=False)
-        x, y, on = x[some], y[some], on[some]
     if start is None:
         freq = np.bincount(y[on], minlength=CLASSES) + 0.5
         m["b"] = np.log(freq / freq.sum()).astype(np.float32)
         m["O"] *= np.float32(0.1)
-    one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    w = flat(m).astype(np.float32)
+    m = unflat(w)  # views of w, which the steps change in place
+    one, two = np.zeros_like(w), np.zeros_like(w)
     steps, t = epochs * -(-len(x) // batch), 0
-    scale = np.float32(1 / np.sqrt(DIM))
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(x), batch):
             t += 1
-            xb, yb, ob = (z[order[i : i + batch]] for z in (x, y, on))
-            h, q, k, v, a, r, z, f = hidden(m, xb)
-            s = f @ m["O"] + m["b"]
-            s -= s.max(axis=2, keepdims=True)
-            p = np.exp(s)
-            p /= p.sum(axis=2, keepdims=True)
-            np.put_along_axis(p, yb[..., None], np.take_along_axis(p, yb[..., None], 2) - 1, 2)
-            p *= (ob / max(1, ob.sum())).astype(np.float32)[..., None]
-            flat = lambda w: w.reshape(-1, w.shape[-1])
-            g = {"O": flat(f).T @ flat(p), "b": flat(p).sum(axis=0)}
-            df = p @ m["O"].T
-            g["U"] = flat(z).T @ flat(df)
-            dz = (df @ m["U"].T) * (z > 0)
-            g["W"], g["c"] = flat(r).T @ flat(dz), flat(dz).sum(axis=0)
-            dr = df + dz @ m["W"].T
-            da = dr @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ dr
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-            g["Q"], g["K"], g["V"] = (flat(h).T @ flat(d) for d in (dq, dk, dv))
-            dh = dr + dq @ m["Q"].T + dk @ m["K"].T + dv @ m["V"].T
-            g["P"] = dh.sum(axis=0)
-            g["E"] = np.zeros_like(m["E"])
-            np.add.at(g["E"], xb, dh)
+            some = order[i : i + batch]
+            g = flat(gradient(m, x[some], y[some], on[some])).astype(np.float32)
             rate = top * min(1, t / 30) * (1 - 0.9 * t / steps)
-            for n, w in g.items():
-                one[n] += 0.1 * (w - one[n])
-                two[n] += 0.01 * (w * w - two[n])
-                m[n] -= (rate * (one[n] / (1 - 0.9**t)) / (np.sqrt(two[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            one += np.float32(0.1) * (g - one)
+            two += np.float32(0.01) * (g * g - two)
+            w -= np.float32(rate / (1 - 0.9**t)) * one / (np.sqrt(two / np.float32(1 - 0.99**t)) + np.float32(1e-8))
     return m
 
 
@@ -262,28 +297,28 @@ def flat(m: dict[str, np.ndarray]) -> np.ndarray:
 
 def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     cuts = np.cumsum([int(np.prod(s)) for s in _SHAPES.values()])[:-1]
-    return {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(_SHAPES.items(), np.split(v, cuts), strict=True)}
+    return {k: x.reshape(s).astype(np.float32, copy=False) for (k, s), x in zip(_SHAPES.items(), np.split(v, cuts), strict=True)}
 
 
 def _fit(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int], start: dict[str, np.ndarray] | None, block: int) -> Iterator[pa.RecordBatch]:
     """Fits the task's texts, block by block, and gives its weights times its windows: (i, v, n) per weight."""
-    of, m, n, held, seqs = Classifier(pieces), start, 0, 0, []
+    of, m, n, held, parts = Classifier(pieces), start, 0, 0, []
 
     def run() -> None:
         nonlocal m, n, held
-        m = train(seqs, seed=1 + n % 997, start=m) if start is None and m is None else train(seqs, seed=1 + n % 997, epochs=1, start=m, top=0.002)
+        m = train_windows(parts, seed=1 + n % 997, start=m) if m is None else train_windows(parts, seed=1 + n % 997, epochs=1, start=m, top=0.002)
         n, held = n + held, 0
-        seqs.clear()
+        parts.clear()
 
     for b in batches:
         for t in b.column("text"):
-            words = _words(t.as_py())
-            for i in range(0, max(1, len(words)), block * STRIDE):  # a very long text is fitted in stretches
-                seqs.append(sequence(of, words[i : i + block * STRIDE]))
-                held += 1 + len(seqs[-1]) // STRIDE
+            wins = windows(sequence(of, _words(t.as_py())))
+            for i in range(0, len(wins[0]), block):  # a very long text is fitted in stretches
+                parts.append(tuple(w[i : i + block] for w in wins))
+                held += len(parts[-1][0])
                 if held >= block:
                     run()
-    if seqs:
+    if parts:
         run()
     if n:
         v = flat(m).astype(float)
@@ -291,7 +326,7 @@ def _fit(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int], start: dic
 
 
 def fit_model(learn: DataFrame, pieces: dict[bytes, int], docs: int = MODEL_DOCS, share: int = SHARE) -> dict[str, np.ndarray]:
-    """The network: fitted on ``docs`` documents in one task, then on one in ``share`` of all by every task, whose weights are averaged by their windows."""
+    """The network: fitted on ``docs`` documents in one task, then on one in ``share`` of all (by default all) by every task, whose weights are averaged by their windows."""
 
     def fitted(rows: DataFrame, start: dict[str, np.ndarray] | None, block: int) -> dict[str, np.ndarray] | None:
         sums = map_rows(rows.select("text"), lambda it: _fit(it, pieces, start, block), "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("i").collect()

@@ -54,3 +54,51 @@ def test_all_tasks_teach_the_model(spark):
     of = lm_score.Classifier(pieces)
     win = [np.concatenate(a) for a in zip(*[lm_score.windows(lm_score.sequence(of, lm_score._words(r.text))) for r in test.limit(60).collect()], strict=True)]
     assert lm_score.log_probability(more, *win).mean() > lm_score.log_probability(few, *win).mean()
+
+
+def test_every_training_document_teaches_the_model(spark):
+    """By default the network depends on each training document, also on those it does not start from."""
+    rows = [(i, " ".join(f"{'abcdefgh'[(i * 7 + j * j) % 8]}{j % 5}" for j in range(40))) for i in range(60)]
+    pieces = {bytes([97 + i]): i + 3 for i in range(8)}
+
+    def fit(rows):
+        return lm_score.flat(lm_score.fit_model(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), pieces, 5))
+
+    plain = fit(rows)
+    assert (fit(rows) == plain).all()
+    first = {r.doc_id for r in lm_score.id_sample(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    for i in [i for i, _ in rows if i not in first][:3]:
+        assert (fit([(d, "a a a b b b" if d == i else t) for d, t in rows]) != plain).any()
+
+
+def test_no_window_is_left_out_of_training(monkeypatch):
+    """All targets of a task's texts are fitted once an epoch, however many they are; texts longer than a block have no other end than their own."""
+    n = 24 * 25_000
+    pieces, seen = {b"a": 3}, np.zeros(lm_score.CLASSES, np.int64)
+
+    def step(m, x, y, on):
+        seen[:] += np.bincount(y[on], minlength=lm_score.CLASSES)
+        return {k: np.zeros_like(w) for k, w in m.items()}
+
+    monkeypatch.setattr(lm_score, "gradient", step)
+    batch = lm_score.pa.RecordBatch.from_pydict({"text": ["a " * n, None, "a b"]})
+    start = lm_score.init(np.random.default_rng(0))
+    (got,) = lm_score._fit(iter([batch]), pieces, start, 1000)
+    assert seen[[lm_score.END, lm_score.OTHER, 3]].tolist() == [3, 1, n + 1] and seen.sum() == n + 5
+    assert got.column("n")[0].as_py() == 25_000 + 2
+    seen[:] = 0
+    lm_score.train([lm_score.sequence(lm_score.Classifier(pieces), [b"a"] * n)], epochs=1)
+    assert seen.sum() == n + 1
+
+
+def test_gradient_equals_differences():
+    """The gradient by hand against differences of the loss that the scores have."""
+    rng = np.random.default_rng(3)
+    m = lm_score.init(rng)
+    x, y, on = lm_score.windows(rng.integers(0, lm_score.CLASSES, 90))
+    g = lm_score.flat(lm_score.gradient(m, x, y, on))
+    w, log = lm_score.flat(m), np.log(10)
+    for _ in range(10):
+        d = (rng.standard_normal(len(w)) * 3e-4).astype(np.float32)
+        up, down = (-lm_score.log_probability(lm_score.unflat(w + s * d), x, y, on).mean() * log for s in (1, -1))
+        assert (up - down) / 2 == pytest.approx(float(g @ d), rel=0.03, abs=2e-5)
