@@ -17,15 +17,15 @@ from pyspark.sql.window import Window
 
 from .common import BROADCAST_KEYS, HOT_ROWS, SALTS, ascii_lower, fresh, written
 
-#: A word of this operator: digits, a-z and everything beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts the words of this operator, which are of digits, a-z and everything beyond ASCII. Splitting there takes a tenth of the time of extracting the words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Above this many different prefix words the documents' words are shuffled to the windows; up to it the windows (of at most WINDOW words each) are broadcast.
 BROADCAST_WINDOWS = 50_000
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), GAP), "")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit = spans.select("row", F.aggregate("spans", zero, step)["n"].cast("long").alias("n_hit"))
     which = hits.select("row", "wid").distinct().join(shingles.select("wid", F.col("item_id").cast("string").alias("item")), "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = n_hit.join(which, "row", "left")
-    out = base.select("row", "doc_id", F.regexp_count(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TOKEN)).cast("long").alias("n_words")).join(found, "row", "left")
+    out = base.select("row", "doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(found, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
