@@ -26,11 +26,12 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import repeat
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ CLASSES, DIM, WINDOW, STRIDE = 128, 16, 32, 24
 MODEL_DOCS, SHARE = 600, 1
 #: Every task holds the counts of the words that make up at least one in HEAD of all tokens, so of HEAD words at most: only the others of a text are shuffled.
 HEAD = 1 << 19
-#: Windows that a task fits at once.
-BLOCK = 8192
+#: Windows that a task fits at once, and words that it counts at once.
+BLOCK, BLOCK_WORDS = 8192, 1_000_000
 #: Words (or beginnings of words) in a worker's table before it is emptied, windows run at once, and windows that wait for it: all bound its memory.
 TABLE, CHUNK, PENDING = 100_000, 128, 4096
 START, END, OTHER = 0, 1, 2
@@ -115,13 +116,18 @@ class Classifier:
     """Words to class ids, through a table that is emptied when it is full. A class depends on no more of a word than the longest piece has."""
 
     def __init__(self, pieces: dict[bytes, int]) -> None:
-        self.table, self.start = _Table(pieces), itemgetter(slice(max(map(len, pieces), default=0)))
+        self.table, self.longest = _Table(pieces), max(map(len, pieces), default=0)
+        self.start = itemgetter(slice(self.longest))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.table) > TABLE:
             self.table.clear()
         return np.fromiter(map(self.table.__getitem__, map(self.start, words)), np.int64, len(words))
 
+    def of_array(self, words: pa.Array) -> np.ndarray:
+        coded = pc.binary_slice(words, 0, self.longest).dictionary_encode()
+        return self(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
 
 def windows(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and which positions count, one row per window. ``seq`` has the start, the words and the end; it has n targets, each counted in one window."""
@@ -261,31 +267,58 @@ def train_windows(parts: list[tuple[np.ndarray, ...]], seed: int = 1, epochs: in
     return m
 
 
+def framed(k: np.ndarray) -> np.ndarray:
+    return np.concatenate([[START], k, [END]]).astype(np.int64)
+
+
 def sequence(of: Classifier, words: list[bytes]) -> np.ndarray:
-    return np.concatenate([[START], of(words), [END]]).astype(np.int64)
+    return framed(of(words))
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def flat_words(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The words of many texts, those that :func:`_words` gives of each, and the text of each word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word
+    return words.filter(some).cast(pa.binary()), pc.list_parent_indices(lists).filter(some)
+
+
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each word of many texts: its text and its number among the different words; and these."""
+    words, text = flat_words(texts)
+    coded = words.dictionary_encode()
+    return text.to_numpy(), coded.indices.to_numpy(), coded.dictionary
+
+
+def sequences(k: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The sequence of each text: ``k`` has the classes of the words of all, ``sizes`` how many each has."""
+    for stop, n in zip(np.cumsum(sizes), sizes, strict=True):
+        yield framed(k[stop - n : stop])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, summed within the task as far as memory allows. The end of a text is the empty word."""
-    seen: Counter[bytes] = Counter()
+    """Words and their counts, summed over BLOCK_WORDS words or a batch. The end of a text is the empty word."""
+    parts, held, ends = [], 0, 0
 
     def out() -> pa.RecordBatch:
-        r = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "c"])
-        seen.clear()
-        return r
+        nonlocal held
+        seen, held = pa.chunked_array(parts, pa.binary()).value_counts(), 0
+        parts.clear()
+        return pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["w", "c"])
 
     for b in batches:
-        for t in b.column("text"):
-            seen.update(_words(t.as_py()))
-            seen[b""] += 1
-            if len(seen) > TABLE:
-                yield out()
-    if seen:
+        parts.append(flat_words(b.column("text"))[0])
+        held, ends = held + len(parts[-1]), ends + b.num_rows
+        if held >= BLOCK_WORDS:
+            yield out()
+    if held:
         yield out()
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], ["w", "c"])
 
 
 _SHAPES = {k: v.shape for k, v in init(np.random.default_rng(0)).items()}
@@ -311,8 +344,9 @@ def _fit(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int], start: dic
         parts.clear()
 
     for b in batches:
-        for t in b.column("text"):
-            wins = windows(sequence(of, _words(t.as_py())))
+        text, at, words = split_texts(b.column("text"))
+        for seq in sequences(of.of_array(words)[at], np.bincount(text, minlength=b.num_rows)):
+            wins = windows(seq)
             for i in range(0, len(wins[0]), block):  # a very long text is fitted in stretches
                 parts.append(tuple(w[i : i + block] for w in wins))
                 held += len(parts[-1][0])
@@ -345,8 +379,15 @@ def _score(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int], m: dict[
     end = head.get(b"", 0)
     for b in batches:
         rows = b.column("row").to_pylist()
-        pending, held, part = [], 0, np.zeros(len(rows))
-        tokens, seen, known = np.ones(len(rows), np.int64), np.full(len(rows), int(end > 0)), np.full(len(rows), np.log10(end + 1) - base)
+        pending, held = [], 0
+        text, at, words = split_texts(b.column("text"))
+        each = words.to_numpy(zero_copy_only=False)
+        kinds, have = of.of_array(words), np.fromiter(map(head.get, each, repeat(0)), np.int64, len(each))
+        on, log = have[at] > 0, np.log10(have + 1)
+        sums = lambda w: np.bincount(text[on], w[at[on]], len(rows))
+        sizes = np.bincount(text, minlength=len(rows))
+        tokens, seen = sizes + 1, np.bincount(text[on], minlength=len(rows)) + int(end > 0)
+        known, part = sums(log - base) + np.log10(end + 1) - base, sums(log - log_room[kinds]) + np.log10(end + 1) - log_room[END]
 
         def run() -> None:
             nonlocal held
@@ -356,34 +397,22 @@ def _score(batches: Iterator[pa.RecordBatch], pieces: dict[bytes, int], m: dict[
             pending.clear()
             held = 0
 
-        w_out: list[bytes] = []
-        n_out, each = [], []
-        for i, t in enumerate(b.column("text")):
-            words = _words(t.as_py())
-            c = Counter(words)
-            keys, n = list(c), np.fromiter(c.values(), np.int64, len(c))
-            have = np.fromiter(map(head.get, keys, repeat(0)), np.int64, len(keys))
-            on = have > 0
-            log = n[on] * np.log10(have[on] + 1)
-            tokens[i] += len(words)
-            seen[i] += n[on].sum()
-            known[i] += log.sum() - n[on].sum() * base
-            part[i] += log.sum() - (n[on] * log_room[of(list(compress(keys, on)))]).sum() + np.log10(end + 1) - log_room[END]
-            w_out += compress(keys, ~on)
-            n_out.append(n[~on])
-            each.append(int((~on).sum()))
-            pending.append((i, w := windows(sequence(of, words))))
+        for i, seq in enumerate(sequences(kinds[at], sizes)):
+            pending.append((i, w := windows(seq)))
             held += len(w[0])
             if held >= PENDING:
                 run()
         if pending:
             run()
-        none, whole = len(w_out), len(rows)
+        # the words that the task does not hold, once for each text
+        pairs, n_out = np.unique(text[~on].astype(np.int64) * max(1, len(each)) + at[~on], return_counts=True)
+        who, which = np.divmod(pairs, max(1, len(each)))
+        none, whole = len(pairs), len(rows)
         pad = lambda v, t: pa.concat_arrays([pa.nulls(none, t), v])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([np.repeat(np.array(rows, np.int64), each), np.array(rows, np.int64)])), pa.array([*w_out, *(b" %d" % r for r in rows)], pa.binary()),
-                pa.concat_arrays([pa.array(np.concatenate([*n_out, np.empty(0, np.int64)])), pa.nulls(whole, pa.int64())]), pa.concat_arrays([pa.array(of(w_out)), pa.nulls(whole, pa.int64())]),
+                pa.array(np.concatenate([np.array(rows, np.int64)[who], np.array(rows, np.int64)])), pa.concat_arrays([words.take(pa.array(which)), pa.array([b" %d" % r for r in rows], pa.binary())]),
+                pa.concat_arrays([pa.array(n_out), pa.nulls(whole, pa.int64())]), pa.concat_arrays([pa.array(kinds[which]), pa.nulls(whole, pa.int64())]),
                 pad(pa.array(tokens), pa.int64()), pad(pa.array(seen), pa.int64()), pad(pa.array(known), pa.float64()), pad(pa.array(part), pa.float64()),
                 pad(b.column("doc_id"), b.schema.field("doc_id").type), pad(b.column("held_out"), pa.bool_()),
             ],

@@ -102,3 +102,18 @@ def test_gradient_equals_differences():
         d = (rng.standard_normal(len(w)) * 3e-4).astype(np.float32)
         up, down = (-lm_score.log_probability(lm_score.unflat(w + s * d), x, y, on).mean() * log for s in (1, -1))
         assert (up - down) / 2 == pytest.approx(float(g @ d), rel=0.03, abs=2e-5)
+
+
+def test_words_of_a_batch_are_those_of_its_texts():
+    rng = np.random.default_rng(7)
+    signs = list("aZ0- \t\n\v\f\r\0\x1c\x1f\x85\xa0É中 ﻿😀")
+    texts = ["", None, " ", " Ab cD\n", "a", *("".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(300)), "end "]
+    for some in (texts, [], [None], ["", " "]):
+        text, at, words = lm_score.split_texts(lm_score.pa.array(some, lm_score.pa.string()))
+        got = [[] for _ in some]
+        for i, j in zip(text, at, strict=True):
+            got[i].append(words[int(j)].as_py())
+        assert got == [lm_score._words(t) for t in some]
+        assert len(set(words.to_pylist())) == len(words)
+        seqs = list(lm_score.sequences(np.arange(len(at)) + 3, np.bincount(text, minlength=len(some))))
+        assert [len(s) - 2 for s in seqs] == [len(w) for w in got]
