@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mix, warc
+from . import decontaminate, fill_middle, mix, warc
 from .common import read
 from .html_text import main_text
 from .lm_score import lm_scores
@@ -57,9 +58,15 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(read(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.restore(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL}
+    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL, "op12_fill_in_middle": fill_middle.SQL}
