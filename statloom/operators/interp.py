@@ -1,7 +1,8 @@
-"""One-dimensional interpolation: knots become segments, values find their segment by an as-of window.
+"""One-dimensional interpolation: knots become segments, values find their segment by an as-of join.
 
-Knots and values are put in one order; the last knot before a value carries the
-segment's coefficients along (no range join, no nested loop). Outside the knots
+Few segments are searched where the values are; many are put in one order with
+the values and scanned in pieces, the last segment before a piece being carried
+into it (no range join, no nested loop, no series in one task). Outside the knots
 the end segments extrapolate.
 """
 
@@ -14,55 +15,100 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import ArraySizeError, InvalidArgumentError, NonMonotonicError, PolynomialOrderError
 from ..workers import importable
+from .scan import PIECE_ROWS, ordered_scan
+
+#: Segments that are sent to every task at most.
+FEW_SEGMENTS = 20_000
 
 SPLINE_QUADRATIC_OVER_INTERVAL, SPLINE_KNOWN_FIRST_DERIVATIVE, SPLINE_KNOWN_SECOND_DERIVATIVE, SPLINE_CONTINUOUS_THIRD_DERIVATIVE = 1000, 1001, 1002, 1003
 
 
-def _asof(segments: DataFrame, values: DataFrame, x: str, by: Sequence[str], out: Column) -> DataFrame:
-    """``values`` with ``out`` of the segment (struct ``seg``) whose start is the last at or before x, or the first."""
+def _asof(segments: DataFrame, values: DataFrame, x: str, by: Sequence[str], out: Column, few: int = FEW_SEGMENTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``values`` with ``out`` of the segment (struct ``seg``) whose start is the last at or before x, or the first.
+
+    Segments are counted. Up to ``few`` of them go to every task, where a sorted
+    search finds those of a whole batch, and the values are not moved. More of
+    them are put in one order with the values and scanned in pieces: the last
+    segment before a piece is carried into it.
+    """
     by = list(by)
+    known = segments.select(*by, "start", "seg").limit(few + 1).collect()
+    if len(known) <= few:
+        return _asof_search(known, segments.select(*by, "start", "seg"), values, x, by, out)
     left = segments.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("start").alias("__x"), F.lit(0).alias("__kind"), "seg", *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in values.columns])
     right = values.select(*[F.col(b).alias(f"__{b}") for b in by], F.col(x).cast("double").alias("__x"), F.lit(1).alias("__kind"), F.lit(None).cast(segments.schema["seg"].dataType).alias("seg"), *values.columns)
-    w = Window.partitionBy(*[f"__{b}" for b in by]).orderBy("__x", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("seg", F.last("seg", ignorenulls=True).over(w)).filter("__kind = 1")
+    found = ordered_scan(left.unionByName(right), ["__x", "__kind"], [f"__{b}" for b in by], latest={"__seg": F.col("seg")}, piece_rows=piece_rows)
+    found = found.filter("__kind = 1").drop("seg").withColumnRenamed("__seg", "seg")
     return found.select(*values.columns, F.when(F.col("__x").isNotNull(), out).alias("interpolated"))
 
 
+def _asof_search(known: list, segments: DataFrame, values: DataFrame, x: str, by: list[str], out: Column) -> DataFrame:
+    """:func:`_asof` with the segments ``known``: each value's place among the starts of its group by a sorted search in Arrow batches, then a broadcast join on that place."""
+    spark = values.sparkSession
+    # groups in the order of their first segment; a null is a value like others
+    group_of = {key: i for i, key in enumerate(dict.fromkeys(tuple(r[b] for b in by) for r in known))}
+    known = sorted(known, key=lambda r: (group_of[tuple(r[b] for b in by)], r["start"]))
+    code = np.array([group_of[tuple(r[b] for b in by)] for r in known], np.int64)
+    starts = np.array([r["start"] for r in known], float)
+    first = np.searchsorted(code, np.arange(len(group_of) + 1))
+
+    @F.pandas_udf("int")
+    def place(g: pd.Series, at: pd.Series) -> pd.Series:
+        g, at = g.to_numpy(), at.to_numpy()
+        order = np.argsort(g, kind="stable")
+        found = np.empty(len(g), np.int32)
+        for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            if len(part):
+                a, b = first[g[part[0]]], first[g[part[0]] + 1]
+                found[part] = a + np.maximum(np.searchsorted(starts[a:b], at[part], side="right") - 1, 0)
+        return pd.Series(found)
+
+    seg = segments.schema["seg"]
+    table = importable(spark).createDataFrame([(i, r["seg"]) for i, r in enumerate(known)], T.StructType([T.StructField("__place", T.IntegerType()), seg]))
+    groups = spark.createDataFrame([(*key, i) for key, i in group_of.items()], T.StructType([*[T.StructField(f"__by{i}", segments.schema[b].dataType) for i, b in enumerate(by)], T.StructField("__code", T.IntegerType())]))
+    rows = values.withColumn("__x", F.col(x).cast("double"))
+    rows = rows.join(F.broadcast(groups), [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)], "left") if by else rows.withColumn("__code", F.lit(0 if known else None).cast("int"))
+    # values without a place or a group have no segment
+    sought = F.when(F.col("__x").isNotNull() & F.col("__code").isNotNull(), place(F.coalesce("__code", F.lit(0)), F.coalesce("__x", F.lit(0.0))))
+    rows = rows.withColumn("__place", sought).join(F.broadcast(table), "__place", "left")
+    return rows.select(*values.columns, F.when(F.col("__x").isNotNull(), out).alias("interpolated"))
+
+
 def _after(now: Column, later: Column) -> Column:
     """``later`` if it is beyond ``now``; equal knots are an error when the result is computed."""
     return F.when(later > now, later).when(later.isNotNull(), F.raise_error(F.lit("knots are strictly monotonic")).cast("double"))
 
 
-def linear(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, by: Sequence[str] = ()) -> DataFrame:
+def _knots(knots: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    return knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"))
+
+
+def linear(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, by: Sequence[str] = (), few: int = FEW_SEGMENTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``values`` with interpolated: piecewise linear between the knots (x, y). Knots without an x are left out; two with the same x are an error."""
-    w = Window.partitionBy(*by).orderBy(x)
-    k = knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"), F.lead(F.col(x).cast("double")).over(w).alias("x1"), F.lead(F.col(y).cast("double")).over(w).alias("y1"), F.row_number().over(w).alias("i")).filter("x1 is not null")
+    by = list(by)
+    k = ordered_scan(_knots(knots, x, y, by), ["x0"], by, rank="i", after={"x1": F.col("x0"), "y1": F.col("y0")}, piece_rows=piece_rows).filter("x1 is not null")
     seg = k.select(*by, F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x0")).alias("start"), F.struct("x0", "y0", _after(F.col("x0"), F.col("x1")).alias("x1"), "y1").alias("seg"))
     s = F.col("seg")
-    return _asof(seg, values, at, by, s["y0"] + (F.col("__x") - s["x0"]) / (s["x1"] - s["x0"]) * (s["y1"] - s["y0"]))
+    return _asof(seg, values, at, by, s["y0"] + (F.col("__x") - s["x0"]) / (s["x1"] - s["x0"]) * (s["y1"] - s["y0"]), few, piece_rows)
 
 
-def polynomial(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, order: int = 2, by: Sequence[str] = ()) -> DataFrame:
+def polynomial(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, order: int = 2, by: Sequence[str] = (), few: int = FEW_SEGMENTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``values`` with interpolated: the polynomial through the order + 1 knots from the one before the value's segment on, shifted to lie inside the knots. Knots without an x are left out; two with the same x are an error."""
     if order < 1:
         raise PolynomialOrderError("the order is at least 1")
     by = list(by)
-    w = Window.partitionBy(*by)
-    o = w.orderBy("x0")
-    k = knots.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y0"))
-    before = F.lag("x0").over(o)
-    k = k.withColumn("x0", F.when(before.isNull(), F.col("x0")).otherwise(_after(before, F.col("x0"))))
-    k = k.withColumn("i", F.row_number().over(o)).withColumn("n", F.count(F.lit(1)).over(w))
-    # the window of knots that starts at i: for order 1 at the segment, else one before it
-    k = k.withColumn("run", F.collect_list(F.struct("x0", "y0")).over(o.rowsBetween(0, order)))
+    k = ordered_scan(_knots(knots, x, y, by), ["x0"], by, rank="i", size="n", before={"was": F.col("x0")}, piece_rows=piece_rows)
+    k = k.withColumn("x0", F.when(F.col("was").isNull(), F.col("x0")).otherwise(_after(F.col("was"), F.col("x0"))))
+    # every knot goes to the windows of order + 1 knots that it is in; a window is a group of that size
+    sent = k.select(*by, F.struct("i", "x0", "y0").alias("knot"), F.explode(F.sequence(F.greatest(F.col("i") - order, F.lit(1)), F.col("i"))).alias("__first"))
+    runs = sent.groupBy(*[F.col(b).alias(f"__{b}") for b in by], "__first").agg(F.sort_array(F.collect_list("knot")).alias("run"))
+    # the window starts at the segment for order 1, else one before it
     back = 0 if order == 1 else 1
     first = F.greatest(F.least(F.col("i") - back, F.col("n") - order), F.lit(1))
     seg = k.filter(F.col("i") < F.col("n")).withColumn("first", first).select(*by, F.when(F.col("i") == 1, F.lit(float("-inf"))).otherwise(F.col("x0")).alias("start"), "first")
-    runs = k.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("i").alias("__first"), "run")
     seg = seg.join(runs, [*[F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.col("first") == F.col("__first")]).select(*by, "start", F.struct("run").alias("seg"))
     p, z = F.col("seg.run"), F.col("__x")
     total = F.lit(0.0)
@@ -72,7 +118,7 @@ def polynomial(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, ord
             if j != i:
                 term = term * (z - F.get(p, F.lit(j))["x0"]) / (F.get(p, F.lit(i))["x0"] - F.get(p, F.lit(j))["x0"])
         total = total + term
-    return _asof(seg, values, at, by, total)
+    return _asof(seg, values, at, by, total, few, piece_rows)
 
 
 def check_knots(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +197,7 @@ def _sweep(h: np.ndarray, slope: np.ndarray, begin: tuple[int, float], end: tupl
     return np.concatenate([[p * m[0] + q * m[1] + r], m, [u * m[-1] + v * m[-2] + w]])
 
 
-def spline(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, begin: int = SPLINE_QUADRATIC_OVER_INTERVAL, begin_value: float = 0.0, end: int = SPLINE_QUADRATIC_OVER_INTERVAL, end_value: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+def spline(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, begin: int = SPLINE_QUADRATIC_OVER_INTERVAL, begin_value: float = 0.0, end: int = SPLINE_QUADRATIC_OVER_INTERVAL, end_value: float = 0.0, by: Sequence[str] = (), few: int = FEW_SEGMENTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``values`` with interpolated: cubic spline. The knots of a group are solved in one task; values join their segment as in :func:`linear`."""
     by = list(by)
     rows = knots.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -172,7 +218,7 @@ def spline(knots: DataFrame, values: DataFrame, x: str, y: str, at: str, begin:
     seg = importable(rows).groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(c, T.DoubleType()) for c in names]]))
     seg = seg.select(*by, "start", F.struct(*names[1:]).alias("seg"))
     s, d = F.col("seg"), F.col("__x") - F.col("seg.x0")
-    return _asof(seg, values, at, by, s["c0"] + d * (s["c1"] + d * (s["c2"] + d * s["c3"])))
+    return _asof(seg, values, at, by, s["c0"] + d * (s["c1"] + d * (s["c2"] + d * s["c3"])), few, piece_rows)
 
 
 def hermite_coefficients(x: np.ndarray, y: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import InvalidArgumentError
 from ..functions.distributions import Distribution, MultivariateNormalDistribution
 from ..workers import importable
+from .scan import PIECE_ROWS, ordered_scan
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -72,10 +72,10 @@ def sample_normal_multivariate(spark: SparkSession, dist: MultivariateNormalDist
     return rows.select(i.alias("i"), *out)
 
 
-def _ranked(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _ranked(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """by, i (from 0, in the given order), v, n."""
-    w = Window.partitionBy(*by)
-    return df.filter(F.col(value).isNotNull()).select(*by, (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("i"), F.col(value).cast("double").alias("v"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"))
+    return ordered_scan(rows, [f"__o{i}" for i in range(len(order))], by, rank="__i", size="n", piece_rows=piece_rows).select(*by, (F.col("__i") - 1).alias("i"), "v", "n")
 
 
 def resample(df: DataFrame, value: str, order: Sequence[str], samples: int, by: Sequence[str] = (), seed: int = 0, first: int = 1) -> DataFrame:

@@ -9,20 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import InvalidArgumentError
 from ..workers import importable
+from .scan import PIECE_ROWS, ordered_scan
 
 
-def difference(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """by, order, difference: the next value minus this one; the last row of a series is dropped."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.select(*by, *order, (F.lead(F.col(value)).over(w) - F.col(value)).alias("difference"), F.lead(F.lit(1)).over(w).alias("__more"))
-    return out.filter("__more = 1").drop("__more")
+def difference(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """by, order, difference: the next value minus this one; the last row of a series is dropped. A long series is scanned in pieces."""
+    rows = df.select(*[F.col(c) for c in dict.fromkeys([*by, *order])], F.col(value).alias("__v"))
+    out = ordered_scan(rows, order, by, after={"__next": F.col("__v"), "__more": F.lit(1)}, piece_rows=piece_rows)
+    return out.filter("__more = 1").select(*by, *order, (F.col("__next") - F.col("__v")).alias("difference"))
 
 
-def allan_variance(df: DataFrame, value: str, order: Sequence[str], dt: float = 1.0, by: Sequence[str] = (), factors: Sequence[int] | None = None) -> DataFrame:
+def allan_variance(df: DataFrame, value: str, order: Sequence[str], dt: float = 1.0, by: Sequence[str] = (), factors: Sequence[int] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """by, m, tau, allan_variance: fully overlapped, for m = 1..floor(n / 2) - 1, or for ``factors`` only.
 
     With prefix sums S the term of a start j is (S[j + 2m] - 2 S[j + m] + S[j]) / m.
@@ -33,9 +33,9 @@ def allan_variance(df: DataFrame, value: str, order: Sequence[str], dt: float =
     if factors is not None and any(m < 1 for m in factors):
         raise InvalidArgumentError("averaging factors are at least 1")
     by = list(by)
-    w = Window.partitionBy(*by)
-    o = w.orderBy(*order)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.row_number().over(o).cast("long").alias("i"), F.sum(F.col(value).cast("double")).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.count(F.lit(1)).over(w).alias("n"))
+    line = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, *line, F.col(value).cast("double").alias("__v"))
+    rows = ordered_scan(rows, [f"__o{i}" for i in range(len(order))], by, rank="i", size="n", running={"s": F.col("__v")}, piece_rows=piece_rows).select(*by, "i", "s", "n")
     if factors is None:
         a = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("p"), F.first("n").alias("n"))
         a = a.select(*by, "n", F.concat(F.array(F.lit(0.0)), F.transform("p", lambda x: x["s"])).alias("p")).filter("n >= 4")

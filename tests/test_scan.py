@@ -49,3 +49,33 @@ def test_empty_and_ties(spark):
     got = ordered_scan(same, ["t"], rank="r", size="n", running={"s": F.col("v")}, piece_rows=100)
     assert sorted(r.r for r in got.collect()) == list(range(1, 901))
     assert got.agg(F.max("s")).first()[0] == 450
+
+
+def walk(spark, n=600):
+    """Two groups of values and a null one; the last value of each has no place."""
+    rows = spark.range(n * 3).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"), F.floor(F.col("id") / 3).alias("i"))
+    return rows.select("g", "i", F.round(F.sin("i") * 3, 6).alias("v"))
+
+
+def test_series_in_pieces(spark):
+    from statloom.operators import sampling, series as S
+
+    df = walk(spark)
+    for pieced, plain in ((f(df, p) for p in (50, 1 << 20)) for f in (lambda d, p: S.difference(d, "v", ["i"], ["g"], p), lambda d, p: S.allan_variance(d, "v", ["i"], 1.0, ["g"], [1, 3, 40], p), lambda d, p: sampling._ranked(d, "v", ["i"], ["g"], p))):
+        cut = lambda t: sorted(repr([round(x, 8) if isinstance(x, float) else x for x in r]) for r in t.collect())
+        assert cut(pieced) == cut(plain)
+
+
+@pytest.mark.parametrize("method", ["linear", "polynomial", "spline"])
+def test_interpolation_ways_agree(spark, method):
+    """Few segments searched where the values are, many scanned with the values in one piece or in many: one result, also outside the knots, for nulls and for groups without knots."""
+    from statloom.operators import interp
+
+    knots = walk(spark).filter("i % 5 = 0 and g is not null").select("g", (F.col("i") + F.col("i") * F.col("i") / 1000).alias("x"), "v")
+    knots = knots.unionByName(knots.filter("g = 'a'").withColumn("g", F.lit(None).cast("string")))
+    at = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "b").when(F.col("id") % 4 == 2, "none").alias("g"), F.when(F.col("id") % 50 > 0, F.col("id") / 3 - 100).alias("z"))
+    f = getattr(interp, method)
+    few, one, many = ({r.id: r.interpolated for r in f(knots, at, "x", "v", "z", by=["g"], **how).collect()} for how in ({}, {"few": 0}, {"few": 0, "piece_rows": 100}))
+    assert few == one == many
+    assert len(few) == 4000
+    assert all((few[i] is None) == (i % 50 == 0 or i % 4 == 2) for i in few)
