@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, mix, warc
+from . import decontaminate, fill_middle, mix, prefix_trie, warc
 from .common import read
 from .html_text import main_text
 from .lm_score import lm_scores
@@ -64,9 +64,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL, "op12_fill_in_middle": fill_middle.SQL}
+    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL, "op12_fill_in_middle": fill_middle.SQL, "op13_prefix_trie": prefix_trie.SQL}

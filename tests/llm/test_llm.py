@@ -38,7 +38,7 @@ def odd(spark):
 
 def sql(name, statement, got):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(statement)
     names = [d[0] for d in want.description]
