@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, mix, prefix_trie, warc
+from . import decontaminate, fill_middle, mix, ngram_join, prefix_trie, warc
 from .common import read
 from .html_text import main_text
 from .lm_score import lm_scores
@@ -58,6 +58,10 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.restore(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -73,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL, "op12_fill_in_middle": fill_middle.SQL, "op13_prefix_trie": prefix_trie.SQL}
+    return {"op6_warc_chunks": warc.SQL, "op9_decontamination": decontaminate.SQL, "op10_fair_mix": mix.SQL, "op11_ngram_join": ngram_join.SQL, "op12_fill_in_middle": fill_middle.SQL, "op13_prefix_trie": prefix_trie.SQL}
