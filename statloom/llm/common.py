@@ -80,6 +80,11 @@ def written(df: DataFrame, stay: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number per row, written once: a number taken anew in each scan would follow the splits, and these the executors that are alive."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], size: str) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (one row per key; ``size``: its rows in ``rows``, not kept) in which no task gets all rows of a hot key.
 

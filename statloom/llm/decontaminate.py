@@ -7,6 +7,9 @@ prefix: document words are joined to the windows on that word alone. The word's
 place in the window fixes where the window would have to start, which bounds the
 position and the length left in the document; the candidate is then verified
 word by word at that place.
+
+The documents' words, with a number per row, are written once and read by every
+pass: a text is split once, and the numbers do not depend on how a scan is cut.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_KEYS, HOT_ROWS, SALTS, ascii_lower, fresh, written
+from .common import BROADCAST_KEYS, HOT_ROWS, SALTS, ascii_lower, fresh, numbered, written
 
 #: What parts the words of this operator, which are of digits, a-z and everything beyond ASCII. Splitting there takes a sixth of the time of extracting the words, with the lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,13 +38,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("ws", i, window))).alias("win")).distinct()
 
 
-def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(document rows with their words, occurrences): ``row, doc_id, ws`` and ``row, start, len, wid`` (start from 0), with ``wid, item_id`` in the second's schema through :func:`item_windows`."""
-    shingles = written(item_windows(items, window).withColumn("wid", F.xxhash64("win")).withColumn("wid", F.sha2(F.array_join("win", " "), 256)))
+def window_hits(words: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(windows, occurrences): ``wid, item_id, win`` and ``row, start, len, wid`` (start from 0). ``words`` has row and ws, the words, and has to be a table, as it is read several times."""
+    shingles = written(item_windows(items, window).withColumn("wid", F.sha2(F.array_join("win", " "), 256)))
     wins = shingles.select("wid", "win").distinct()
     vocab = wins.select(F.explode("win").alias("w")).distinct()
     few = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    words = docs.select("row", tokens(F.col("text")).alias("ws"))
     # rarity over all documents, of the words that windows have
     every, n = words.select(F.explode("ws").alias("w")), F.count(F.lit(1)).alias("df")
     common = every.join(F.broadcast(vocab), "w", "left_semi").groupBy("w").agg(n) if few else every.groupBy("w").agg(n).join(vocab, "w", "left_semi")
@@ -84,8 +86,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     own row; a null item_id is left out of items_sha256 and n_items, but its
     windows hit. With no hit, items_sha256 is that of the empty text.
     """
-    base = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    shingles, hits = window_hits(base, items, window)
+    base = numbered(docs.select("doc_id", tokens(F.col("text")).alias("ws")), "row")
+    shingles, hits = window_hits(base.select("row", "ws"), items, window)
     hits = written(hits.distinct())
     spans = hits.select("row", "start", (F.col("start") + F.col("len")).alias("stop")).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     # union of the spans of one text, in order: (words so far, end so far)
@@ -94,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit = spans.select("row", F.aggregate("spans", zero, step)["n"].cast("long").alias("n_hit"))
     which = hits.select("row", "wid").distinct().join(shingles.select("wid", F.col("item_id").cast("string").alias("item")), "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = n_hit.join(which, "row", "left")
-    out = base.select("row", "doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(found, "row", "left")
+    out = base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words")).join(found, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
@@ -102,9 +104,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    row = fresh(docs, "__row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    _, hits = window_hits(rows.select(F.col(row).alias("row"), "text"), items, window)
+    row, ws = fresh(docs, "__row"), fresh(docs, "__ws")
+    rows = numbered(docs.withColumn(ws, tokens(F.col("text"))), row)
+    _, hits = window_hits(rows.select(F.col(row).alias("row"), F.col(ws).alias("ws")), items, window)
     bad = written(hits.select(F.col("row").alias(row)).distinct())
     return rows.join(bad, row, "left_anti").select(*docs.columns)
 

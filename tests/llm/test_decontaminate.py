@@ -39,3 +39,30 @@ def test_no_text_is_read_word_by_word_with_a_pattern(spark, monkeypatch):
     assert len(plans) == 4
     for df in plans:
         assert "regexp_" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rows_do_not_depend_on_the_splits(spark, tmp_path):
+    """The number of splits of a scan follows the executors that are alive: it may change between two jobs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    docs.repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    key, small = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    results = []
+    for first, then in (("1", "1"), ("4", "1"), ("1", "6")):
+        spark.conf.set(small, "1k")
+        spark.conf.set(key, first)
+        got, kept = decontaminate.contamination(docs, items), decontaminate.drop_contaminated(docs, items)
+        spark.conf.set(key, then)
+        results.append((sorted(map(repr, got.collect())), sorted(r.doc_id for r in kept.select("doc_id").collect())))
+        spark.conf.unset(key)
+        spark.conf.unset(small)
+    assert results[0] == results[1] == results[2]
+    assert len(results[0][0]) == docs.count() > len(results[0][1]) > 0
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, row long, ws string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.contamination(docs, items).count() == 0
+    assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
