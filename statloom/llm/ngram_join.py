@@ -24,19 +24,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BROADCAST_KEYS, map_rows, scratch, spread_join, written
+from .common import map_rows, scratch, spread_join, written
 from .near_dup import components, shingle_hashes, text_key
 
 WORDS, THRESHOLD = 4, (85, 100)
 #: Cells that n-grams are counted in to order them by rarity. Any order is exact; a good one makes fewer pairs.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Classes of n-grams that the suffix filter counts.
 CLASSES = 64
 #: Sets that share an n-gram, in one piece of the join between components.
 PIECE = 2048
+#: N-grams of a cell from which on the rows of one n-gram are dealt into pieces, and how many.
+HOT_CELL, PIECES = 1 << 20, 64
+#: Sets that are looked up by a broadcast of their texts' keys at most.
+BROADCAST_SETS = 250_000
 #: Rows of an Arrow batch that Python returns.
 OUT_ROWS = 1 << 16
 
@@ -48,8 +53,13 @@ def prefix_length(n: int, t: Threshold) -> int:
     return n + t[0] * n // -t[1] + 1
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """12 bytes that stand for a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())[:12]
+
+
 def _row_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Per text: key (16 bytes of its set; null without words) and n; at the end of the task its n-grams per cell."""
+    """Per text: key (null without words) and n; at the end of the task its n-grams per cell."""
     known: dict[bytes, int] = {}
     cells = np.zeros(CELLS, np.int64)
     ids = None
@@ -57,7 +67,7 @@ def _row_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         keys, sizes = [], []
         for text in b.column("text"):
             s, _ = shingle_hashes(text.as_py(), known, words)
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            keys.append(set_key(s) if len(s) else None)
             sizes.append(len(s))
             np.add.at(cells, (s % np.uint64(CELLS)).astype(np.int64), 1)
         ids = b.column("doc_id").type
@@ -75,7 +85,7 @@ def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, common[(s % np.uint64(CELLS)).astype(np.int64)]))]
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, t: Threshold, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, t: Threshold, common: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for b in batches:
         tokens, places, keys, sizes, counts = [], [], [], [], []
@@ -85,16 +95,20 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, t: Threshold, co
                 k = prefix_length(len(s), t)
                 tokens.append(ordered(s, common)[:k])
                 places.append(np.arange(k))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(set_key(s))
                 sizes.append(len(s))
                 counts.append(k)
         if not keys:
             continue
         row = np.repeat(np.arange(len(keys)), counts)
-        token, place, key, size = np.concatenate(tokens).view(np.int64), np.concatenate(places), pa.array(keys, pa.binary()), np.array(sizes, np.int64)
+        token, place, key, size = np.concatenate(tokens), np.concatenate(places), pa.array(keys, pa.binary()), np.array(sizes, np.int64)
+        # the rows of an n-gram that may be frequent are dealt by their set
+        dealt = np.array([k[0] % PIECES for k in keys])
+        piece = np.where(common[(token % np.uint64(CELLS)).astype(np.int64)] > hot, dealt[row], -1)
+        token = token.view(np.int64)
         for i in range(0, len(row), OUT_ROWS):
-            r = row[i : i + OUT_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(token[i : i + OUT_ROWS]), pa.array(place[i : i + OUT_ROWS]), key.take(pa.array(r)), pa.array(size[r])], ["token", "place", "key", "n"])
+            cut = slice(i, i + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(piece[cut]), pa.array(place[cut]), key.take(pa.array(row[cut])), pa.array(size[row[cut]])], ["token", "piece", "place", "key", "n"])
 
 
 def profile(s: np.ndarray, common: np.ndarray, t: Threshold) -> np.ndarray:
@@ -112,7 +126,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], words: int, t: Threshold, com
         key, sets, profiles = [], [], []
         for text in b.column("text"):
             s, _ = shingle_hashes(text.as_py(), known, words)
-            key.append(xxhash.xxh3_128_digest(s.tobytes()))
+            key.append(set_key(s))
             sets.append(s.tobytes())
             profiles.append(profile(s, common, t).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(sets, pa.binary()), pa.array(profiles, pa.binary())], ["key", "s", "p"])
@@ -147,20 +161,34 @@ def _verify(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def close_sizes(na: str, nb: str, t: Threshold):
+def close_sizes(na: str, nb: str, t: Threshold) -> Column:
     """The length filter."""
     return F.least(na, nb) * t[1] >= F.greatest(na, nb) * t[0]
 
 
+def long_behind(na: str, pa: str, nb: str, pb: str, t: Threshold) -> Column:
+    """The positional filter: if the n-gram at these places is the first that both share, what is behind it has to be long enough."""
+    return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) * (t[0] + t[1]) >= (F.col(na) + F.col(nb)) * t[0]
+
+
+def shared_prefixes(tokens: DataFrame, t: Threshold) -> DataFrame:
+    """token, h, place, n of the sets that share a prefix n-gram with another, once each. Rows in pieces are not judged: they are frequent."""
+    w = Window.partitionBy("token", "piece")
+    o = w.orderBy("key")
+    # at the first n-gram that two sets share, the smaller one is in the early part of its prefix
+    early = (F.col("n") - F.col("place")) * (t[0] + t[1]) >= F.col("n") * (2 * t[0])
+    whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = tokens.select("token", F.col("key").alias("h"), "place", "n", "piece", F.lag("key").over(o).alias("was"), F.first("key").over(whole).alias("lo"), F.last("key").over(whole).alias("hi"), F.max(early).over(whole).alias("early"))
+    return seen.filter(~F.col("h").eqNullSafe(F.col("was")) & ((F.col("piece") >= 0) | ((F.col("lo") != F.col("hi")) & F.col("early")))).select("token", "h", "place", "n")
+
+
 def joined_pairs(members: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, na, pa, b, nb, pb) of sets of different components, each once, with the places of the first n-gram they share. ``members`` has token, place, h, n, c."""
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     of = members.join(sizes.select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "token")
     one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"))
     two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"))
-    # the n-gram may be the first that both share: what is behind it has to be long enough
-    behind = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (t[0] + t[1]) >= (F.col("na") + F.col("nb")) * t[0]
-    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_sizes("na", "nb", t) & behind
+    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_sizes("na", "nb", t) & long_behind("na", "pa", "nb", "pb", t)
     first = F.min(F.struct("pa", "pb")).alias("at")
     return one.join(two, on).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), first).select("a", "na", "at.pa", "b", "nb", "at.pb")
 
@@ -192,26 +220,32 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     # sets by their key: the least id, and one text that has the set
     own = rows.filter("n > 0")
     sets = written(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(F.struct("h", "doc_id")).alias("text"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")))
-    tokens = written(map_rows(base.select("text"), lambda it: _prefix_rows(it, words, t, common), "token long, place long, key binary, n long"))
-    # n-grams that several sets have, one of them in the part of its prefix where the smaller set's first shared n-gram must be
-    k = F.xxhash64("key")
-    early = (F.col("n") - F.col("place")) * (t[0] + t[1]) >= F.col("n") * (2 * t[0])
-    shared = tokens.groupBy("token").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.max(early).alias("early")).filter("lo <> hi and early").select("token")
-    members = written(tokens.join(shared, "token").groupBy("token", F.col("key").alias("h")).agg(F.first("place").alias("place"), F.first("n").alias("n")))
-    active = written(members.select("h").distinct())
-    n_active = active.count()
-    wanted = active.join(sets, F.col("h") == F.col("key")).select(F.col("text.h").alias("h_"), F.col("text.doc_id").alias("id_"))
-    wanted = F.broadcast(wanted) if n_active <= BROADCAST_KEYS else wanted.hint("shuffle_hash")
-    whole = base.join(wanted, (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi").select("text")
-    whole = map_rows(whole, lambda it: _whole_sets(it, words, t, common), "key binary, s binary, p binary")
-    whole = written(whole.groupBy("key").agg(F.first("s").alias("s"), F.first("p").alias("p")))
-    tried = None
+    hot = HOT_CELL
+    tokens = map_rows(base.select("text"), lambda it: _prefix_rows(it, words, t, common, hot), "token long, piece long, place long, key binary, n long")
+    members = written(shared_prefixes(tokens, t))
+    whole, tried = None, None
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """key, s, p of the sets in ``pairs``, each made from one text the first time that it is asked for."""
+        nonlocal whole
+        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        if whole is not None:
+            asked = asked.join(whole.select("key"), "key", "left_anti")
+        wanted = written(asked.join(sets, "key").select(F.col("text.h").alias("h_"), F.col("text.doc_id").alias("id_")))
+        few = wanted.count() <= BROADCAST_SETS
+        one = base.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+        new = map_rows(one.dropDuplicates(["h", "doc_id"]).select("text"), lambda it: _whole_sets(it, words, t, common), "key binary, s binary, p binary")
+        new = written(new)
+        whole = new if whole is None else whole.unionByName(new)
+        return whole
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), whole.select(F.col("key").alias("b"), F.col("s").alias("sb"))
+        of = sets_of(pairs)
+        a, b = of.select(F.col("key").alias("a"), F.col("s").alias("sa")), of.select(F.col("key").alias("b"), F.col("s").alias("sb"))
         return written(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), lambda it: _verify(it, t), "a binary, b binary"))
 
-    label = active.select("h", F.col("h").alias("c"))
+    active = members.select("h").distinct()
+    label = written(active.select("h", F.col("h").alias("c")))
     turn, before = 0, 0
     while True:
         now = members.join(label, "h")
@@ -220,21 +254,24 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         left = now.count()
         if not left or (turn > 1 and 2 * left > before):
             break
-        # one set of an n-gram and a range of sizes meets the others of other components: the same one for many n-grams, another one in each round
+        # one set of an n-gram and a range of sizes may link with the others: mostly the same one for many n-grams, another one in each round; a set meets one of them
         size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(t[1] / t[0])) + 0.5 * (turn % 2)).alias("size")
-        banded = now.select("token", "h", "n", "c", size)
-        one = banded.groupBy("token", "size").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), F.col("h").alias("h_"), F.col("n").alias("n_"), F.col("c").alias("c_"))).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        pairs = spread_join(banded, written(one), ["token", "size"], "rows").filter("c <> hub.c_").select("h", "n", "hub.h_", "hub.n_").filter(close_sizes("n", "n_", t))
-        pairs = pairs.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
+        banded = now.select("token", "place", "h", "n", "c", size)
+        hub = F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), F.col("h").alias("h_"), F.col("n").alias("n_"), F.col("place").alias("place_"), F.col("c").alias("c_"))
+        one = banded.groupBy("token", "size").agg(F.min(hub).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        near = spread_join(banded, written(one), ["token", "size"], "rows").select("h", "n", "place", "c", "hub.*")
+        near = near.filter(F.col("c") != F.col("c_")).filter(close_sizes("n", "n_", t) & long_behind("n", "place", "n_", "place_", t))
+        pairs = near.groupBy("h").agg(F.min(F.struct("x", "h_")).alias("hub")).select(F.least("h", "hub.h_").alias("a"), F.greatest("h", "hub.h_").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(verified(pairs), label)
         turn, before = turn + 1, left
     if left:
-        pairs = joined_pairs(now, t).join(tried, ["a", "b"], "left_anti")
-        a, b = whole.select(F.col("key").alias("a"), F.col("p").alias("p_a")), whole.select(F.col("key").alias("b"), F.col("p").alias("p_b"))
-        close = map_rows(pairs.join(a, "a").join(b, "b"), lambda it: _suffix_filter(it, t), "a binary, b binary")
-        label = components(verified(written(close)), label)
+        pairs = written(joined_pairs(now, t).join(tried, ["a", "b"], "left_anti"))
+        of = sets_of(pairs)
+        a, b = of.select(F.col("key").alias("a"), F.col("p").alias("p_a")), of.select(F.col("key").alias("b"), F.col("p").alias("p_b"))
+        close = written(map_rows(pairs.join(a, "a").join(b, "b"), lambda it: _suffix_filter(it, t), "a binary, b binary"))
+        label = components(verified(close), label)
     # the least id of a component goes back to its sets, then to the rows of each set
     of = written(sets.select("key", "id", "rows").join(label.withColumnRenamed("h", "key"), "key", "left").select("key", "id", "rows", F.coalesce("c", "key").alias("c")))
     least = written(of.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("sets")))

@@ -63,10 +63,11 @@ def test_query_against_all_pairs(spark):
     assert sorted(map(tuple, queries.op11_ngram_join(spark, "/root/testdata/sf0.001").collect()), key=repr) == plainly(rows)
 
 
-@pytest.mark.parametrize("piece", [4, 2048])
-def test_families(spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "hot"), [(4, 0), (4, 20), (2048, 1 << 20)])
+def test_families(spark, monkeypatch, piece, hot):
     """Groups whose texts lie on both sides of the threshold, a template that nearly all share, copies; all pairs between components are formed."""
     monkeypatch.setattr(J, "PIECE", piece)
+    monkeypatch.setattr(J, "HOT_CELL", hot)  # from here on an n-gram's rows are dealt out
     draw = random.Random(5)
     texts = family(draw, 60, 120, 4) + family(draw, 40, 200, 12) + family(draw, 30, 60, 1) + family(draw, 25, 300, 30, 50)
     lead = texts[0].split()[:70]
