@@ -1,19 +1,26 @@
-"""Bounded, weighted Levenberg-Marquardt least squares, one fit per group."""
+"""Bounded, weighted Levenberg-Marquardt least squares, one fit per group.
+
+:func:`nonlinear_least_squares` takes a numpy model and runs each group's points in
+one task: for many groups of moderate size. :func:`distributed_least_squares` takes
+a model of columns, for groups of any size: a step is one aggregate over the data
+(the squared residuals, J'WJ and J'Wr, with the Jacobian as expressions), of which
+only these few numbers per group reach the driver, where the step is solved. All
+groups step together; those that have converged drop out of the aggregate.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ArraySizeError, InvalidInputError, ToleranceTooSmallError, TooFewIterationsError, UnderdefinedProblemError
+from ..errors import ArraySizeError, InvalidArgumentError, InvalidInputError, ToleranceTooSmallError, TooFewIterationsError, UnderdefinedProblemError
 from ..functions import kernel as K
-from ..functions.distributions import TDistribution
 from ..workers import importable
 
 LEVENBERG_MARQUARDT_UPDATE, QUADRATIC_UPDATE, NIELSEN_UPDATE = 1, 2, 3
@@ -59,6 +66,10 @@ def _check(x, y, p, w, lo, hi, c: IterationControls) -> None:
         raise ArraySizeError("arrays of other sizes than expected")
     if len(y) < len(p):
         raise UnderdefinedProblemError("fewer points than parameters")
+    _check_controls(c)
+
+
+def _check_controls(c: IterationControls) -> None:
     if min(c.gradient_tolerance, c.residual_tolerance, c.change_in_solution_tolerance, c.iteration_improvement_tolerance) < 1e-14:
         raise ToleranceTooSmallError("tolerances are at least 1e-14")
     if c.max_iteration_count < 2 or c.max_function_evaluations < 10 or c.max_iteration_between_updates < 1:
@@ -123,7 +134,7 @@ def fit(model: Model, x, y, params, weights=None, lower=None, upper=None, contro
         worse = chi1 > chi
         if accepted:
             move, f0 = trial - p, f
-            p, f, r, last = trial, f1, y - f1, chi
+            p, f, r = trial, f1, y - f1
             chi = chi1
             age += 1
             if age >= c.max_iteration_between_updates or worse:
@@ -138,7 +149,6 @@ def fit(model: Model, x, y, params, weights=None, lower=None, upper=None, contro
             else:
                 lam, nu = lam * max(1 / 3, 1 - (2 * rho - 1) ** 3), 2.0
         else:
-            last = chi
             if age:  # a rejected step may be the fault of an old Jacobian
                 jac, age = differences(p, f), 0
                 h, g = jac.T @ (w[:, None] * jac), jac.T @ (w * r)
@@ -161,7 +171,6 @@ def fit(model: Model, x, y, params, weights=None, lower=None, upper=None, contro
             result.stopped_by = "evaluations"
         elif update is not None and update(it, p):
             result.stopped_by = "user"
-        del last
     jac = differences(p, f)
     result.params, result.modelled, result.residuals, result.iterations, result.evaluations, result.chi_squared = p, f, r, it, calls, chi
     result.covariance = np.linalg.pinv(jac.T @ (w[:, None] * jac), rcond=1e-14)
@@ -170,14 +179,17 @@ def fit(model: Model, x, y, params, weights=None, lower=None, upper=None, contro
 
 def statistics(f: Fit, alpha: float = 0.05) -> list[dict[str, float]]:
     """Per parameter: standard error, t statistic, probability and half of the confidence interval. The variance is of the unweighted residuals."""
-    n, m = len(f.residuals), len(f.params)
-    dof = n - m
-    s2 = float(f.residuals @ f.residuals) / dof if dof else np.nan
-    q = TDistribution(dof).ppf(1 - alpha / 2) if dof else np.nan
+    return _coefficients(f.params, f.covariance, len(f.residuals), float(f.residuals @ f.residuals), alpha)
+
+
+def _coefficients(params: np.ndarray, covariance: np.ndarray, n: int, squares: float, alpha: float) -> list[dict[str, float]]:
+    dof = n - len(params)
+    s2 = squares / dof if dof else np.nan
+    q = K.t_quantile(1 - alpha / 2, dof) if dof else np.nan
     out = []
-    for i in range(m):
-        se = float(np.sqrt(s2 * f.covariance[i, i]))
-        t = float(f.params[i] / se) if se else np.nan
+    for i in range(len(params)):
+        se = float(np.sqrt(s2 * covariance[i, i]))
+        t = float(params[i] / se) if se else np.nan
         out.append({"standard_error": se, "t_statistic": t, "probability": K.two_sided_t(t, float(dof)) if np.isfinite(t) else np.nan, "confidence_interval": q * se})
     return out
 
@@ -201,3 +213,184 @@ def nonlinear_least_squares(df: DataFrame, model: Model, x: str, y: str, params:
 
     kinds = [T.IntegerType(), *[T.DoubleType()] * 5, T.IntegerType(), T.BooleanType()]
     return importable(rows).groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
+
+
+# --- fits of any size ---
+#: Groups of one call of :func:`distributed_least_squares`: each is a row of p x p numbers on the driver. More groups are fitted side by side by :func:`nonlinear_least_squares`.
+MOST_GROUPS = 10_000
+#: Central differences: the step relative to a parameter (or to 1, if the parameter is less).
+CENTRAL_STEP = float(np.cbrt(np.finfo(float).eps))
+
+ColumnModel = Callable[[list[Column], list[Column]], Column]
+
+
+@dataclass
+class Point:
+    """What one pass over the data says about parameters ``p``."""
+
+    p: np.ndarray
+    n: int
+    chi: float
+    squares: float
+    h: np.ndarray
+    g: np.ndarray
+
+
+@dataclass
+class Found:
+    """Where a search ended: the best point, and why."""
+
+    at: Point
+    iterations: int
+    evaluations: int
+    values: dict[str, float]
+    converged_on: set[str]
+    stopped_by: str
+
+
+def search(p: np.ndarray, lower: np.ndarray, upper: np.ndarray, c: IterationControls, o: SolverOptions, update: Callable[[int, np.ndarray], bool] | None = None) -> Generator[np.ndarray, Point, Found]:
+    """Levenberg-Marquardt as a coroutine: it yields the parameters that it wants evaluated and is sent their :class:`Point`. The Jacobian is new at each point. A parameter at a bound that its gradient pushes against stays there for the step."""
+    cost = 1 + 2 * len(p)
+    now = yield np.clip(p, lower, upper)
+    if now.n < len(p):
+        raise UnderdefinedProblemError("fewer points than parameters")
+    lam = 1e-2 if o.method == LEVENBERG_MARQUARDT_UPDATE else 1e-2 * float(np.diag(now.h).max())
+    nu, it, calls, dof = 2.0, 0, cost, max(1, now.n - len(p))
+    values = {"gradient": np.inf, "change": np.inf, "residual": np.inf}
+    converged, stopped = set(), ""
+    while not converged and not stopped:
+        it += 1
+        d = np.diag(np.diag(now.h)) if o.method == LEVENBERG_MARQUARDT_UPDATE else np.eye(len(p))
+        free = ~(((now.p <= lower) & (now.g < 0)) | ((now.p >= upper) & (now.g > 0)))
+        step = np.zeros(len(p))
+        step[free] = np.linalg.lstsq((now.h + lam * d)[np.ix_(free, free)], now.g[free], rcond=None)[0] if free.any() else 0.0
+        trial = yield np.clip(now.p + step, lower, upper)
+        calls += cost
+        alpha = 1.0
+        if o.method == QUADRATIC_UPDATE:  # along the step to where a parabola through both ends has its least value
+            slope = float(now.g @ step)
+            bend = 0.5 * (trial.chi - now.chi) + 2 * slope
+            alpha = abs(slope / bend) if bend else 1.0
+            step = alpha * step
+            trial = yield np.clip(now.p + step, lower, upper)
+            calls += cost
+        gain = abs(float(step @ (lam * (d @ step) + now.g)))
+        rho = (now.chi - trial.chi) / gain if gain else (1.0 if trial.chi <= now.chi else -1.0)
+        change = trial.chi - now.chi
+        if np.isfinite(trial.chi) and rho > c.iteration_improvement_tolerance:
+            now = trial
+            if o.method == LEVENBERG_MARQUARDT_UPDATE:
+                lam = max(lam / o.damping_decrease_factor, 1e-7)
+            elif o.method == QUADRATIC_UPDATE:
+                lam = max(lam / (1 + alpha), 1e-7)
+            else:
+                lam, nu = lam * max(1 / 3, 1 - (2 * rho - 1) ** 3), 2.0
+        elif o.method == LEVENBERG_MARQUARDT_UPDATE:
+            lam = min(lam * o.damping_increase_factor, 1e7)
+        elif o.method == QUADRATIC_UPDATE:
+            lam = lam + abs(change / 2 / alpha) if alpha and np.isfinite(change) else lam * o.damping_increase_factor
+        else:
+            lam, nu = lam * nu, nu * 2
+        pushed = ((now.p <= lower) & (now.g < 0)) | ((now.p >= upper) & (now.g > 0))
+        values = {"gradient": float(np.abs(np.where(pushed, 0.0, now.g)).max()), "change": float(np.max(np.abs(step) / (np.abs(now.p) + 1e-12))), "residual": now.chi / dof}
+        if it > 2:
+            limits = {"gradient": c.gradient_tolerance, "change": c.change_in_solution_tolerance, "residual": c.residual_tolerance}
+            converged = {k for k, v in values.items() if v < limits[k]}
+        if it >= c.max_iteration_count:
+            stopped = "iterations"
+        elif calls >= c.max_function_evaluations:
+            stopped = "evaluations"
+        elif update is not None and update(it, now.p):
+            stopped = "user"
+    return Found(now, it, calls, values, converged, stopped)
+
+
+def _pass(rows: DataFrame, model: ColumnModel, by: list[str], asked: dict[tuple, np.ndarray], predictors: int) -> dict[tuple, Point]:
+    """One aggregate over the rows of the asked groups: each group's parameters are broadcast to its rows."""
+    spark, p = rows.sparkSession, len(next(iter(asked.values())))
+    steps = {key: CENTRAL_STEP * np.maximum(np.abs(q), 1.0) for key, q in asked.items()}
+    schema = T.StructType([*[T.StructField(f"__by{i}", rows.schema[b].dataType) for i, b in enumerate(by)], T.StructField("__p", T.ArrayType(T.DoubleType())), T.StructField("__s", T.ArrayType(T.DoubleType()))])
+    table = spark.createDataFrame([(*key, q.tolist(), steps[key].tolist()) for key, q in asked.items()], schema)
+    on = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+    with_p = rows.join(F.broadcast(table), on) if by else rows.crossJoin(F.broadcast(table))  # at most MOST_GROUPS rows
+    x = [F.col(f"__x{i}") for i in range(predictors)]
+    at, h = [F.get("__p", F.lit(i)) for i in range(p)], [F.get("__s", F.lit(i)) for i in range(p)]
+    moved = lambda i, sign: model(x, [*at[:i], at[i] + sign * h[i], *at[i + 1 :]])
+    keep = [*by, "__w", (F.col("__y") - model(x, at)).alias("__r"), *[((moved(i, 1.0) - moved(i, -1.0)) / (2 * h[i])).alias(f"__j{i}") for i in range(p)]]
+    e = with_p.select(*keep)
+    r, w, j = F.col("__r"), F.col("__w"), [F.col(f"__j{i}") for i in range(p)]
+    upper = [F.sum(w * j[a] * j[b]) for a in range(p) for b in range(a, p)]
+    sums = e.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.sum(w * r * r).alias("__chi"), F.sum(r * r).alias("__squares"), F.array(*upper).alias("__h"), F.array(*[F.sum(w * j[a] * r) for a in range(p)]).alias("__g"))
+    out = {}
+    for row in sums.collect():
+        m = np.zeros((p, p))
+        m[np.triu_indices(p)] = np.array(row["__h"], float)
+        key = tuple(row[b] for b in by)
+        chi = float("nan") if row["__chi"] is None else row["__chi"]
+        out[key] = Point(asked[key], row["__n"], chi, row["__squares"], m + np.triu(m, 1).T, np.array(row["__g"], float))
+    return out
+
+
+INFO = T.StructType([T.StructField(n, k()) for n, k in (("converge_on_gradient", T.BooleanType), ("gradient_value", T.DoubleType), ("converge_on_solution_change", T.BooleanType), ("solution_change_value", T.DoubleType), ("converge_on_residual_parameter", T.BooleanType), ("residual_value", T.DoubleType), ("reach_iteration_limit", T.BooleanType), ("reach_function_evaluation_limit", T.BooleanType), ("user_requested_stop", T.BooleanType), ("iteration_count", T.IntegerType), ("function_evaluation_count", T.IntegerType))])
+
+
+def distributed_least_squares(df: DataFrame, model: ColumnModel, x: str | Sequence[str], y: str, params: Sequence[float] | dict[tuple, Sequence[float]], weight: str | None = None, by: Sequence[str] = (), lower: Sequence[float] | None = None, upper: Sequence[float] | None = None, controls: IterationControls | None = None, options: SolverOptions | None = None, alpha: float = 0.05, update: Callable[[tuple, int, np.ndarray], bool] | None = None) -> DataFrame:
+    """A fit per group of any size: by, parameter, estimate, standard_error, t_statistic, probability, confidence_interval, covariance (the parameter's row), n, chi_squared, info.
+
+    ``model(x, p)`` gives a column from the columns of the predictors ``x`` and of the
+    parameters. ``params`` are the starting values, of all groups or by group key.
+    ``update(key, iteration, p)`` may return True to stop a group. Rows with a null
+    are left out; a null group key is a group. Statistics are of the unweighted
+    residuals, like those of :func:`nonlinear_least_squares`; ``info`` tells what
+    each test of convergence came to. Every pass reads the needed columns of ``df``
+    once; give a table, not an expensive plan.
+    """
+    by, c, o = list(by), controls or IterationControls(), options or SolverOptions()
+    names = [x] if isinstance(x, str) else list(x)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = [F.col(n).cast("double").alias(f"__x{i}") for i, n in enumerate(names)]
+    rows = df.select(*by, *own, F.col(y).cast("double").alias("__y"), w.alias("__w")).dropna(subset=[f"__x{i}" for i in range(len(names))] + ["__y", "__w"])
+    keys = [tuple(r) for r in rows.select(*by).distinct().limit(MOST_GROUPS + 1).collect()] if by else [()]
+    if len(keys) > MOST_GROUPS:
+        raise InvalidArgumentError(f"more than {MOST_GROUPS} groups: fit them side by side with nonlinear_least_squares")
+    start = {k: np.array(params[k] if isinstance(params, dict) else params, float) for k in keys}
+    p = len(next(iter(start.values()))) if start else 0
+    lo, hi = (np.full(p, e) if v is None else np.asarray(v, float) for v, e in ((lower, -np.inf), (upper, np.inf)))
+    if len(lo) != p or len(hi) != p or any(len(q) != p for q in start.values()):
+        raise ArraySizeError("arrays of other sizes than expected")
+    if o.method not in (LEVENBERG_MARQUARDT_UPDATE, QUADRATIC_UPDATE, NIELSEN_UPDATE):
+        raise InvalidInputError("an unknown update method")
+    _check_controls(c)
+    going = {k: search(q, lo, hi, c, o, None if update is None else (lambda it, at, k=k: update(k, it, at))) for k, q in start.items()}
+    asked = {k: next(g) for k, g in going.items()}
+    found: dict[tuple, Found] = {}
+    while asked:
+        seen = _pass(rows, model, by, asked, len(names))
+        missing = [k for k in asked if k not in seen]
+        if missing:  # a frame without rows
+            raise UnderdefinedProblemError("fewer points than parameters")
+        for k in list(asked):
+            try:
+                asked[k] = going[k].send(seen[k])
+            except StopIteration as end:
+                found[k] = end.value
+                del asked[k]
+    out = []
+    for k, f in found.items():
+        covariance = np.linalg.pinv(f.at.h, rcond=1e-14, hermitian=True)
+        for i, s in enumerate(_coefficients(f.at.p, covariance, f.at.n, f.at.squares, alpha)):
+            info = ("gradient" in f.converged_on, f.values["gradient"], "change" in f.converged_on, f.values["change"], "residual" in f.converged_on, f.values["residual"], f.stopped_by == "iterations", f.stopped_by == "evaluations", f.stopped_by == "user", f.iterations, f.evaluations)
+            out.append((*k, i, float(f.at.p[i]), *s.values(), covariance[i].tolist(), int(f.at.n), float(f.at.chi), info))
+    schema = T.StructType([*[rows.schema[b] for b in by], T.StructField("parameter", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in ("estimate", "standard_error", "t_statistic", "probability", "confidence_interval")], T.StructField("covariance", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("chi_squared", T.DoubleType()), T.StructField("info", INFO)])
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def predict(df: DataFrame, fit: DataFrame, model: ColumnModel, x: str | Sequence[str], y: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with modelled (and residual = y - modelled). ``fit`` has parameter and estimate per group; it is broadcast if it has at most MOST_GROUPS groups. Groups without a fit get nulls."""
+    names, by = [x] if isinstance(x, str) else list(x), list(by)
+    p = fit.groupBy(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]).agg(F.transform(F.sort_array(F.collect_list(F.struct("parameter", "estimate"))), lambda z: z["estimate"]).alias("__p"))
+    size = p.agg(F.max(F.size("__p")), F.count(F.lit(1))).first()
+    p = F.broadcast(p) if size[1] <= MOST_GROUPS else p
+    rows = df.join(p, [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)], "left") if by else df.crossJoin(p)
+    out = rows.withColumn("modelled", model([F.col(n).cast("double") for n in names], [F.get("__p", F.lit(i)) for i in range(size[0] or 0)]))
+    return (out if y is None else out.withColumn("residual", F.col(y) - F.col("modelled"))).drop("__p", *[f"__by{i}" for i in range(len(by))])

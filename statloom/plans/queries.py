@@ -245,6 +245,47 @@ def nonlinear_least_squares(spark, sf):
     return rounded(f.select("l_returnflag", "parameter", "estimate"), 3)
 
 
+#: y = a x^b by weighted least squares with weights 1 / x: b is where the derivative of the profile over a changes its sign, found by halving over sums per quantity.
+_HALVE = "list_reduce(list_prepend([0.0::DOUBLE, 2.0::DOUBLE], list_transform(range(60), lambda i: [0.0::DOUBLE, 0.0::DOUBLE])), lambda s, i: CASE WHEN {g} > 0 THEN [(s[1] + s[2]) / 2, s[2]] ELSE [s[1], (s[1] + s[2]) / 2] END)"
+_SUM = "list_sum(list_transform(range(1, len(xs) + 1), lambda k: {e}))"
+_B = "((s[1] + s[2]) / 2)"
+_SLOPE = " - ".join(f"{_SUM.format(e=u)} * {_SUM.format(e=v)}" for u, v in ((f"ln(xs[k]) * xs[k] ** ({_B} - 1) * ys[k]", f"xs[k] ** (2 * {_B} - 1) * ns[k]"), (f"xs[k] ** ({_B} - 1) * ys[k]", f"ln(xs[k]) * xs[k] ** (2 * {_B} - 1) * ns[k]")))
+_POWER = f"""q AS (SELECT l_returnflag, l_quantity::DOUBLE AS x, count(*)::DOUBLE AS n, sum(l_extendedprice / 1000)::DOUBLE AS y, sum((l_extendedprice / 1000) ** 2)::DOUBLE AS yy FROM lineitem GROUP BY ALL),
+l AS (SELECT l_returnflag, list(x ORDER BY x) AS xs, list(n ORDER BY x) AS ns, list(y ORDER BY x) AS ys FROM q GROUP BY ALL),
+e AS (SELECT l_returnflag, s[1] AS b FROM (SELECT l_returnflag, {_HALVE.format(g=_SLOPE)} AS s FROM l)),
+f AS (SELECT l_returnflag, b, sum(x ** (b - 1) * y) / sum(x ** (2 * b - 1) * n) AS a FROM q JOIN e USING (l_returnflag) GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_POWER},
+h AS (SELECT l_returnflag, a, b, sum(n) AS n, sum(yy - 2 * a * x ** b * y + n * a * a * x ** (2 * b)) AS squares, sum((yy - 2 * a * x ** b * y + n * a * a * x ** (2 * b)) / x) AS chi, sum(n * x ** (2 * b - 1)) AS aa, sum(n * a * ln(x) * x ** (2 * b - 1)) AS ab, sum(n * a * a * ln(x) ** 2 * x ** (2 * b - 1)) AS bb FROM q JOIN f USING (l_returnflag) GROUP BY ALL),
+t AS (SELECT l_returnflag, n, chi, n - 2 AS dof, unnest([0, 1])::INT AS parameter, unnest([a, b]) AS estimate, sqrt(squares / (n - 2) * unnest([bb, aa]) / (aa * bb - ab * ab)) AS se FROM h)
+SELECT l_returnflag, parameter, n::BIGINT AS n, round(chi / n, 6) AS chi_squared, round(estimate, 6) AS estimate, round(se, 8) AS standard_error, round(estimate / se, 3) AS t_statistic, round({S.two_sided_t('estimate / se', 'dof')}, 6) AS probability, round({S.t_quantile('1.959963984540054', 'dof')} * se, 8) AS confidence_interval, true AS converged FROM t""")
+def nonlinear_fit_by_aggregates(spark, sf):
+    """A power of the quantity through the prices of all rows, weighted, with bounds: every step of the fit is one aggregate."""
+    f = nonlinear.distributed_least_squares(_power_rows(spark, sf), _power, "l_quantity", "y", [1.0, 0.7], "w", ["l_returnflag"], [0.0, 0.0], [100.0, 2.0], _FINE)
+    out = f.select("l_returnflag", "parameter", "n", (F.col("chi_squared") / F.col("n")).alias("chi_squared"), "estimate", "standard_error", "t_statistic", "probability", "confidence_interval", F.col("info.converge_on_solution_change").alias("converged"))
+    return rounded(out, {"standard_error": 8, "t_statistic": 3, "confidence_interval": 8})
+
+
+@query(f"WITH {_POWER} SELECT l_orderkey, l_linenumber, l_returnflag, round(a * l_quantity ** b, 5) AS modelled, round(l_extendedprice / 1000 - a * l_quantity ** b, 5) AS residual FROM lineitem JOIN f USING (l_returnflag)")
+def nonlinear_prediction(spark, sf):
+    df = _power_rows(spark, sf, "l_orderkey", "l_linenumber")
+    f = nonlinear.distributed_least_squares(df, _power, "l_quantity", "y", [1.0, 0.7], "w", ["l_returnflag"], [0.0, 0.0], [100.0, 2.0], _FINE)
+    return rounded(nonlinear.predict(df, f, _power, "l_quantity", "y", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_returnflag", "modelled", "residual"), 5)
+
+
+_FINE = nonlinear.IterationControls(residual_tolerance=1e-13, change_in_solution_tolerance=1e-11)
+
+
+def _power(x, p):
+    return p[0] * F.pow(x[0], p[1])
+
+
+def _power_rows(spark, sf, *columns):
+    return table(spark, sf, "lineitem").select(*columns, "l_returnflag", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"), (1 / F.col("l_quantity")).alias("w"))
+
+
 # --- experimental design ---
 @query("SELECT (a * 12 + b * 3 + c)::BIGINT AS run, (a + 1)::INT AS f1, (b + 1)::INT AS f2, (c + 1)::INT AS f3 FROM range(2) AS t(a), range(4) AS u(b), range(3) AS v(c)")
 def full_factorial(spark, sf):
