@@ -7,13 +7,15 @@ and a pair goes on if
 
 * their sizes are close enough (length filter),
 * what follows the first n-gram they share is long enough in both (positional filter),
-* and what follows has classes of n-grams in common to a large enough extent (suffix filter);
+* what follows has classes of n-grams in common to a large enough extent (suffix filter; a sketch
+  of one bit per class is compared while pairs are joined, the exact counts behind the shared
+  n-gram afterwards);
 
 then the two whole sets are compared, once per pair.
 
 Equal sets are one set from the start. Texts that hang together are found first
-by rounds that are linear in the prefix n-grams: every set of an n-gram meets one
-of them. Only between sets of different components that still share an n-gram are
+by rounds that are linear in the prefix n-grams: every set of an n-gram meets the
+most alike of a few of them. Only between sets of different components that still share an n-gram are
 all pairs formed, none left out, so the components are exact.
 """
 
@@ -42,6 +44,10 @@ PIECE = 2048
 HOT_CELL, PIECES = 1 << 20, 64
 #: Sets that are looked up by a broadcast of their texts' keys at most.
 BROADCAST_SETS = 250_000
+#: Bits of a set's sketch, in words of 64, and sets of an n-gram that the others choose from in a round.
+SKETCH, HUBS = 4, 8
+#: Rounds go on as long as they leave at most this share of the components.
+PROGRESS = 0.7
 #: Rows of an Arrow batch that Python returns.
 OUT_ROWS = 1 << 16
 
@@ -58,26 +64,33 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())[:12]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Per class of n-grams one bit, whether the set has an odd number of them. Two sets differ in at least as many n-grams as their sketches in bits."""
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _row_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Per text: key (null without words) and n; at the end of the task its n-grams per cell."""
     known: dict[bytes, int] = {}
     cells = np.zeros(CELLS, np.int64)
     ids = None
     for b in batches:
-        keys, sizes = [], []
+        keys, sizes, sketches = [], [], []
         for text in b.column("text"):
             s, _ = shingle_hashes(text.as_py(), known, words)
             keys.append(set_key(s) if len(s) else None)
             sizes.append(len(s))
+            sketches.append(sketch(s))
             np.add.at(cells, (s % np.uint64(CELLS)).astype(np.int64), 1)
         ids = b.column("doc_id").type
         none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), none, none], ["doc_id", "h", "key", "n", "cell", "count"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none, none], ["doc_id", "h", "key", "n", "g", "cell", "count"])
     at = np.flatnonzero(cells)
     for i in range(0, len(at), OUT_ROWS):
         some = at[i : i + OUT_ROWS]
-        none = [pa.nulls(len(some), t) for t in (ids, pa.binary(), pa.binary(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some), pa.array(cells[some])], ["doc_id", "h", "key", "n", "cell", "count"])
+        none = [pa.nulls(len(some), t) for t in (ids, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some), pa.array(cells[some])], ["doc_id", "h", "key", "n", "g", "cell", "count"])
 
 
 def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -171,6 +184,17 @@ def long_behind(na: str, pa: str, nb: str, pb: str, t: Threshold) -> Column:
     return F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) * (t[0] + t[1]) >= (F.col(na) + F.col(nb)) * t[0]
 
 
+def apart(g: Column, g_: Column) -> Column:
+    """Bits in which two sketches differ."""
+    bits = [F.bit_count(F.get(g, F.lit(i)).bitwiseXOR(F.get(g_, F.lit(i)))) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
+def close_sketches(g: str, n: str, g_: str, n_: str, t: Threshold) -> Column:
+    """Sets that reach the threshold differ in so few n-grams, so in no more bits."""
+    return apart(F.col(g), F.col(g_)) * (t[0] + t[1]) <= (F.col(n) + F.col(n_)) * (t[1] - t[0])
+
+
 def shared_prefixes(tokens: DataFrame, t: Threshold) -> DataFrame:
     """token, h, place, n of the sets that share a prefix n-gram with another, once each. Rows in pieces are not judged: they are frequent."""
     w = Window.partitionBy("token", "piece")
@@ -183,12 +207,12 @@ def shared_prefixes(tokens: DataFrame, t: Threshold) -> DataFrame:
 
 
 def joined_pairs(members: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, na, pa, b, nb, pb) of sets of different components, each once, with the places of the first n-gram they share. ``members`` has token, place, h, n, c."""
+    """Pairs (a, na, pa, b, nb, pb) of sets of different components, each once, with the places of the first n-gram they share. ``members`` has token, place, h, n, c and g."""
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     of = members.join(sizes.select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "token")
-    one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"))
-    two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"))
-    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_sizes("na", "nb", t) & long_behind("na", "pa", "nb", "pb", t)
+    one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"), F.col("g").alias("ga"))
+    two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"), F.col("g").alias("gb"))
+    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_sizes("na", "nb", t) & long_behind("na", "pa", "nb", "pb", t) & close_sketches("ga", "na", "gb", "nb", t)
     first = F.min(F.struct("pa", "pb")).alias("at")
     return one.join(two, on).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), first).select("a", "na", "at.pa", "b", "nb", "at.pb")
 
@@ -212,14 +236,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Threshold
 def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     base = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", text_key())
-    seen = written(map_rows(base, lambda it: _row_sets(it, words), f"doc_id {kind}, h binary, key binary, n long, cell long, count long"), stay=True)
-    rows = seen.filter("cell is null").select("doc_id", "h", "key", "n")
+    seen = written(map_rows(base, lambda it: _row_sets(it, words), f"doc_id {kind}, h binary, key binary, n long, g array<long>, cell long, count long"), stay=True)
+    rows = seen.filter("cell is null").select("doc_id", "h", "key", "n", "g")
     common = np.zeros(CELLS, np.int64)
     counted = seen.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()  # at most CELLS rows
     common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     # sets by their key: the least id, and one text that has the set
     own = rows.filter("n > 0")
-    sets = written(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(F.struct("h", "doc_id")).alias("text"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+    sets = written(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(F.struct("h", "doc_id")).alias("text"), F.first("n").alias("n"), F.first("g").alias("g"), F.count(F.lit(1)).alias("rows")))
     hot = HOT_CELL
     tokens = map_rows(base.select("text"), lambda it: _prefix_rows(it, words, t, common, hot), "token long, piece long, place long, key binary, n long")
     members = written(shared_prefixes(tokens, t))
@@ -246,22 +270,28 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
 
     active = members.select("h").distinct()
     label = written(active.select("h", F.col("h").alias("c")))
+    info = sets.select(F.col("key").alias("h"), "g")
     turn, before = 0, 0
     while True:
         now = members.join(label, "h")
         mixed = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("token", "rows"))
-        now = written(spread_join(now.select("token", "place", "h", "n", "c"), mixed, ["token"], "rows"))
-        left = now.count()
-        if not left or (turn > 1 and 2 * left > before):
+        now = written(spread_join(now.select("token", "place", "h", "n", "c"), mixed, ["token"], "rows").join(info, "h"))
+        left = now.agg(F.count_distinct("c")).first()[0]
+        if not left or (turn > 1 and left > PROGRESS * before):
             break
-        # one set of an n-gram and a range of sizes may link with the others: mostly the same one for many n-grams, another one in each round; a set meets one of them
+        # some sets of an n-gram and a range of sizes, mostly the same ones for many n-grams, others in each round: every other set meets the one most like it by the sketches
         size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(t[1] / t[0])) + 0.5 * (turn % 2)).alias("size")
-        banded = now.select("token", "place", "h", "n", "c", size)
-        hub = F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), F.col("h").alias("h_"), F.col("n").alias("n_"), F.col("place").alias("place_"), F.col("c").alias("c_"))
-        one = banded.groupBy("token", "size").agg(F.min(hub).alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        near = spread_join(banded, written(one), ["token", "size"], "rows").select("h", "n", "place", "c", "hub.*")
-        near = near.filter(F.col("c") != F.col("c_")).filter(close_sizes("n", "n_", t) & long_behind("n", "place", "n_", "place_", t))
-        pairs = near.groupBy("h").agg(F.min(F.struct("x", "h_")).alias("hub")).select(F.least("h", "hub.h_").alias("a"), F.greatest("h", "hub.h_").alias("b")).distinct()
+        banded = now.select("token", "place", "h", "n", "c", "g", size)
+        hubs = [F.min(F.struct(F.xxhash64("h", F.lit(turn), F.lit(i)).alias("x"), "h", "n", "place", "c", "g")).alias(f"hub{i}") for i in range(HUBS)]
+        some = banded.groupBy("token", "size").agg(*hubs, F.count(F.lit(1)).alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+        met = spread_join(banded, written(some), ["token", "size"], "rows")
+        best = []
+        for i in range(HUBS):
+            hub = {c: f"hub{i}.{c}" for c in ("h", "n", "place", "c", "g")}
+            fits = (F.col("c") != F.col(hub["c"])) & close_sizes("n", hub["n"], t) & long_behind("n", "place", hub["n"], hub["place"], t) & close_sketches("g", "n", hub["g"], hub["n"], t)
+            best.append(F.when(fits, F.struct(apart(F.col("g"), F.col(hub["g"])).alias("apart"), F.col(hub["h"]).alias("h"))))
+        near = met.select("h", F.least(*best).alias("hub")).filter("hub is not null").groupBy("h").agg(F.min("hub").alias("hub"))
+        pairs = near.select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(verified(pairs), label)

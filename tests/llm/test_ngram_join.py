@@ -115,3 +115,5 @@ def test_filters_let_links_pass(a, b):
     su, sv = (J.suffix_classes(J.profile(s, common, t), k) for s, k in ((x, i), (y, j)))
     assert J.enough(1 + int(np.minimum(su, sv).sum()), len(x), len(y), t)
     assert su.sum() == len(u) - i - 1
+    bits = np.bitwise_count(J.sketch(x).view(np.uint64) ^ J.sketch(y).view(np.uint64)).sum()
+    assert bits <= len(x) + len(y) - 2 * both
