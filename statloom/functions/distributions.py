@@ -51,19 +51,32 @@ class Distribution:
     def defined_range(self) -> tuple[float, float]:
         return -HUGE, HUGE
 
-    def _bracket(self) -> tuple[Number, Number]:
-        """Where quantiles are searched for."""
-        return -1e6, 1e6
-
     def ppf(self, p: Number):
-        """Inverse of the cdf, by bisection."""
-        low, high = self._bracket()
-        if of(p, low, high, *vars(self).values()) is K.NUM:
-            while self.cdf(high) < p and high < 1e300:
-                high *= 10
-            while self.cdf(low) > p and low < 0 and low > -1e300:
-                low *= 10
-        return K.invert(self.cdf, p, low, high)
+        """Inverse of the cdf, by halving; the ends of the range at 0 and 1, nan outside. As given here for distributions of positive numbers."""
+        return self._ends(p, K.invert_positive(of(p, *vars(self).values()), self.cdf, self.sf, p, self._most()))
+
+    def _most(self) -> Number | None:
+        """A number that quantiles are known to be below, where the cdf costs more the larger its argument is."""
+        return None
+
+    def _ends(self, p: Number, inside: Number):
+        """``inside``, but for p that are not between 0 and 1."""
+        k = of(p, inside)
+        low = 0.0 if self.defined_range()[0] == 0 else -math.inf
+        if k is K.NUM:
+            return inside if 0 < p < 1 else low if p == 0 else math.inf if p == 1 else math.nan
+        q = p if isinstance(p, Column) else F.lit(float(p))
+        return F.when((q > 0) & (q < 1), inside).when(q == 0, F.lit(low)).when(q == 1, F.lit(math.inf)).when(q.isNotNull(), F.lit(math.nan))
+
+    def _two_sided(self, p: Number, tail, *params: Number):
+        """Quantile of a distribution that is symmetric around 0, from its upper tail."""
+        k = of(p)
+        q = k.minimum(p, 1 - p)
+        x = K.invert_tail(of(p, *params), tail, q)
+        if of(x) is K.NUM:
+            return self._ends(p, x if p > 0.5 else -x if p < 0.5 else 0.0)
+        r = p if isinstance(p, Column) else F.lit(float(p))
+        return self._ends(p, F.when(r > 0.5, x).when(r < 0.5, -x).otherwise(0.0))
 
     standardized_variable = ppf
 
@@ -86,6 +99,11 @@ class TDistribution(Distribution):
         tail = 0.5 * K.two_sided_t(x, self.dof)
         return k.where(x > 0, tail, 1 - tail)
 
+    def ppf(self, p):
+        return self._two_sided(p, lambda x: 0.5 * K.two_sided_t(x, self.dof), self.dof)
+
+    standardized_variable = ppf
+
     def mean(self):
         k = of(self.dof)
         return k.where(self.dof < 1, math.nan, 0.0)
@@ -136,8 +154,17 @@ class NormalDistribution(Distribution):
     def recenter(self, x):
         return NormalDistribution(self.standard_deviation, x)
 
-    def _bracket(self):
-        return self.mean_value - 40 * self.standard_deviation, self.mean_value + 40 * self.standard_deviation
+    def ppf(self, p):
+        z = NormalDistribution._standard(p)
+        return self.mean_value + self.standard_deviation * z
+
+    @staticmethod
+    def _standard(p):
+        k = of(p)
+        half = 0.5 if k is K.NUM else F.lit(0.5)
+        return NormalDistribution()._two_sided(p, lambda x: 0.5 * K.gamma_q(half, x * x / 2))
+
+    standardized_variable = ppf
 
 
 @dataclass(frozen=True)
@@ -181,9 +208,6 @@ class FDistribution(Distribution):
     def defined_range(self):
         return 0.0, HUGE
 
-    def _bracket(self):
-        return 0.0, 1e6
-
 
 @dataclass(frozen=True)
 class ChiSquaredDistribution(Distribution):
@@ -220,9 +244,6 @@ class ChiSquaredDistribution(Distribution):
     def defined_range(self):
         return 0.0, HUGE
 
-    def _bracket(self):
-        return 0.0, 1e6
-
 
 @dataclass(frozen=True)
 class BinomialDistribution(Distribution):
@@ -239,6 +260,15 @@ class BinomialDistribution(Distribution):
         got = K.regularized_beta(k.maximum(self.n - j, 1e-300), k.maximum(j + 1, 1e-300), 1 - self.p)
         return k.where(x < 0, 0.0, k.where(j >= self.n, 1.0, got))
 
+    def sf(self, x):
+        k = of(self.n, self.p, x)
+        j = k.floor(x)
+        got = K.regularized_beta(k.maximum(j + 1, 1e-300), k.maximum(self.n - j, 1e-300), self.p)
+        return k.where(x < 0, 1.0, k.where(j >= self.n, 0.0, got))
+
+    def _most(self):
+        return self.n
+
     def mean(self):
         return self.n * self.p
 
@@ -257,9 +287,6 @@ class BinomialDistribution(Distribution):
     def defined_range(self):
         return 0.0, HUGE
 
-    def _bracket(self):
-        return 0.0, self.n
-
 
 @dataclass(frozen=True)
 class LogNormalDistribution(Distribution):
@@ -318,6 +345,14 @@ class PoissonDistribution(Distribution):
         k = of(self.occurrence_rate, x)
         return k.where(x < 0, 0.0, K.gamma_q(k.maximum(k.floor(x) + 1, 1e-300), self.occurrence_rate))
 
+    def sf(self, x):
+        k = of(self.occurrence_rate, x)
+        return k.where(x < 0, 1.0, K.gamma_p(k.maximum(k.floor(x) + 1, 1e-300), self.occurrence_rate))
+
+    def _most(self):
+        """Beyond lies a probability of less than 1e-300."""
+        return self.occurrence_rate + 60 * of(self.occurrence_rate).sqrt(self.occurrence_rate) + 1000
+
     def mean(self):
         return self.occurrence_rate
 
@@ -338,9 +373,6 @@ class PoissonDistribution(Distribution):
     def defined_range(self):
         return 0.0, HUGE
 
-    def _bracket(self):
-        return 0.0, 1e6
-
 
 @dataclass
 class MultivariateNormalDistribution:

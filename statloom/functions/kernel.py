@@ -316,23 +316,36 @@ def chi2_upper(x: Number, dof: Number):
     return gamma_q(dof / 2, x / 2)
 
 
-def invert(cdf: Callable, p: Number, low: Number, high: Number, steps: int = 100):
-    """The x in [low, high] with cdf(x) = p, by bisection: a fold of a fixed number of steps."""
-    k = of(p, low, high)
+#: Logarithms of the numbers between which quantiles are sought: those of the least and the largest double. So many halvings leave a relative error of 1e-16.
+LOG_LOW, LOG_HIGH, HALVINGS = -745.0, 709.75, 64
+
+
+def invert_tail(k, tail: Callable, q: Number, steps: int = HALVINGS):
+    """The x > 0 with tail(x) = q, for a tail that falls: halving of the logarithm, so that any double is found to the same relative precision."""
+    return _positive(k, lambda x: tail(x) > q, steps)
+
+
+def invert_positive(k, cdf: Callable, sf: Callable, p: Number, most: Number | None = None, steps: int = HALVINGS):
+    """The x > 0, and at most ``most``, with cdf(x) = p. Above a half it is sought in the upper tail, where 1 - cdf would cancel."""
+    if k is NUM:
+        return _positive(k, (lambda x: sf(x) > 1 - p) if p > 0.5 else (lambda x: cdf(x) < p), steps, most)
+    return _positive(k, lambda x: F.when(_c(p) > 0.5, sf(x) > 1 - _c(p)).otherwise(cdf(x) < _c(p)), steps, most)
+
+
+def _positive(k, short: Callable, steps: int, most: Number | None = None):
+    """Where ``short`` (x is too small) turns false."""
+    top = k.const(LOG_HIGH) if most is None else k.log(most)
     if k is NUM:
-        lo, hi = float(low), float(high)
-        for _ in range(max(steps, 200)):
+        lo, hi = LOG_LOW, top
+        for _ in range(steps):
             mid = (lo + hi) / 2
-            if not lo < mid < hi:
-                break
-            lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
-        return (lo + hi) / 2
-    start = F.struct(_c(low).alias("lo"), _c(high).alias("hi"))
+            lo, hi = (mid, hi) if short(math.exp(mid)) else (lo, mid)
+        return math.exp((lo + hi) / 2)
+    start = F.struct(F.lit(LOG_LOW).alias("lo"), top.alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        right = cdf(mid) < _c(p)
+        right = short(F.exp(mid))
         return F.struct(F.when(right, mid).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
 
-    both = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return (both["lo"] + both["hi"]) / 2
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.exp((s["lo"] + s["hi"]) / 2))

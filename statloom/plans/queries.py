@@ -313,48 +313,67 @@ def doe_fit_two_way(spark, sf):
 
 
 # --- distributions and special functions ---
-_GRID = "(SELECT range AS id FROM range(1, 41))"
+#: Parameters and arguments come from a table: the size of each part, 1 to 50.
+_GRID = "(SELECT p_partkey, p_size::BIGINT AS id FROM part)"
 
 
-@query(f"SELECT id, round(exp(lgamma((id + 1) / 2.0) - lgamma(id / 2.0) - 0.5 * ln(id * pi()) - (id + 1) / 2.0 * ln(1 + 0.25 * 0.25 * id * id / id)), 8) AS t_pdf, round(1 - 0.5 * {S.two_sided_t('id * 0.25', 'id')}, 8) AS t_cdf, round(exp(-0.5 * (id * 0.1 - 2) ** 2) / sqrt(2 * pi()), 8) AS n_pdf, round(CASE WHEN id > 20 THEN 1 - 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} END, 8) AS n_cdf, round(1 - {S.f_upper('id * 0.2', '8', '10')}, 8) AS f_cdf, round(exp(0.5 * ln(0.5 * id) * 3 - 0.25 * id - 2.5 * ln(2.0) - lgamma(2.5)), 8) AS c_pdf, round(1 - {S.gamma_q('2.5', '0.25 * id')}, 8) AS c_cdf, round(exp(lgamma(101) - lgamma(id + 1) - lgamma(101 - id) + id * ln(0.25) + (100 - id) * ln(0.75)), 8) AS b_pdf, round({S.ibeta('100 - id', 'id + 1', '0.75')}, 8) AS b_cdf, round(exp(id * ln(12.5) - 12.5 - lgamma(id + 1)), 8) AS p_pdf, round({S.gamma_q('id + 1', '12.5')}, 8) AS p_cdf, round(exp(-0.5 * ((ln(id * 0.5) - 1) / 0.5) ** 2) / (id * 0.5 * 0.5 * sqrt(2 * pi())), 8) AS l_pdf, round(exp(4 * ln(8.0) + 5 * ln(10.0) + 3 * ln(id * 0.2) - 9 * ln(8 * id * 0.2 + 10) - lgamma(4) - lgamma(5) + lgamma(9)), 8) AS f_pdf, round(CASE WHEN ln(id * 0.5) > 1 THEN 1 - 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} END, 8) AS l_cdf FROM {_GRID}")
+def parts(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("id"))
+
+
+@query(f"SELECT p_partkey, id, round(exp(lgamma((id + 1) / 2.0) - lgamma(id / 2.0) - 0.5 * ln(id * pi()) - (id + 1) / 2.0 * ln(1 + 0.25 * 0.25 * id * id / id)), 8) AS t_pdf, round(1 - 0.5 * {S.two_sided_t('id * 0.25', 'id')}, 8) AS t_cdf, round(exp(-0.5 * (id * 0.1 - 2) ** 2) / sqrt(2 * pi()), 8) AS n_pdf, round(CASE WHEN id > 20 THEN 1 - 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} END, 8) AS n_cdf, round(1 - {S.f_upper('id * 0.2', '8', '10')}, 8) AS f_cdf, round(exp(0.5 * ln(0.5 * id) * 3 - 0.25 * id - 2.5 * ln(2.0) - lgamma(2.5)), 8) AS c_pdf, round(1 - {S.gamma_q('2.5', '0.25 * id')}, 8) AS c_cdf, round(exp(lgamma(101) - lgamma(id + 1) - lgamma(101 - id) + id * ln(0.25) + (100 - id) * ln(0.75)), 8) AS b_pdf, round({S.ibeta('100 - id', 'id + 1', '0.75')}, 8) AS b_cdf, round(exp(id * ln(12.5) - 12.5 - lgamma(id + 1)), 8) AS p_pdf, round({S.gamma_q('id + 1', '12.5')}, 8) AS p_cdf, round(exp(-0.5 * ((ln(id * 0.5) - 1) / 0.5) ** 2) / (id * 0.5 * 0.5 * sqrt(2 * pi())), 8) AS l_pdf, round(exp(4 * ln(8.0) + 5 * ln(10.0) + 3 * ln(id * 0.2) - 9 * ln(8 * id * 0.2 + 10) - lgamma(4) - lgamma(5) + lgamma(9)), 8) AS f_pdf, round(CASE WHEN ln(id * 0.5) > 1 THEN 1 - 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} END, 8) AS l_cdf FROM {_GRID}")
 def distributions(spark, sf):
     x = F.col("id").cast("double")
     t, n, f, c, b, p, q = D.TDistribution(x), D.NormalDistribution(), D.FDistribution(8.0, 10.0), D.ChiSquaredDistribution(5.0), D.BinomialDistribution(100.0, 0.25), D.PoissonDistribution(12.5), D.LogNormalDistribution(0.5, 1.0)
     cols = {"t_pdf": t.pdf(x * 0.25), "t_cdf": t.cdf(x * 0.25), "n_pdf": n.pdf(x * 0.1 - 2), "n_cdf": n.cdf(x * 0.1 - 2), "f_cdf": f.cdf(x * 0.2), "c_pdf": c.pdf(x * 0.5), "c_cdf": c.cdf(x * 0.5), "b_pdf": b.pdf(x), "b_cdf": b.cdf(x), "p_pdf": p.pdf(x), "p_cdf": p.cdf(x), "l_pdf": q.pdf(x * 0.5), "f_pdf": f.pdf(x * 0.2), "l_cdf": q.cdf(x * 0.5)}
-    return rounded(spark.range(1, 41).select("id", *[v.alias(k) for k, v in cols.items()]), 8)
+    return rounded(parts(spark, sf).select("p_partkey", "id", *[v.alias(k) for k, v in cols.items()]), 8)
 
 
 @query("""
-SELECT id, 0.0::DOUBLE AS t_mean, 0.0::DOUBLE AS t_mode, round((id + 2) / id::DOUBLE, 8) AS t_variance, round(id * 0.1::DOUBLE, 8) AS n_mean, round(id * 0.1::DOUBLE, 8) AS n_median, 0.25::DOUBLE AS n_variance, round((id + 4) / (id + 2.0), 8) AS f_mean, round(0.75 * (id + 4) / (id + 6.0), 8) AS f_mode,
+SELECT p_partkey, id, 0.0::DOUBLE AS t_mean, 0.0::DOUBLE AS t_mode, round((id + 2) / id::DOUBLE, 8) AS t_variance, round(id * 0.1::DOUBLE, 8) AS n_mean, round(id * 0.1::DOUBLE, 8) AS n_median, 0.25::DOUBLE AS n_variance, round((id + 4) / (id + 2.0), 8) AS f_mean, round(0.75 * (id + 4) / (id + 6.0), 8) AS f_mode,
 round(2.0 * (id + 4) ** 2 * (id + 10) / (8.0 * (id + 2) ** 2 * id), 8) AS f_variance, id::DOUBLE AS c_mean, greatest(id - 2, 0)::DOUBLE AS c_mode, 2.0::DOUBLE * id AS c_variance, round(id * 0.25::DOUBLE, 8) AS b_mean, round(id * 0.1875::DOUBLE, 8) AS b_variance, id + 0.5::DOUBLE AS p_mean, id + 0.5::DOUBLE AS p_variance,
 round(exp(id * 0.1 + 0.125), 6) AS l_mean, round(exp(id * 0.1), 6) AS l_median, round(exp(id * 0.1 - 0.25), 6) AS l_mode, round((exp(0.25) - 1) * exp(id * 0.2 + 0.25), 6) AS l_variance, round(exp(-0.5 * (2 - id) ** 2) / sqrt(2 * pi()), 8) AS recentred_pdf, round(id * 0.05::DOUBLE - 1, 6) AS n_quantile
-FROM (SELECT range AS id FROM range(1, 41))""")
+FROM (SELECT p_partkey, p_size::BIGINT AS id FROM part)""")
 def distribution_properties(spark, sf):
     x = F.col("id").cast("double")
     t, n, f, c, b, p, q = D.TDistribution(x + 2), D.NormalDistribution(F.lit(0.5), x * 0.1), D.FDistribution(F.lit(8.0), x + 4), D.ChiSquaredDistribution(x), D.BinomialDistribution(x, F.lit(0.25)), D.PoissonDistribution(x + 0.5), D.LogNormalDistribution(F.lit(0.5), x * 0.1)
     one = D.NormalDistribution(1.0, 0.0)
     cols = {"t_mean": t.mean(), "t_mode": t.mode(), "t_variance": t.variance(), "n_mean": n.mean(), "n_median": n.median(), "n_variance": n.variance(), "f_mean": f.mean(), "f_mode": f.mode(), "f_variance": f.variance(), "c_mean": c.mean(), "c_mode": c.mode(), "c_variance": c.variance(), "b_mean": b.mean(), "b_variance": b.variance(), "p_mean": p.mean(), "p_variance": p.variance(), "l_mean": q.mean(), "l_median": q.median(), "l_mode": q.mode(), "l_variance": q.variance(), "recentred_pdf": one.recenter(x).pdf(F.lit(2.0)), "n_quantile": one.ppf(one.cdf(x * 0.05 - 1))}
-    out = spark.range(1, 41).select("id", *[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(k) for k, v in cols.items()])
+    out = parts(spark, sf).select("p_partkey", "id", *[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(k) for k, v in cols.items()])
     return rounded(out, {k: 6 if k in ("l_mean", "l_median", "l_mode", "l_variance", "n_quantile") else 8 for k in cols})
 
 
-@query(f"SELECT id, round(exp(lgamma(id * 0.5) + lgamma(2.5) - lgamma(id * 0.5 + 2.5)), 8) AS beta, round({S.ibeta('id * 0.5', '2.5', '0.4')}, 8) AS regularized_beta, round({S.gamma_q('id * 0.5', '5.0')} , 8) AS gamma_q, round(exp(lgamma(id * 0.1 + 1)), 6) AS factorial, round(CASE WHEN id = 20 THEN 0 ELSE sign(id - 20) * (1 - {S.gamma_q('0.5', '((id - 20) * 0.1) ** 2')}) END, 8) AS erf FROM {_GRID}")
+@query(f"SELECT p_partkey, id, round(exp(lgamma(id * 0.5) + lgamma(2.5) - lgamma(id * 0.5 + 2.5)), 8) AS beta, round({S.ibeta('id * 0.5', '2.5', '0.4')}, 8) AS regularized_beta, round({S.gamma_q('id * 0.5', '5.0')} , 8) AS gamma_q, round(exp(lgamma(id * 0.1 + 1)), 6) AS factorial, round(CASE WHEN id = 20 THEN 0 ELSE sign(id - 20) * (1 - {S.gamma_q('0.5', '((id - 20) * 0.1) ** 2')}) END, 8) AS erf FROM {_GRID}")
 def special_functions(spark, sf):
     x = F.col("id").cast("double")
     cols = {"beta": K.beta(x * 0.5, 2.5), "regularized_beta": K.regularized_beta(x * 0.5, F.lit(2.5), F.lit(0.4)), "gamma_q": K.gamma_q(x * 0.5, F.lit(5.0)), "factorial": K.factorial(x * 0.1), "erf": K.erf((x - 20) * 0.1)}
-    out = spark.range(1, 41).select("id", *[v.alias(k) for k, v in cols.items()])
+    out = parts(spark, sf).select("p_partkey", "id", *[v.alias(k) for k, v in cols.items()])
     return rounded(out, {"beta": 8, "regularized_beta": 8, "gamma_q": 8, "factorial": 6, "erf": 8}).withColumn("erf", F.col("erf") + 0.0)
 
 
-@query(f"SELECT id, round(exp(lgamma(id * 0.25)) * {S.gamma_q('id * 0.25', '2.0')}, 6) AS upper, round(exp(lgamma(id * 0.25)) * (1 - {S.gamma_q('id * 0.25', '2.0')}), 6) AS lower, round(exp(lgamma(id * 0.25) + lgamma(3.0) - lgamma(id * 0.25 + 3)) * {S.ibeta('id * 0.25', '3', '0.4')}, 6) AS incomplete_beta FROM {_GRID}")
+@query(f"SELECT p_partkey, id, round(exp(lgamma(id * 0.25)) * {S.gamma_q('id * 0.25', '2.0')}, 6) AS upper, round(exp(lgamma(id * 0.25)) * (1 - {S.gamma_q('id * 0.25', '2.0')}), 6) AS lower, round(exp(lgamma(id * 0.25) + lgamma(3.0) - lgamma(id * 0.25 + 3)) * {S.ibeta('id * 0.25', '3', '0.4')}, 6) AS incomplete_beta FROM {_GRID}")
 def incomplete_functions(spark, sf):
     x = F.col("id").cast("double") * 0.25
-    return rounded(spark.range(1, 41).select("id", K.incomplete_gamma_upper(x, F.lit(2.0)).alias("upper"), K.incomplete_gamma_lower(x, F.lit(2.0)).alias("lower"), K.incomplete_beta(x, F.lit(3.0), F.lit(0.4)).alias("incomplete_beta")))
+    return rounded(parts(spark, sf).select("p_partkey", "id", K.incomplete_gamma_upper(x, F.lit(2.0)).alias("upper"), K.incomplete_gamma_lower(x, F.lit(2.0)).alias("lower"), K.incomplete_beta(x, F.lit(3.0), F.lit(0.4)).alias("incomplete_beta")))
 
 
-@query(f"SELECT id, round(-0.5772156649015329 + list_sum(list_transform(range(1, id), lambda k: 1.0 / k)), 10) AS digamma FROM {_GRID} WHERE id > 1 UNION ALL SELECT 1, -0.5772156649")
+@query(f"SELECT p_partkey, id, round(-0.5772156649015329 + list_sum(list_transform(range(1, id), lambda k: 1.0 / k)), 10) AS digamma FROM {_GRID} WHERE id > 1 UNION ALL SELECT p_partkey, id, -0.5772156649 FROM {_GRID} WHERE id = 1")
 def digamma(spark, sf):
-    return rounded(spark.range(1, 41).select("id", K.digamma(F.col("id").cast("double")).alias("digamma")), 10)
+    return rounded(parts(spark, sf).select("p_partkey", "id", K.digamma(F.col("id").cast("double")).alias("digamma")), 10)
+
+
+@query("""
+WITH g AS (SELECT user_id, count(*)::DOUBLE AS n, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY user_id HAVING count(*) > 1),
+p AS (SELECT *, unnest([1e-8, 0.025, 0.5, 0.9, 0.99999999]::DOUBLE[]) AS p, unnest([-5.612001244174789, -1.959963984540054, 0, 1.2815515655446004, 5.612001243305505]::DOUBLE[]) AS z FROM g)
+SELECT user_id, p, round(m + s * z, 4) AS normal, round(exp(m / 100 + s / 100 * z), 4) AS log_normal, round((2 * p - 1) / sqrt(2 * p * (1 - p)), 2) AS t2, round(-2 * ln(1 - p), 6) AS chi_squared2, round(ln((n - 1) / 2 * ((1 - p) ** (-2 / (n - 1)) - 1)), 5) AS log_f_low, round(ln(2 * p ** (2 / n) / (n * (1 - p ** (2 / n)))), 4) AS log_f_high FROM p""")
+def distribution_quantiles(spark, sf):
+    """Quantiles with parameters per group, far into both tails, where they have closed forms."""
+    v = F.col("value").cast("double")
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).filter("n > 1")
+    g = g.withColumn("p", F.explode(F.array(*[F.lit(x) for x in (1e-8, 0.025, 0.5, 0.9, 0.99999999)])))
+    n, p, two = F.col("n"), F.col("p"), F.lit(2.0)
+    cols = {"normal": D.NormalDistribution(F.col("s"), F.col("m")).ppf(p), "log_normal": D.LogNormalDistribution(F.col("s") / 100, F.col("m") / 100).ppf(p), "t2": D.TDistribution(two).ppf(p), "chi_squared2": D.ChiSquaredDistribution(two).ppf(p), "log_f_low": F.log(D.FDistribution(two, n - 1).ppf(p)), "log_f_high": F.log(D.FDistribution(n, two).ppf(p))}
+    return rounded(g.select("user_id", "p", *[c.alias(k) for k, c in cols.items()]), {"p": 8, "normal": 4, "log_normal": 4, "t2": 2, "log_f_low": 5, "log_f_high": 4})
 
 
 @query("SELECT label, vec_id, round(exp(-0.5 * ((embedding[1] - 0.01) ** 2 / 0.04 + (embedding[2] + 0.02) ** 2 / 0.09)) / (2 * pi() * 0.2 * 0.3), 5) AS density FROM (SELECT label, vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")

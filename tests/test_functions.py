@@ -84,3 +84,40 @@ def test_t_quantile():
             assert 0.5 * K.two_sided_t(K.t_quantile(p, dof), float(dof)) == pytest.approx(1 - p, rel=1e-10)
     assert K.t_quantile(0.975, 1e12) == pytest.approx(1.959963984540054, abs=1e-10)
     assert math.isnan(K.t_quantile(0.975, 0)) and math.isnan(K.t_quantile(1.0, 5))
+
+
+EXTREME = [1e-12, 1e-8, 0.001, 0.3, 0.5, 0.7, 0.999, 1 - 1e-8, 1 - 1e-12]
+QUANTILE_FAMILIES = {
+    "t1": (D.TDistribution, (1.0,)), "t7": (D.TDistribution, (7.5,)), "t_big": (D.TDistribution, (1e5,)), "f": (D.FDistribution, (1.0, 1.0)), "f2": (D.FDistribution, (3.0, 40.0)), "chi": (D.ChiSquaredDistribution, (1.0,)),
+    "chi_big": (D.ChiSquaredDistribution, (4e6,)), "normal": (D.NormalDistribution, (2.0, -3.0)), "log_normal": (D.LogNormalDistribution, (0.5, 1.0)), "poisson": (D.PoissonDistribution, (2e6,)), "binomial": (D.BinomialDistribution, (40.0, 0.3)),
+}
+
+
+def test_quantiles_of_columns_and_numbers(spark):
+    """No bracket clips a quantile: columns and numbers agree over families and extreme probabilities."""
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(EXTREME)], "i int, p double").repartition(8)
+    got = {r.i: r for r in rows.select("i", *[kind(*[F.lit(x) for x in args]).ppf(F.col("p")).alias(name) for name, (kind, args) in QUANTILE_FAMILIES.items()]).collect()}
+    for i, p in enumerate(EXTREME):
+        for name, (kind, args) in QUANTILE_FAMILIES.items():
+            assert got[i][name] == pytest.approx(kind(*args).ppf(p), rel=1e-9, abs=1e-12), (name, p)
+
+
+@pytest.mark.parametrize("p", EXTREME)
+def test_quantiles_in_closed_form(p):
+    q = 1 - p
+    t = math.tan(math.pi * (p - 0.5)) if 0.01 < p < 0.99 else -1 / math.tan(math.pi * p) if p < 0.5 else 1 / math.tan(math.pi * q)
+    assert D.TDistribution(1.0).ppf(p) == pytest.approx(t, rel=1e-9, abs=1e-12)
+    assert D.FDistribution(1.0, 1.0).ppf(p) == pytest.approx(math.tan(math.pi * p / 2) ** 2 if p < 0.5 else 1 / math.tan(math.pi * q / 2) ** 2, rel=1e-9)
+    assert D.FDistribution(2.0, 30.0).ppf(p) == pytest.approx(15 * math.expm1(-math.log(q) / 15) if p > 0.5 else 15 * math.expm1(-math.log1p(-p) / 15), rel=1e-9)
+    assert D.FDistribution(6.0, 2.0).ppf(p) == pytest.approx((lambda lc: math.exp(lc) / (3 * -math.expm1(lc)))(math.log(p) / 3 if p < 0.5 else math.log1p(-q) / 3), rel=1e-9)
+    assert D.ChiSquaredDistribution(2.0).ppf(p) == pytest.approx(-2 * (math.log(q) if p > 0.5 else math.log1p(-p)), rel=1e-9)
+
+
+def test_quantiles_at_the_ends_and_beyond(spark):
+    for d, low in ((D.NormalDistribution(), -math.inf), (D.TDistribution(3.0), -math.inf), (D.FDistribution(2.0, 3.0), 0.0), (D.ChiSquaredDistribution(3.0), 0.0)):
+        assert d.ppf(0.0) == low and d.ppf(1.0) == math.inf and math.isnan(d.ppf(1.5))
+        r = spark.sql("SELECT stack(4, 0D, 1D, 1.5D, null) AS p").select(d.ppf(F.col("p")).alias("x")).collect()
+        assert r[0].x == low and r[1].x == math.inf and math.isnan(r[2].x) and r[3].x is None
+    assert D.ChiSquaredDistribution(4e6).ppf(0.5) == pytest.approx(3_999_999.3333, rel=1e-9)
+    x = D.ChiSquaredDistribution(1e8).ppf(0.999)
+    assert x == pytest.approx(1e8 + 3.090232306167813 * math.sqrt(2e8) + 2 / 3 * (3.090232306167813**2 - 1), rel=1e-9)
