@@ -42,7 +42,8 @@ def rejection_sample(spark: SparkSession, dist: Distribution, n: int, xmin: floa
 
     The envelope's height comes from a grid; so does the share of candidates that
     are accepted, from which the number of candidates follows (``most_tries`` per
-    draw at most). The accepted candidates with the least numbers are taken.
+    draw at most). The accepted candidates with the least numbers are taken; if
+    the most tries do not yield ``n`` of them, that is an error.
     """
     if n < 1:
         return spark.range(0).select(F.col("id").alias("i"), F.lit(0.0).alias("value"))
@@ -51,10 +52,13 @@ def rejection_sample(spark: SparkSession, dist: Distribution, n: int, xmin: floa
     grid = [dist.pdf(x) for x in np.linspace(xmin, xmax, 2049)]
     top = max(grid) * 1.02
     share = max(float(np.mean(grid)) / top, 1e-6)
-    tries = int(min(n / share + 8 * math.sqrt(n) / share + 16, n * most_tries))
+    needed = n / share + 8 * math.sqrt(n) / share + 16
+    tries = int(min(needed, n * most_tries))
     i = F.col("id")
     x = F.lit(float(xmin)) + (xmax - xmin) * uniform(seed, i, "x")
     got = spark.range(tries).select("id", x.alias("value")).filter(uniform(seed, i, "u") * top <= dist.pdf(F.col("value")))
+    if tries < needed and got.limit(n).count() < n:
+        raise InvalidArgumentError(f"{tries} candidates did not yield {n} draws: narrow the interval or allow more tries")
     return got.orderBy("id").limit(n).select(F.col("id").alias("i"), "value")
 
 

@@ -287,9 +287,13 @@ def _power_rows(spark, sf, *columns):
 
 
 # --- experimental design ---
-@query("SELECT (a * 12 + b * 3 + c)::BIGINT AS run, (a + 1)::INT AS f1, (b + 1)::INT AS f2, (c + 1)::INT AS f3 FROM range(2) AS t(a), range(4) AS u(b), range(3) AS v(c)")
+@query("""
+WITH n AS (SELECT count(DISTINCT c_nationkey) AS u, count(DISTINCT c_mktsegment) AS v, (SELECT count(DISTINCT p_size) FROM part) AS w FROM customer)
+SELECT ((a * v + b) * w + c)::BIGINT AS run, (a + 1)::INT AS f1, (b + 1)::INT AS f2, (c + 1)::INT AS f3 FROM (SELECT *, unnest(range(w)) AS c FROM (SELECT *, unnest(range(v)) AS b FROM (SELECT *, unnest(range(u)) AS a FROM n)))""")
 def full_factorial(spark, sf):
-    return doe.full_factorial(spark, [2, 4, 3])
+    """All combinations of nation, market segment and part size, by number."""
+    levels = [table(spark, sf, t).select(c).distinct().count() for t, c in (("customer", "c_nationkey"), ("customer", "c_mktsegment"), ("part", "p_size"))]
+    return doe.full_factorial(spark, levels)
 
 
 @query("""
@@ -384,20 +388,38 @@ def multivariate_normal(spark, sf):
 
 
 # --- sampling and the bootstrap ---
-@query(f"SELECT range AS i, round(10 + 2 * {S.normal('7', 'range')}, 9) AS value FROM range(10000)")
+_ACCT = "SELECT count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer"
+
+
+def _moments(spark, sf):
+    """Number, mean and deviation of the customers' balances: one row."""
+    return descriptive.moments(table(spark, sf, "customer"), "c_acctbal").first()
+
+
+@query(f"SELECT i, round(m + s * {S.normal('7', 'i')}, 5) AS value FROM (SELECT m, s, unnest(range(n)) AS i FROM ({_ACCT}))")
 def box_muller(spark, sf):
-    return rounded(sampling.box_muller_sample(spark, 10.0, 2.0, 10_000, 7), 9)
+    """As many normal numbers as there are customers, with the mean and deviation of their balances."""
+    r = _moments(spark, sf)
+    return rounded(sampling.box_muller_sample(spark, r["mean"], r.standard_deviation, r.n, 7), 5)
 
 
-@query(f"SELECT range AS i, round(-4 + 8 * {S.uniform('3', 'range', chr(39) + 'x' + chr(39))}, 9) AS value FROM range(40000) WHERE {S.uniform('3', 'range', chr(39) + 'u' + chr(39))} * 1.02 <= exp(-0.5 * (-4 + 8 * {S.uniform('3', 'range', chr(39) + 'x' + chr(39))}) ** 2) ORDER BY range LIMIT 2000")
+@query(f"""
+WITH t AS (SELECT n, m, s, unnest(range(20 * n)) AS i FROM ({_ACCT})), x AS (SELECT n, m, s, i, m - 4 * s + 8 * s * {S.uniform('3', 'i', chr(39) + 'x' + chr(39))} AS x FROM t WHERE i < 20 * n)
+SELECT i, round(x, 5) AS value FROM x WHERE {S.uniform('3', 'i', chr(39) + 'u' + chr(39))} * 1.02 <= exp(-0.5 * ((x - m) / s) ** 2) QUALIFY row_number() OVER (ORDER BY i) <= n""")
 def rejection(spark, sf):
-    return rounded(sampling.rejection_sample(spark, D.NormalDistribution(1.0, 0.0), 2000, -4.0, 4.0, 3), 9)
+    r = _moments(spark, sf)
+    return rounded(sampling.rejection_sample(spark, D.NormalDistribution(r.standard_deviation, r["mean"]), r.n, r["mean"] - 4 * r.standard_deviation, r["mean"] + 4 * r.standard_deviation, 3), 5)
 
 
-@query(f"SELECT range AS i, round(1 + 2 * {S.normal('5', 'range', '0')}, 9) AS x0, round(-1 + 0.5 * {S.normal('5', 'range', '0')} + 1 * {S.normal('5', 'range', '1')}, 9) AS x1 FROM range(2000)")
+@query(f"""
+WITH s AS (SELECT count(DISTINCT l_orderkey) AS n, avg(l_quantity) AS m0, avg(l_discount) AS m1, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS c FROM lineitem), t AS (SELECT *, unnest(range(n)) AS i FROM s)
+SELECT i, round(m0 + sqrt(a) * {S.normal('5', 'i', '0')}, 6) AS x0, round(m1 + b / sqrt(a) * {S.normal('5', 'i', '0')} + sqrt(c - b * b / a) * {S.normal('5', 'i', '1')}, 8) AS x1 FROM t""")
 def multivariate_sample(spark, sf):
-    d = D.MultivariateNormalDistribution().initialize([1.0, -1.0], [[4.0, 1.0], [1.0, 1.25]])
-    return rounded(sampling.sample_normal_multivariate(spark, d, 2000, 5), 9)
+    """As many pairs as there are orders, with the means and covariances of quantity and discount."""
+    x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")
+    r = table(spark, sf, "lineitem").agg(F.count_distinct("l_orderkey").alias("n"), F.avg(x).alias("m0"), F.avg(y).alias("m1"), F.var_samp(x).alias("a"), F.covar_samp(x, y).alias("b"), F.var_samp(y).alias("c")).first()
+    d = D.MultivariateNormalDistribution().initialize([r.m0, r.m1], [[r.a, r.b], [r.b, r.c]])
+    return rounded(sampling.sample_normal_multivariate(spark, d, r.n, 5), {"x0": 6, "x1": 8})
 
 
 _CUST = "SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_acctbal AS v, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer"
@@ -510,13 +532,18 @@ def interpolate_spline(spark, sf):
     return rounded(interp.spline(daily(spark, sf).select("event_type", "t", "v"), at_time(spark, sf), "t", "v", "x", by=["event_type"]).select("event_id", "interpolated"), 4)
 
 
-@query("SELECT range AS id, round((range * 0.02 - 1) ** 3 - 2 * (range * 0.02 - 1), 9) AS interpolated, round(3 * (range * 0.02 - 1) ** 2 - 2, 9) AS derivative FROM range(101)")
+@query(f"""
+WITH d AS (SELECT datediff('day', DATE '2024-01-01', ts::DATE)::DOUBLE AS x, avg(value) AS y FROM events GROUP BY ALL), e AS (SELECT min(x) + 1 AS a, max(x) - 1 AS b FROM d),
+k AS (SELECT a, b - a AS h, p.y AS y0, (p2.y - p1.y) / 2 AS d0, q.y AS y1, (q2.y - q1.y) / 2 AS d1 FROM e JOIN d p ON p.x = a JOIN d p1 ON p1.x = a - 1 JOIN d p2 ON p2.x = a + 1 JOIN d q ON q.x = b JOIN d q1 ON q1.x = b - 1 JOIN d q2 ON q2.x = b + 1),
+t AS (SELECT event_id, (x - a) / h AS t, h, y0, d0, y1, d1 FROM ({_AT}), k)
+SELECT event_id, round((1 + 2 * t) * (1 - t) ** 2 * y0 + t * (1 - t) ** 2 * h * d0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * d1, 5) AS interpolated,
+round((6 * t * t - 6 * t) / h * (y0 - y1) + (3 * t * t - 4 * t + 1) * d0 + (3 * t * t - 2 * t) * d1, 5) AS derivative FROM t""")
 def interpolate_hermite(spark, sf):
-    """Values and slopes of a cubic at three knots: the polynomial is the cubic."""
-    x = np.array([-1.0, 0.0, 1.0])
-    values = spark.range(101).select("id", (F.col("id") * 0.02 - 1).alias("x"))
-    out = rounded(interp.hermite(values, "x", x, x**3 - 2 * x, 3 * x * x - 2), 9)
-    return out.select("id", (F.col("interpolated") + 0.0).alias("interpolated"), "derivative")
+    """At the time of every event the cubic through daily means and their slopes near both ends of the time."""
+    days = {r.x: r.y for r in table(spark, sf, "events").groupBy(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("double").alias("x")).agg(F.avg("value").alias("y")).collect()}  # a row per day
+    x = np.array([min(days) + 1, max(days) - 1])
+    out = interp.hermite(at_time(spark, sf), "x", x, [days[k] for k in x], [(days[k + 1] - days[k - 1]) / 2 for k in x])
+    return rounded(out.select("event_id", "interpolated", "derivative"), 5)
 
 
 # --- Markov chains ---
