@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..errors import ArraySizeError, InvalidArgumentError
 from ..workers import importable
-from .regression import coefficient_statistics, gram, unpack
+from .qr import r_factors, solved
+from .regression import coefficient_statistics
 
 
 def full_factorial_size(levels: Sequence[int]) -> tuple[int, int]:
@@ -79,17 +80,13 @@ def fit_rows(df: DataFrame, nway: int, factors: Sequence[str], y: str, kept: Seq
         raise ArraySizeError(f"the mask needs {len(every)} entries")
     used = [i for i, k in enumerate(keep) if k]
     p, by = len(used), list(by)
-    g = gram(df, [*[_column(every[i], factors) for i in used], F.col(y)], by)
+    g = r_factors(df, [*[_column(every[i], factors) for i in used], F.col(y)], by)
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                m = unpack(row.g, p + 1)
-                scale = np.sqrt(np.maximum(np.diag(m)[:p], 1e-300))
-                inv = np.linalg.pinv(m[:p, :p] / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
-                b = inv @ m[:p, p]
-                sse = float(m[p, p] - 2 * b @ m[:p, p] + b @ m[:p, :p] @ b)
+                b, inv, sse = solved(np.asarray(row.r, float).reshape(p + 1, p + 1))
                 at = {i: k for k, i in enumerate(used)}
                 out += [[*[getattr(row, c) for c in by], i, float(b[at[i]]) if i in at else np.nan, float(inv[at[i], at[i]]) if i in at else np.nan, sse, int(row.n), p] for i in range(len(every))]
             yield pd.DataFrame(out, columns=[*by, "term", "coefficient", "c", "sse", "n", "p"])

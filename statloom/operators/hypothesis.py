@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel as K
 from ..functions.distributions import Distribution
+from ..sources.shared import counted
 
 
 def two_samples(df: DataFrame, value: str, group: str, a, b, by: Sequence[str] = ()) -> DataFrame:
@@ -72,11 +73,12 @@ def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Dat
     """by, statistic, p, dof1, dof2 with deviations from the group means.
 
     Deviations need the means first; they come from one row per group that is
-    joined back (a broadcast while it is small), not from a window over a group.
+    broadcast to the rows if there are few groups, not from a window over a group.
     """
     by = list(by)
     keys = [*by, group]
     means = _samples(df, value, group, by).select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("m").alias("__m"))
+    means = counted(means)
     near = df.select(*keys, F.col(value).cast("double").alias("__v")).join(means, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).select(*keys, F.abs(F.col("__v") - F.col("__m")).alias("z"))
     g = _samples(near, "z", group, by)
     s = g.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum((F.col("n") - 1) * F.coalesce("s2", F.lit(0.0))).alias("within"), F.avg("m").alias("c"), F.collect_list(F.struct("n", "m")).alias("g"))

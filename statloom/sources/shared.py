@@ -6,6 +6,10 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a small side of a join that are sent to every task at most.
+FEW_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +29,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` for the small side of a join: computed and broadcast if it has at most ``most`` rows, so that the large side is not moved; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df

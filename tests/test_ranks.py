@@ -59,3 +59,21 @@ def test_nothing_is_shuffled_by_value(spark):
     _, df = frame(spark)
     plan = O.order_values(df, "v", lambda n: {"a": F.ceil(n / 2).cast("long")}, ["g"], 100, 200)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") <= 3
+
+
+def test_data_are_not_moved_to_their_group(spark):
+    """Means, coefficients and the like come to the rows: with broadcasts by size switched off no plan shuffles rows of the data."""
+    from statloom.operators import hypothesis, regression
+
+    df = spark.range(5000).selectExpr("cast(id % 3 as string) AS g", "id % 50 + 0.0D AS x", "3 * (id % 50) + id % 7 + 0.0D AS y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fit = regression.linear_least_squares(df, "x", "y", 1, by=["g"])
+        p = regression.predict(df, fit, "x", "y", ["g"])
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        for other in (fit, hypothesis.levene(df, "y", "g")):
+            assert "SortMergeJoin" not in other._jdf.queryExecution().executedPlan().toString()
+        assert p.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
