@@ -45,7 +45,7 @@ HOT_CELL, PIECES = 1 << 20, 64
 #: Sets that are looked up by a broadcast of their texts' keys at most.
 BROADCAST_SETS = 250_000
 #: Bits of a set's sketch, in words of 64, and sets of an n-gram that the others choose from in a round.
-SKETCH, HUBS = 4, 8
+SKETCH, HUBS = 4, 4
 #: Rounds go on as long as they leave at most this share of the components.
 PROGRESS = 0.7
 #: Rows of an Arrow batch that Python returns.
@@ -246,7 +246,8 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     sets = written(own.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(F.struct("h", "doc_id")).alias("text"), F.first("n").alias("n"), F.first("g").alias("g"), F.count(F.lit(1)).alias("rows")))
     hot = HOT_CELL
     tokens = map_rows(base.select("text"), lambda it: _prefix_rows(it, words, t, common, hot), "token long, piece long, place long, key binary, n long")
-    members = written(shared_prefixes(tokens, t))
+    info = sets.select(F.col("key").alias("h"), "g")
+    now = written(shared_prefixes(tokens, t).join(info, "h").withColumn("c", F.col("h")))
     whole, tried = None, None
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -268,15 +269,14 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         a, b = of.select(F.col("key").alias("a"), F.col("s").alias("sa")), of.select(F.col("key").alias("b"), F.col("s").alias("sb"))
         return written(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), lambda it: _verify(it, t), "a binary, b binary"))
 
-    active = members.select("h").distinct()
-    label = written(active.select("h", F.col("h").alias("c")))
-    info = sets.select(F.col("key").alias("h"), "g")
+    label = written(now.select("h", "c").distinct())
     turn, before = 0, 0
     while True:
-        now = members.join(label, "h")
-        mixed = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("token", "rows"))
-        now = written(spread_join(now.select("token", "place", "h", "n", "c"), mixed, ["token"], "rows").join(info, "h"))
-        left = now.agg(F.count_distinct("c")).first()[0]
+        if turn:  # components only merge: an n-gram whose sets are in one of them is done
+            now = now.drop("c").join(label, "h")
+            mixed = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("token", "rows"))
+            now = written(spread_join(now, mixed, ["token"], "rows"))
+        left = now.agg(F.count_distinct("c")).first()[0] if turn else label.count()
         if not left or (turn > 1 and left > PROGRESS * before):
             break
         # some sets of an n-gram and a range of sizes, mostly the same ones for many n-grams, others in each round: every other set meets the one most like it by the sketches
