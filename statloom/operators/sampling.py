@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidArgumentError
 from ..functions.distributions import Distribution, MultivariateNormalDistribution
+from ..sources.shared import counted
 from ..workers import importable
 from .scan import PIECE_ROWS, ordered_scan
 
@@ -104,18 +105,99 @@ def random_resample(df: DataFrame, value: str, samples: int, by: Sequence[str] =
     return s.select(*by, "b", "i", (F.col("m") + F.col("s") * standard_normal(seed, F.col("b"), F.col("i"))).alias("v"))
 
 
+#: Calls of a resampling routine in one row of work.
+CALLS = 64
+#: Rows whose weights one task draws at once.
+BLOCK = 1 << 16
+#: Statistics of the weighted rows of a block that merge: what is kept of each block, and the statistic from the merged sums n, s1 = sum (x - c), s2 = sum (x - c)^2 around a common centre c.
+WEIGHTED = {
+    "mean": lambda n, s1, s2, c: c + s1 / n,
+    "sum": lambda n, s1, s2, c: n * c + s1,
+    "variance": lambda n, s1, s2, c: (s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0.0)),
+    "standard_deviation": lambda n, s1, s2, c: F.sqrt(F.greatest((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0))),
+}
+
+
+def _generator(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([k & (2**64 - 1) for k in key])))
+
+
+def block_draws(n: int, block: int, size: int, seed: int, b: int) -> int:
+    """How many of the ``n`` draws of resample ``b`` fall into a block of ``size`` rows: the draws are split between halves of the blocks by binomial numbers, from the whole down to this block. Every task finds the same splits from the seed alone."""
+    lo, hi, draws = 0, -(-n // size), n
+    node = 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rows, left = min(hi * size, n) - lo * size, min(mid * size, n) - lo * size
+        k = int(_generator(seed, b, node).binomial(draws, left / rows))
+        lo, hi, draws, node = (lo, mid, k, 2 * node) if block < mid else (mid, hi, draws - k, 2 * node + 1)
+    return draws
+
+
+def _weighted(part: pd.DataFrame, first: int, last: int, seed: int, block: int) -> np.ndarray:
+    """b, draws, sum and sum of squares of the deviations from the group's mean, per resample, of one block of rows in their order."""
+    d = part["v"].to_numpy() - part["c"].to_numpy()
+    n, at = int(part["n"].iloc[0]), int(part["block"].iloc[0])
+    out = np.empty((last - first + 1, 4))
+    for i, b in enumerate(range(first, last + 1)):
+        draws = block_draws(n, at, block, seed, b)
+        w = np.bincount(_generator(seed, b, at, 7).integers(0, len(d), draws), minlength=len(d))
+        out[i] = b, draws, w @ d, w @ (d * d)
+    return out
+
+
+def multinomial_population(df: DataFrame, value: str, statistic: str, order: Sequence[str], samples: int, by: Sequence[str] = (), seed: int = 0, first: int = 2, block: int = BLOCK, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """by, b, statistic of ``samples`` resamples with replacement, without a row per draw.
+
+    Rows are numbered in ``order`` and cut into blocks. How many draws a block
+    gets follows from the seed (:func:`block_draws`); within a block each row gets
+    a weight, and a weighted statistic is a few sums. Only these, samples times
+    blocks of them, are shuffled. The result depends on seed, order and ``block``, not
+    on the partitioning. Nulls are left out.
+    """
+    if statistic not in WEIGHTED:
+        raise InvalidArgumentError(f"statistics of weighted rows are {', '.join(WEIGHTED)}")
+    by = list(by)
+    ranked = _ranked(df, value, order, by, piece_rows)
+    mean = counted(ranked.groupBy(*by).agg(F.avg("v").alias("c")).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "c"))
+    rows = ranked.join(mean, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]) if by else ranked.crossJoin(mean)
+    rows = rows.select(*by, "i", "v", "n", "c", F.floor(F.col("i") / block).alias("block"))
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("b", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("draws", "s1", "s2", "c")]])
+    last = first + samples - 1
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i", kind="stable")
+        got = _weighted(part, first, last, seed, block)
+        out = part.iloc[np.zeros(len(got), int)][by].reset_index(drop=True)
+        out["b"], out["draws"], out["s1"], out["s2"], out["c"] = got[:, 0].astype(np.int32), got[:, 1], got[:, 2], got[:, 3], float(part["c"].iloc[0])
+        return out
+
+    sums = importable(rows).groupBy(*by, "block").applyInPandas(one, schema)
+    s = sums.groupBy(*by, "b").agg(F.sum("draws").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.first("c").alias("c"))
+    return s.select(*by, "b", WEIGHTED[statistic](F.col("n"), F.col("s1"), F.col("s2"), F.col("c")).alias("statistic"))
+
+
 STATISTICS: dict[str, Callable[[str], Column]] = {"mean": F.avg, "variance": F.var_samp, "standard_deviation": F.stddev_samp, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum}
 
 
-def bootstrap_population(df: DataFrame, value: str, statistic: str | Callable, order: Sequence[str] = (), samples: int = 10_000, method: str = "random", by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+def bootstrap_population(df: DataFrame, value: str, statistic: str | Callable, order: Sequence[str] = (), samples: int = 10_000, method: str | Callable = "random", by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """by, b, statistic: b = 1 is the observed one, b = 2..samples are of resamples.
 
     ``statistic`` is the name of an aggregate or a function of a numpy array,
-    which then runs per (group, b) in Arrow batches.
+    which then runs per (group, b) in Arrow batches. ``method`` is random (normal
+    draws), replacement (a row per draw), multinomial (weights per row, for large
+    data; see :func:`multinomial_population`) or a function ``(values, rng)`` that
+    returns a resample of a group's values, which then runs per (group, b).
     """
-    if method not in ("random", "replacement"):
-        raise InvalidArgumentError("method is random or replacement")
+    if not callable(method) and method not in ("random", "replacement", "multinomial"):
+        raise InvalidArgumentError("method is random, replacement, multinomial or a function of values and a generator")
     by = list(by)
+    if callable(method):
+        return _callback_population(df, value, statistic, order or [value], samples, method, by, seed)
+    if method == "multinomial":
+        v = F.col(value).cast("double")
+        seen = df.groupBy(*by).agg(STATISTICS[statistic](v).cast("double").alias("statistic"), F.count(v).alias("__n")).filter("__n > 0").select(*by, F.lit(1).alias("b"), "statistic")
+        return seen.unionByName(multinomial_population(df, value, statistic, order or [value], samples - 1, by, seed))
     seen = df.filter(F.col(value).isNotNull()).select(*by, F.lit(1).alias("b"), F.col(value).cast("double").alias("v"))
     more = (random_resample(df, value, samples - 1, by, seed, 2) if method == "random" else resample(df, value, order or [value], samples - 1, by, seed, 2)).select(*by, "b", "v")
     rows = seen.unionByName(more)
@@ -131,7 +213,28 @@ def bootstrap_population(df: DataFrame, value: str, statistic: str | Callable, o
     return importable(rows).groupBy(*by, "b").applyInPandas(one, schema)
 
 
-def bootstrap(df: DataFrame, value: str, statistic: str | Callable = "mean", order: Sequence[str] = (), samples: int = 10_000, method: str = "random", alpha: float = 0.05, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+def _callback_population(df: DataFrame, value: str, statistic: str | Callable, order: Sequence[str], samples: int, method: Callable, by: list[str], seed: int) -> DataFrame:
+    """Resamples by the caller's routine. A group's values, in order, are one array; its resamples are dealt out in blocks of CALLS, each seeded by its number."""
+    of = {"mean": np.mean, "variance": lambda x: np.var(x, ddof=1), "standard_deviation": lambda x: np.std(x, ddof=1), "median": np.median, "min": np.min, "max": np.max, "sum": np.sum}
+    run = statistic if callable(statistic) else of[statistic]
+    ranked = _ranked(df, value, order, by)
+    arrays = ranked.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))
+    calls = arrays.select(*by, "x", F.explode(F.sequence(F.lit(1), F.lit(samples), F.lit(CALLS))).alias("from")).repartition(*by, "from")
+    schema = T.StructType([*[arrays.schema[c] for c in by], T.StructField("b", T.IntegerType()), T.StructField("statistic", T.DoubleType())])
+
+    def each(parts):
+        for part in parts:
+            rows = []
+            for row in part.to_dict("records"):
+                x = np.asarray(row["x"], float)
+                for b in range(row["from"], min(row["from"] + CALLS, samples + 1)):
+                    rows.append([*[row[c] for c in by], b, float(run(x if b == 1 else np.asarray(method(x.copy(), _generator(seed, b)), float)))])
+            yield pd.DataFrame(rows, columns=[*by, "b", "statistic"])
+
+    return importable(calls).mapInPandas(each, schema)
+
+
+def bootstrap(df: DataFrame, value: str, statistic: str | Callable = "mean", order: Sequence[str] = (), samples: int = 10_000, method: str | Callable = "random", alpha: float = 0.05, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """by, statistic, bias, standard_error, lower, upper: the interval's ends are the elements floor(alpha n / 2) (at least 1) and n - floor(alpha n / 2) + 1 (at most n) of the sorted population."""
     pop = bootstrap_population(df, value, statistic, order, samples, method, by, seed)
     i = max(1, math.floor(alpha * samples / 2))

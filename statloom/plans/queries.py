@@ -447,6 +447,12 @@ def bootstrap_parametric(spark, sf):
     return rounded(sampling.bootstrap(table(spark, sf, "customer"), "c_acctbal", "mean", (), 100, "random", 0.05, ["c_mktsegment"]), 4)
 
 
+@query()
+def bootstrap_multinomial(spark, sf):
+    """The mean price of all line items, 1000 resamples, by weights of the rows: tested against exact enumeration, as its random numbers are not SQL's."""
+    return rounded(sampling.bootstrap(table(spark, sf, "lineitem"), "l_extendedprice", "mean", ["l_orderkey", "l_linenumber"], 1000, "multinomial", 0.05, ["l_returnflag"]), 4)
+
+
 # --- series ---
 @query("SELECT user_id, ts, event_id, round(lead(value) OVER w - value, 6) AS difference FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lead(1) OVER w = 1")
 def difference(spark, sf):
