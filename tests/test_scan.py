@@ -79,3 +79,25 @@ def test_interpolation_ways_agree(spark, method):
     assert few == one == many
     assert len(few) == 4000
     assert all((few[i] is None) == (i % 50 == 0 or i % 4 == 2) for i in few)
+
+
+@pytest.mark.parametrize("block", [4, 7, 64, 2048])
+def test_all_allan_factors_in_tiles(spark, block):
+    """Tiles of any size against the definition; series of four values and fewer; a series without a name."""
+    import numpy as np
+
+    from statloom.operators import series as S
+
+    d = np.random.default_rng(1)
+    data = {"a": d.normal(size=61), None: d.normal(size=40) + 100, "four": d.normal(size=4), "three": d.normal(size=3)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in data.items() for i, v in enumerate(x)], "g string, i int, v double")
+    got = {(r.g, r.m): (r.tau, r.allan_variance) for r in S.allan_variance(df, "v", ["i"], 0.5, ["g"], block=block).collect()}
+    want = {}
+    for g, x in data.items():
+        n = len(x)
+        for m in range(1, n // 2):
+            mean = [x[j : j + m].mean() for j in range(n - m + 1)]
+            want[g, m] = (m * 0.5, sum((mean[j + m] - mean[j]) ** 2 for j in range(n - 2 * m + 1)) / (2 * (n - 2 * m + 1)))
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
