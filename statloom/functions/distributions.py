@@ -1,7 +1,7 @@
 """Probability distributions. Parameters and arguments may be numbers or columns.
 
-``pdf``, ``cdf``, ``sf`` (upper tail) and ``ppf`` take a number or a column and
-return the same kind; if a parameter is a column, so is the result.
+``pdf``, ``cdf``, ``sf`` (upper tail) and ``ppf`` take a number, an array or a column
+and return the same kind; if a parameter is a column, so is the result.
 """
 
 from __future__ import annotations
@@ -53,7 +53,15 @@ class Distribution:
 
     def ppf(self, p: Number):
         """Inverse of the cdf, by halving; the ends of the range at 0 and 1, nan outside. As given here for distributions of positive numbers."""
-        return self._ends(p, K.invert_positive(of(p, *vars(self).values()), self.cdf, self.sf, p, self._most()))
+        k = of(p, *vars(self).values())
+        if k is K.COL:
+            return self._by_arrow("ppf", p)
+        return self._ends(p, K.invert_positive(k, self.cdf, self.sf, p, self._most()))
+
+    def _by_arrow(self, method: str, x: Number):
+        """A method of columns, by this family's same method of arrays."""
+        family = type(self)
+        return K.by_arrow(lambda x, *params: getattr(family(*params), method)(x), x, *vars(self).values())
 
     def _most(self) -> Number | None:
         """A number that quantiles are known to be below, where the cdf costs more the larger its argument is."""
@@ -61,22 +69,16 @@ class Distribution:
 
     def _ends(self, p: Number, inside: Number):
         """``inside``, but for p that are not between 0 and 1."""
-        k = of(p, inside)
         low = 0.0 if self.defined_range()[0] == 0 else -math.inf
-        if k is K.NUM:
+        if of(p, inside) is K.NUM:
             return inside if 0 < p < 1 else low if p == 0 else math.inf if p == 1 else math.nan
-        q = p if isinstance(p, Column) else F.lit(float(p))
-        return F.when((q > 0) & (q < 1), inside).when(q == 0, F.lit(low)).when(q == 1, F.lit(math.inf)).when(q.isNotNull(), F.lit(math.nan))
+        return np.where((p > 0) & (p < 1), inside, np.where(p == 0, low, np.where(p == 1, math.inf, math.nan)))
 
     def _two_sided(self, p: Number, tail, *params: Number):
         """Quantile of a distribution that is symmetric around 0, from its upper tail."""
-        k = of(p)
-        q = k.minimum(p, 1 - p)
-        x = K.invert_tail(of(p, *params), tail, q)
-        if of(x) is K.NUM:
-            return self._ends(p, x if p > 0.5 else -x if p < 0.5 else 0.0)
-        r = p if isinstance(p, Column) else F.lit(float(p))
-        return self._ends(p, F.when(r > 0.5, x).when(r < 0.5, -x).otherwise(0.0))
+        k = of(p, *params)
+        x = K.invert_tail(k, tail, k.minimum(p, 1 - p))
+        return self._ends(p, k.where(p > 0.5, x, k.where(p < 0.5, -x, 0.0)))
 
     standardized_variable = ppf
 
@@ -87,6 +89,8 @@ class TDistribution(Distribution):
 
     def pdf(self, x):
         k, v = of(self.dof, x), self.dof
+        if k is K.COL:
+            return self._by_arrow("pdf", x)
         return k.exp(k.lgamma((v + 1) / 2) - k.lgamma(v / 2) - 0.5 * k.log(v * math.pi) - (v + 1) / 2 * k.log(1 + x * x / v))
 
     def cdf(self, x):
@@ -100,6 +104,8 @@ class TDistribution(Distribution):
         return k.where(x > 0, tail, 1 - tail)
 
     def ppf(self, p):
+        if of(p, self.dof) is K.COL:
+            return self._by_arrow("ppf", p)
         return self._two_sided(p, lambda x: 0.5 * K.two_sided_t(x, self.dof), self.dof)
 
     standardized_variable = ppf
@@ -155,14 +161,12 @@ class NormalDistribution(Distribution):
         return NormalDistribution(self.standard_deviation, x)
 
     def ppf(self, p):
-        z = NormalDistribution._standard(p)
+        z = NormalDistribution()._by_arrow("ppf", p) if isinstance(p, Column) else NormalDistribution._standard(p)
         return self.mean_value + self.standard_deviation * z
 
     @staticmethod
     def _standard(p):
-        k = of(p)
-        half = 0.5 if k is K.NUM else F.lit(0.5)
-        return NormalDistribution()._two_sided(p, lambda x: 0.5 * K.gamma_q(half, x * x / 2))
+        return NormalDistribution()._two_sided(p, lambda x: 0.5 * K.gamma_q(0.5, x * x / 2))
 
     standardized_variable = ppf
 
@@ -174,6 +178,8 @@ class FDistribution(Distribution):
 
     def pdf(self, x):
         k, a, b = of(self.d1, self.d2, x), self.d1, self.d2
+        if k is K.COL:
+            return self._by_arrow("pdf", x)
         z = k.maximum(x, 1e-300)
         logs = a / 2 * k.log(a) + b / 2 * k.log(b) + (a / 2 - 1) * k.log(z) - (a + b) / 2 * k.log(a * z + b) - k.lgamma(a / 2) - k.lgamma(b / 2) + k.lgamma((a + b) / 2)
         return k.where(x < 0, 0.0, k.exp(logs))
@@ -215,6 +221,8 @@ class ChiSquaredDistribution(Distribution):
 
     def pdf(self, x):
         k, v = of(self.dof, x), self.dof
+        if k is K.COL:
+            return self._by_arrow("pdf", x)
         z = k.maximum(x, 1e-300)
         return k.where(x < 0, 0.0, k.exp((v / 2 - 1) * k.log(z) - z / 2 - v / 2 * math.log(2) - k.lgamma(v / 2)))
 
@@ -252,6 +260,8 @@ class BinomialDistribution(Distribution):
 
     def pdf(self, x):
         k = of(self.n, self.p, x)
+        if k is K.COL:
+            return self._by_arrow("pdf", x)
         return k.exp(k.lgamma(self.n + 1) - k.lgamma(x + 1) - k.lgamma(self.n - x + 1) + x * k.log(self.p) + (self.n - x) * k.log(1 - self.p))
 
     def cdf(self, x):
@@ -339,6 +349,8 @@ class PoissonDistribution(Distribution):
 
     def pdf(self, x):
         k = of(self.occurrence_rate, x)
+        if k is K.COL:
+            return self._by_arrow("pdf", x)
         return k.exp(x * k.log(self.occurrence_rate) - self.occurrence_rate - k.lgamma(x + 1))
 
     def cdf(self, x):

@@ -322,7 +322,8 @@ _GRID = "(SELECT p_partkey, p_size::BIGINT AS id FROM part)"
 
 
 def parts(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("id"))
+    """Dealt over all cores: a row takes far more work than its bytes, by which files are split, tell."""
+    return table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("id")).repartition(spark.sparkContext.defaultParallelism, "p_partkey")
 
 
 @query(f"SELECT p_partkey, id, round(exp(lgamma((id + 1) / 2.0) - lgamma(id / 2.0) - 0.5 * ln(id * pi()) - (id + 1) / 2.0 * ln(1 + 0.25 * 0.25 * id * id / id)), 8) AS t_pdf, round(1 - 0.5 * {S.two_sided_t('id * 0.25', 'id')}, 8) AS t_cdf, round(exp(-0.5 * (id * 0.1 - 2) ** 2) / sqrt(2 * pi()), 8) AS n_pdf, round(CASE WHEN id > 20 THEN 1 - 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '(id * 0.1 - 2) ** 2 / 2')} END, 8) AS n_cdf, round(1 - {S.f_upper('id * 0.2', '8', '10')}, 8) AS f_cdf, round(exp(0.5 * ln(0.5 * id) * 3 - 0.25 * id - 2.5 * ln(2.0) - lgamma(2.5)), 8) AS c_pdf, round(1 - {S.gamma_q('2.5', '0.25 * id')}, 8) AS c_cdf, round(exp(lgamma(101) - lgamma(id + 1) - lgamma(101 - id) + id * ln(0.25) + (100 - id) * ln(0.75)), 8) AS b_pdf, round({S.ibeta('100 - id', 'id + 1', '0.75')}, 8) AS b_cdf, round(exp(id * ln(12.5) - 12.5 - lgamma(id + 1)), 8) AS p_pdf, round({S.gamma_q('id + 1', '12.5')}, 8) AS p_cdf, round(exp(-0.5 * ((ln(id * 0.5) - 1) / 0.5) ** 2) / (id * 0.5 * 0.5 * sqrt(2 * pi())), 8) AS l_pdf, round(exp(4 * ln(8.0) + 5 * ln(10.0) + 3 * ln(id * 0.2) - 9 * ln(8 * id * 0.2 + 10) - lgamma(4) - lgamma(5) + lgamma(9)), 8) AS f_pdf, round(CASE WHEN ln(id * 0.5) > 1 THEN 1 - 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} ELSE 0.5 * {S.gamma_q('0.5', '((ln(id * 0.5) - 1) / 0.5) ** 2 / 2')} END, 8) AS l_cdf FROM {_GRID}")
