@@ -83,26 +83,39 @@ def _ranked(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str],
     return ordered_scan(rows, [f"__o{i}" for i in range(len(order))], by, rank="__i", size="n", piece_rows=piece_rows).select(*by, (F.col("__i") - 1).alias("i"), "v", "n")
 
 
+#: Draws in one row of work.
+PIECE_DRAWS = 1 << 14
+
+
+def _draws(groups: DataFrame, first: int, samples: int, piece: int = PIECE_DRAWS) -> DataFrame:
+    """The rows of ``groups``, each for b from ``first`` and i from 0 to n - 1: pieces of draws are dealt evenly over the tasks before they become rows."""
+    spark = groups.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pieces = groups.filter((F.col("n") > 0) & F.lit(samples > 0)).select("*", F.explode(F.sequence(F.lit(first), F.lit(max(first, first + samples - 1)))).alias("b"))
+    pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(piece).cast("long"))).alias("__from"))
+    upto = F.least(F.col("__from") + (piece - 1), F.col("n") - 1)
+    return pieces.repartition(tasks).select("*", F.explode(F.sequence("__from", upto)).alias("i")).drop("__from")
+
+
 def resample(df: DataFrame, value: str, order: Sequence[str], samples: int, by: Sequence[str] = (), seed: int = 0, first: int = 1) -> DataFrame:
     """by, b, i, v: ``samples`` resamples with replacement, numbered from ``first``. Draw i of resample b is row floor(u n) in ``order``.
 
-    Draws are rows, joined to the values on their place: the work is samples times n rows, spread over (b, i).
+    Draws are rows that are made all over the tasks from the sizes of the groups, and shuffled to the values on their
+    places. Their number is not known to the planner, which would broadcast them.
     """
     by = list(by)
-    base = _ranked(df, value, order, by)
-    draws = base.select(*by, "i", "n", F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("b"))
+    sizes = df.groupBy(*by).agg(F.count(F.col(value)).alias("n"))
+    draws = _draws(sizes, first, samples)
     draws = draws.withColumn("at", F.floor(uniform(seed, F.col("b"), F.col("i")) * F.col("n")).cast("long"))
-    values = base.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("i").alias("at"), "v")
+    values = _ranked(df, value, order, by).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("i").alias("at"), "v").hint("shuffle_hash")
     return draws.join(values, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], draws["at"] == values["at"]]).select(*by, "b", "i", "v")
 
 
 def random_resample(df: DataFrame, value: str, samples: int, by: Sequence[str] = (), seed: int = 0, first: int = 1) -> DataFrame:
     """by, b, i, v: resamples of n normal draws with the mean and deviation of the group."""
     v = F.col(value).cast("double")
-    s = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("s")).filter("n > 0")
-    s = s.select(*by, "n", "m", "s", F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("b"))
-    s = s.select(*by, "b", "m", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    return s.select(*by, "b", "i", (F.col("m") + F.col("s") * standard_normal(seed, F.col("b"), F.col("i"))).alias("v"))
+    s = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("s"))
+    return _draws(s, first, samples).select(*by, "b", "i", (F.col("m") + F.col("s") * standard_normal(seed, F.col("b"), F.col("i"))).alias("v"))
 
 
 #: Calls of a resampling routine in one row of work.

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.errors import InvalidArgumentError
 from statloom.operators import sampling as S
@@ -76,3 +77,22 @@ def test_own_resampling(spark):
     again = {(r.g, r.b): r.statistic for r in S.bootstrap_population(df.repartition(5), "v", breaks, ["i"], 150, blocks, ["g"], 3).collect()}
     assert again == {(r.g, r.b): r.statistic for r in got}
     assert S.bootstrap(df, "v", "median", ["i"], 60, blocks, by=["g"]).count() == 2
+
+
+def test_draws_are_not_broadcast(spark):
+    """The planner takes the rows of an explode for as few as those before it: the draws went to the driver to be broadcast."""
+    df = spark.range(3000).selectExpr("id", "id % 3 AS g", "cast(id AS double) AS v")
+    got = S.resample(df, "v", ["id"], 40, ["g"], 1)
+    plan = got._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    assert got.count() == 120_000 and got.select("g", "b", "i").distinct().count() == 120_000
+    assert S.resample(df, "v", ["id"], 0, ["g"], 1).count() == 0
+
+
+def test_draws_are_dealt_over_the_tasks(spark):
+    """All draws of a group, or of all groups, used to be made by one task."""
+    df = spark.range(50_000).selectExpr("id", "cast(id AS double) AS v")
+    for got in (S.random_resample(df, "v", 8), S._draws(df.groupBy().count().withColumnRenamed("count", "n"), 1, 8)):
+        held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 400_000 and len(held) == 4 and max(held) < 200_000
+        assert got.select("b", "i").distinct().count() == 400_000
