@@ -1,7 +1,8 @@
 """Bounded, weighted Levenberg-Marquardt least squares, one fit per group.
 
 :func:`nonlinear_least_squares` takes a numpy model and runs each group's points in
-one task: for many groups of moderate size. :func:`distributed_least_squares` takes
+one task, up to GROUP_ROWS of them; larger groups take steps by aggregates too, to which
+each task adds sums of its rows. :func:`distributed_least_squares` takes
 a model of columns, for groups of any size: a step is one aggregate over the data
 (the squared residuals, J'WJ and J'Wr, with the Jacobian as expressions), of which
 only these few numbers per group reach the driver, where the step is solved. All
@@ -10,7 +11,7 @@ groups step together; those that have converged drop out of the aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Generator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -194,11 +195,12 @@ def _coefficients(params: np.ndarray, covariance: np.ndarray, n: int, squares: f
     return out
 
 
-def nonlinear_least_squares(df: DataFrame, model: Model, x: str, y: str, params: Sequence[float], weight: str | None = None, by: Sequence[str] = (), lower: Sequence[float] | None = None, upper: Sequence[float] | None = None, controls: IterationControls | None = None, options: SolverOptions | None = None, alpha: float = 0.05) -> DataFrame:
+def nonlinear_least_squares(df: DataFrame, model: Model, x: str, y: str, params: Sequence[float], weight: str | None = None, by: Sequence[str] = (), lower: Sequence[float] | None = None, upper: Sequence[float] | None = None, controls: IterationControls | None = None, options: SolverOptions | None = None, alpha: float = 0.05, group_rows: int | None = None) -> DataFrame:
     """A fit per group: by, parameter, estimate, standard_error, t_statistic, probability, confidence_interval, iterations, converged.
 
-    Rows with a null are left out. A group's points run in one task; fits of many
-    groups run side by side.
+    Rows with a null are left out. The points of a group of up to ``group_rows`` rows
+    (GROUP_ROWS) run in one task; fits of many groups run side by side. Larger groups are
+    never in one task: see :func:`_large`. Their passes read ``df`` again.
     """
     by = list(by)
     cols = [F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")]
@@ -212,7 +214,86 @@ def nonlinear_least_squares(df: DataFrame, model: Model, x: str, y: str, params:
         return pd.DataFrame([[*keys, i, float(p), *s.values(), got.iterations, bool(got.converged_on)] for i, (p, s) in enumerate(zip(got.params, statistics(got, alpha), strict=True))], columns=[*by, *names])
 
     kinds = [T.IntegerType(), *[T.DoubleType()] * 5, T.IntegerType(), T.BooleanType()]
-    return importable(rows).groupBy(*by).applyInPandas(one, T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
+    schema = T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+    most = GROUP_ROWS if group_rows is None else group_rows
+    large = [tuple(r)[:-1] for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).collect()]
+    if not large:
+        return importable(rows).groupBy(*by).applyInPandas(one, schema)
+    keys = rows.sparkSession.createDataFrame([(*key, i) for i, key in enumerate(large)], _keyed(rows, by))
+    on = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+    found = _large(rows.join(F.broadcast(keys), on) if by else rows.crossJoin(keys), model, large, params, lower, upper, controls, options)
+    out = []
+    for key, f in zip(large, found, strict=True):
+        stats = _coefficients(f.at.p, np.linalg.pinv(f.at.h, rcond=1e-14, hermitian=True), f.at.n, f.at.squares, alpha)
+        out += [(*key, i, float(f.at.p[i]), *map(float, s.values()), f.iterations, bool(f.converged_on)) for i, s in enumerate(stats)]
+    fits = rows.sparkSession.createDataFrame(out, schema)
+    return fits.unionByName(importable(rows.join(F.broadcast(keys), on, "left_anti")).groupBy(*by).applyInPandas(one, schema)) if by else fits
+
+
+#: Points of a group that one task fits: some hundreds of MB with their Jacobian.
+GROUP_ROWS = 1 << 20
+#: Points whose sums a task makes at once.
+SUM_ROWS = 1 << 16
+
+
+def _keyed(rows: DataFrame, by: list[str]) -> T.StructType:
+    return T.StructType([*[T.StructField(f"__by{i}", rows.schema[b].dataType) for i, b in enumerate(by)], T.StructField("__k", T.IntegerType())])
+
+
+def _sums(model: Model, q: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """n, weighted and plain squares, J'WJ and J'Wr of some points: those of a group add up."""
+    step = CENTRAL_STEP * np.maximum(np.abs(q), 1.0)
+    j = np.empty((len(x), len(q)))
+    for i, e in enumerate(np.diag(step)):
+        j[:, i] = (np.asarray(model(x, q + e), float) - np.asarray(model(x, q - e), float)) / (2 * step[i])
+    r = y - np.asarray(model(x, q), float)
+    return np.concatenate([[len(x), w @ (r * r), r @ r], (j.T @ (w[:, None] * j)).ravel(), j.T @ (w * r)])
+
+
+def _large(rows: DataFrame, model: Model, keys: list[tuple], params: Sequence[float], lower, upper, controls: IterationControls | None, options: SolverOptions | None) -> list[Found]:
+    """Fits of groups of any size, numbered by ``__k``. In a pass each task sums up its rows, SUM_ROWS at a time, and sends one row per group."""
+    c, o, p = controls or IterationControls(), options or SolverOptions(), len(params)
+    lo, hi = (np.full(p, e) if v is None else np.asarray(v, float) for v, e in ((lower, -np.inf), (upper, np.inf)))
+    if len(lo) != p or len(hi) != p:
+        raise ArraySizeError("arrays of other sizes than expected")
+    if o.method not in (LEVENBERG_MARQUARDT_UPDATE, QUADRATIC_UPDATE, NIELSEN_UPDATE):
+        raise InvalidInputError("an unknown update method")
+    _check_controls(c)
+    columns = [f"s{i}" for i in range(3 + p * p + p)]
+    schema = T.StructType([T.StructField("__k", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in columns]])
+    points = importable(rows.select("__k", "__x", "__y", "__w"))
+
+    def run(asked: dict[int, np.ndarray]) -> dict[int, Point]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            held, size = [], 0
+
+            def add() -> None:
+                m = np.concatenate(held)
+                for k in np.unique(m[:, 0]).astype(int):
+                    own = m[m[:, 0] == k]
+                    total[k] = total.get(k, 0.0) + _sums(model, asked[k], own[:, 1].copy(), own[:, 2].copy(), own[:, 3].copy())
+
+            for batch in batches:
+                held.append(batch.to_numpy(float))
+                size += len(batch)
+                if size >= SUM_ROWS:
+                    add()
+                    held, size = [], 0
+            if size:
+                add()
+            if total:
+                yield pd.DataFrame([[k, *v] for k, v in total.items()], columns=["__k", *columns])
+
+        going = points if len(asked) == len(keys) else points.filter(F.col("__k").isin(list(asked)))
+        out = {}
+        for row in going.mapInPandas(each, schema).groupBy("__k").agg(*[F.sum(s).alias(s) for s in columns]).collect():
+            v = np.array(row[1:], float)
+            out[row[0]] = Point(asked[row[0]], int(v[0]), float(v[1]), float(v[2]), v[3 : 3 + p * p].reshape(p, p), v[3 + p * p :])
+        return out
+
+    found = _searches({k: search(np.array(params, float), lo, hi, c, o) for k in range(len(keys))}, run)
+    return [found[k] for k in range(len(keys))]
 
 
 # --- fits of any size ---
@@ -331,6 +412,24 @@ def _pass(rows: DataFrame, model: ColumnModel, by: list[str], asked: dict[tuple,
     return out
 
 
+def _searches(going: dict, run: Callable[[dict], dict]) -> dict:
+    """All searches step together: ``run`` makes one pass over the data for the parameters that are asked for."""
+    asked = {k: next(g) for k, g in going.items()}
+    found: dict = {}
+    while asked:
+        seen = run(asked)
+        missing = [k for k in asked if k not in seen]
+        if missing:  # a frame without rows
+            raise UnderdefinedProblemError("fewer points than parameters")
+        for k in list(asked):
+            try:
+                asked[k] = going[k].send(seen[k])
+            except StopIteration as end:
+                found[k] = end.value
+                del asked[k]
+    return found
+
+
 INFO = T.StructType([T.StructField(n, k()) for n, k in (("converge_on_gradient", T.BooleanType), ("gradient_value", T.DoubleType), ("converge_on_solution_change", T.BooleanType), ("solution_change_value", T.DoubleType), ("converge_on_residual_parameter", T.BooleanType), ("residual_value", T.DoubleType), ("reach_iteration_limit", T.BooleanType), ("reach_function_evaluation_limit", T.BooleanType), ("user_requested_stop", T.BooleanType), ("iteration_count", T.IntegerType), ("function_evaluation_count", T.IntegerType))])
 
 
@@ -362,19 +461,7 @@ def distributed_least_squares(df: DataFrame, model: ColumnModel, x: str | Sequen
         raise InvalidInputError("an unknown update method")
     _check_controls(c)
     going = {k: search(q, lo, hi, c, o, None if update is None else (lambda it, at, k=k: update(k, it, at))) for k, q in start.items()}
-    asked = {k: next(g) for k, g in going.items()}
-    found: dict[tuple, Found] = {}
-    while asked:
-        seen = _pass(rows, model, by, asked, len(names))
-        missing = [k for k in asked if k not in seen]
-        if missing:  # a frame without rows
-            raise UnderdefinedProblemError("fewer points than parameters")
-        for k in list(asked):
-            try:
-                asked[k] = going[k].send(seen[k])
-            except StopIteration as end:
-                found[k] = end.value
-                del asked[k]
+    found = _searches(going, lambda asked: _pass(rows, model, by, asked, len(names)))
     out = []
     for k, f in found.items():
         covariance = np.linalg.pinv(f.at.h, rcond=1e-14, hermitian=True)

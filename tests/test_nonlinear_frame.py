@@ -108,3 +108,22 @@ def test_stops_and_errors(spark, monkeypatch):
     with pytest.raises(InvalidArgumentError):
         N.distributed_least_squares(df, decay, ["x", "z"], "y", [1.0, 1.0, 1.0], by=["g"])
     assert N.distributed_least_squares(df.limit(0), decay, ["x", "z"], "y", [1.0, 1.0, 1.0], by=["g"]).count() == 0
+
+
+def test_large_groups_are_not_in_one_task(spark):
+    """Groups above the limit are fitted by sums of all tasks, and as they are in memory; a null key is a group."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0.5, 4, 6000)
+    keys = ["a" if i % 2 else None if i % 10 else "few" for i in range(6000)]
+    y = 3 * np.exp(-0.7 * x) + rng.normal(0, 0.01, 6000)
+    df = spark.createDataFrame(list(zip(keys, map(float, x), map(float, y), strict=True)) + [("a", None, 1.0)], "g string, x double, y double").repartition(5)
+    model = lambda x, p: p[0] * np.exp(p[1] * x)
+    controls = N.IterationControls(residual_tolerance=1e-12, change_in_solution_tolerance=1e-9)
+    how = dict(by=["g"], controls=controls)
+    want = {(r.g, r.parameter): r for r in N.nonlinear_least_squares(df, model, "x", "y", [1.0, -0.1], **how).collect()}
+    fits = N.nonlinear_least_squares(df, model, "x", "y", [1.0, -0.1], group_rows=1000, **how)
+    got = {(r.g, r.parameter): r for r in fits.collect()}
+    assert set(got) == set(want) and len(got) == 6
+    for k, r in got.items():
+        assert r.converged and r.estimate == pytest.approx(want[k].estimate, rel=1e-6) and r.standard_error == pytest.approx(want[k].standard_error, rel=1e-4)
+    assert N.nonlinear_least_squares(df, model, "x", "y", [1.0, -0.1], controls=controls, group_rows=1000).count() == 2
