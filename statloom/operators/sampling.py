@@ -135,27 +135,39 @@ def _generator(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(np.random.SeedSequence([k & (2**64 - 1) for k in key])))
 
 
-def block_draws(n: int, block: int, size: int, seed: int, b: int) -> int:
-    """How many of the ``n`` draws of resample ``b`` fall into a block of ``size`` rows: the draws are split between halves of the blocks by binomial numbers, from the whole down to this block. Every task finds the same splits from the seed alone."""
-    lo, hi, draws = 0, -(-n // size), n
+#: Resamples whose draws are split at once.
+CHUNK = 1024
+
+
+def chunk_draws(n: int, block: int, size: int, seed: int, chunk: int) -> np.ndarray:
+    """How many of the ``n`` draws of each resample of a chunk fall into a block of ``size`` rows: the draws are split between halves of the blocks by binomial numbers, from the whole down to this block. Every task finds the same splits from the seed alone."""
+    lo, hi, draws = 0, -(-n // size), np.full(CHUNK, n, np.int64)
     node = 1
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rows, left = min(hi * size, n) - lo * size, min(mid * size, n) - lo * size
-        k = int(_generator(seed, b, node).binomial(draws, left / rows))
+        k = _generator(seed, chunk, node).binomial(draws, left / rows)
         lo, hi, draws, node = (lo, mid, k, 2 * node) if block < mid else (mid, hi, draws - k, 2 * node + 1)
     return draws
 
 
+def block_draws(n: int, block: int, size: int, seed: int, b: int) -> int:
+    """:func:`chunk_draws` of one resample."""
+    return int(chunk_draws(n, block, size, seed, b // CHUNK)[b % CHUNK])
+
+
 def _weighted(part: pd.DataFrame, first: int, last: int, seed: int, block: int) -> np.ndarray:
     """b, draws, sum and sum of squares of the deviations from the group's mean, per resample, of one block of rows in their order."""
     d = part["v"].to_numpy() - part["c"].to_numpy()
+    both = np.stack([d, d * d])
     n, at = int(part["n"].iloc[0]), int(part["block"].iloc[0])
+    kind = np.uint16 if len(d) <= 1 << 16 else np.int64
     out = np.empty((last - first + 1, 4))
     for i, b in enumerate(range(first, last + 1)):
-        draws = block_draws(n, at, block, seed, b)
-        w = np.bincount(_generator(seed, b, at, 7).integers(0, len(d), draws), minlength=len(d))
-        out[i] = b, draws, w @ d, w @ (d * d)
+        if i == 0 or b % CHUNK == 0:
+            draws = chunk_draws(n, at, block, seed, b // CHUNK)
+        w = np.bincount(_generator(seed, b, at, 7).integers(0, len(d), draws[b % CHUNK], dtype=kind), minlength=len(d))
+        out[i] = b, draws[b % CHUNK], *(both @ w.astype(float))
     return out
 
 
@@ -163,7 +175,7 @@ def multinomial_population(df: DataFrame, value: str, statistic: str, order: Seq
     """by, b, statistic of ``samples`` resamples with replacement, without a row per draw.
 
     Rows are numbered in ``order`` and cut into blocks. How many draws a block
-    gets follows from the seed (:func:`block_draws`); within a block each row gets
+    gets follows from the seed (:func:`chunk_draws`); within a block each row gets
     a weight, and a weighted statistic is a few sums. Only these, samples times
     blocks of them, are shuffled. The result depends on seed, order and ``block``, not
     on the partitioning. Nulls are left out.

@@ -96,3 +96,15 @@ def test_draws_are_dealt_over_the_tasks(spark):
         held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(held) == 400_000 and len(held) == 4 and max(held) < 200_000
         assert got.select("b", "i").distinct().count() == 400_000
+
+
+def test_a_block_splits_its_draws_once(monkeypatch):
+    """Each block used to walk down the tree anew for each resample: generators went with resamples times levels."""
+    made = []
+    real = S._generator
+    monkeypatch.setattr(S, "_generator", lambda *key: made.append(key) or real(*key))
+    rows = np.random.default_rng(1).normal(size=64)
+    part = S.pd.DataFrame({"v": rows, "c": rows.mean(), "n": 64 * 1000, "block": 17})
+    got = S._weighted(part, 2, 1500, 5, 64)
+    assert got[:, 0].tolist() == list(range(2, 1501)) and len(made) <= 1499 + 2 * 10
+    assert got[:, 1].mean() == pytest.approx(64, abs=1.5) and [S.block_draws(64_000, 17, 64, 5, b) for b in (2, 1023, 1024, 1500)] == [got[b - 2, 1] for b in (2, 1023, 1024, 1500)]
