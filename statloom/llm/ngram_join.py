@@ -13,10 +13,11 @@ and a pair goes on if
 
 then the two whole sets are compared, once per pair.
 
-Equal sets are one set from the start. Texts that hang together are found first
-by rounds that are linear in the prefix n-grams: every set of an n-gram meets the
-most alike of a few of them. Only between sets of different components that still share an n-gram are
-all pairs formed, none left out, so the components are exact.
+Equal sets are one set from the start. Where many sets share an n-gram, texts that
+hang together are found first by rounds that are linear in the prefix n-grams: every
+set of such an n-gram meets the most alike of a few of them. All pairs are formed, none left out,
+of the sets that share an n-gram with few others, and of those of different components that
+still share a frequent one, so the components are exact.
 """
 
 from __future__ import annotations
@@ -42,12 +43,14 @@ CLASSES = 64
 PIECE = 2048
 #: N-grams of a cell from which on the rows of one n-gram are dealt into pieces, and how many.
 HOT_CELL, PIECES = 1 << 20, 64
-#: Sets that are looked up by a broadcast of their texts' keys at most.
-BROADCAST_SETS = 250_000
+#: Sets that are looked up by a broadcast of their texts' keys at most, and pairs that are sent to their sets instead of sets to pairs.
+BROADCAST_SETS, BROADCAST_PAIRS = 250_000, 1 << 19
 #: Bits of a set's sketch, in words of 64, and sets of an n-gram that the others choose from in a round.
-SKETCH, HUBS = 4, 4
+SKETCH, HUBS = 8, 4
+#: Rows of an n-gram up to which all its pairs are formed at once; rounds are for the others.
+FEW = 16
 #: Rounds go on as long as they leave at most this share of the components.
-PROGRESS = 0.7
+PROGRESS = 0.9
 #: Rows of an Arrow batch that Python returns.
 OUT_ROWS = 1 << 16
 
@@ -135,11 +138,15 @@ def profile(s: np.ndarray, common: np.ndarray, t: Threshold) -> np.ndarray:
 def _whole_sets(batches: Iterator[pa.RecordBatch], words: int, t: Threshold, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """key, s (the set), p (its profile)."""
     known: dict[bytes, int] = {}
+    done: set[bytes] = set()  # equal rows with equal ids
     for b in batches:
         key, sets, profiles = [], [], []
         for text in b.column("text"):
             s, _ = shingle_hashes(text.as_py(), known, words)
-            key.append(set_key(s))
+            if (k := set_key(s)) in done:
+                continue
+            done.add(k)
+            key.append(k)
             sets.append(s.tobytes())
             profiles.append(profile(s, common, t).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(sets, pa.binary()), pa.array(profiles, pa.binary())], ["key", "s", "p"])
@@ -167,7 +174,7 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[
 def _verify(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"), strict=True)):
+        for i, (x, y) in enumerate(zip(b.column("s_a"), b.column("s_b"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), t):
                 keep.append(i)
@@ -196,25 +203,51 @@ def close_sketches(g: str, n: str, g_: str, n_: str, t: Threshold) -> Column:
 
 
 def shared_prefixes(tokens: DataFrame, t: Threshold) -> DataFrame:
-    """token, h, place, n of the sets that share a prefix n-gram with another, once each. Rows in pieces are not judged: they are frequent."""
+    """token, h, place, n, few of the sets that share a prefix n-gram with another that may be like them, once each; few: the n-gram has at most FEW rows. Rows in pieces are not judged: they are frequent."""
     w = Window.partitionBy("token", "piece")
-    o = w.orderBy("key")
+    o = w.orderBy("n", "key")
     # at the first n-gram that two sets share, the smaller one is in the early part of its prefix
     early = (F.col("n") - F.col("place")) * (t[0] + t[1]) >= F.col("n") * (2 * t[0])
     whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = tokens.select("token", F.col("key").alias("h"), "place", "n", "piece", F.lag("key").over(o).alias("was"), F.first("key").over(whole).alias("lo"), F.last("key").over(whole).alias("hi"), F.max(early).over(whole).alias("early"))
-    return seen.filter(~F.col("h").eqNullSafe(F.col("was")) & ((F.col("piece") >= 0) | ((F.col("lo") != F.col("hi")) & F.col("early")))).select("token", "h", "place", "n")
+    over = {"was": F.lag("key").over(o), "below": F.lag("n").over(o), "above": F.lead("n").over(o), "lo": F.first("key").over(whole), "hi": F.last("key").over(whole), "early": F.max(early).over(whole), "rows": F.count(F.lit(1)).over(whole)}
+    seen = tokens.select("token", F.col("key").alias("h"), "place", "n", "piece", *[c.alias(k) for k, c in over.items()])
+    # if any set passes the filters with this one, then the next one by size does
+    like = (F.col("below").isNotNull() & close_sizes("n", "below", t)) | (F.col("above").isNotNull() & close_sizes("n", "above", t) & ((F.col("n") - F.col("place")) * (t[0] + t[1]) >= (F.col("n") + F.col("above")) * t[0]))
+    pairs = (F.col("lo") != F.col("hi")) & F.col("early") & like
+    return seen.filter(~F.col("h").eqNullSafe(F.col("was")) & ((F.col("piece") >= 0) | pairs)).select("token", "h", "place", "n", ((F.col("piece") < 0) & (F.col("rows") <= FEW)).alias("few"))
+
+
+def _side(df: DataFrame, x: str) -> list[Column]:
+    return [F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("g").alias(f"g{x}")]
+
+
+def _can_link(t: Threshold) -> Column:
+    return (F.col("a") < F.col("b")) & close_sizes("na", "nb", t) & long_behind("na", "pa", "nb", "pb", t) & close_sketches("ga", "na", "gb", "nb", t)
+
+
+def few_pairs(members: DataFrame, t: Threshold) -> DataFrame:
+    """(a, na, pa, b, nb, pb) of the sets that share an n-gram, once for each one. ``members`` has token, place, h, n and g, few rows of a token."""
+    one, two = members.select("token", *_side(members, "a")), members.select(F.col("token").alias("t"), *_side(members, "b"))
+    return one.join(two, (F.col("token") == F.col("t")) & _can_link(t)).select("a", "na", "pa", "b", "nb", "pb")
 
 
 def joined_pairs(members: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, na, pa, b, nb, pb) of sets of different components, each once, with the places of the first n-gram they share. ``members`` has token, place, h, n, c and g."""
+    """The same of sets of different components. ``members`` has c, too, and any number of rows of a token."""
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     of = members.join(sizes.select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "token")
-    one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("h").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"), F.col("g").alias("ga"))
-    two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("h").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"), F.col("g").alias("gb"))
-    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close_sizes("na", "nb", t) & long_behind("na", "pa", "nb", "pb", t) & close_sketches("ga", "na", "gb", "nb", t)
-    first = F.min(F.struct("pa", "pb")).alias("at")
-    return one.join(two, on).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), first).select("a", "na", "at.pa", "b", "nb", "at.pb")
+    one = of.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("c").alias("ca"), *_side(of, "a"))
+    two = of.select(F.col("token").alias("t"), F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("p"), F.col("c").alias("cb"), *_side(of, "b"))
+    on = (F.col("token") == F.col("t")) & (F.col("piece") == F.col("p")) & (F.col("ca") != F.col("cb")) & _can_link(t)
+    return one.join(two, on).select("a", "na", "pa", "b", "nb", "pb")
+
+
+def met(pairs: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """``pairs`` (with a and b) with the columns of ``facts`` (by key) of both, named by _a and _b. ``few``: pairs are sent to the facts, so that these are shuffled only once."""
+    a, b = ([F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in facts.columns if c != "key"]] for x in "ab")
+    if not few:
+        return pairs.join(facts.select(*a), "a").join(facts.select(*b), "b")
+    asked = pairs.select(F.col("b").alias("key")).distinct()
+    return facts.select(*a).join(F.broadcast(pairs), "a").join(facts.join(F.broadcast(asked), "key", "left_semi").select(*b), "b")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Threshold = THRESHOLD) -> DataFrame:
@@ -247,11 +280,11 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     hot = HOT_CELL
     tokens = map_rows(base.select("text"), lambda it: _prefix_rows(it, words, t, common, hot), "token long, piece long, place long, key binary, n long")
     info = sets.select(F.col("key").alias("h"), "g")
-    now = written(shared_prefixes(tokens, t).join(info, "h").withColumn("c", F.col("h")))
+    every = written(shared_prefixes(tokens, t).join(info, "h"))
     whole, tried = None, None
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """key, s, p of the sets in ``pairs``, each made from one text the first time that it is asked for."""
+        """key, s, p of the sets in ``pairs`` and of earlier ones, each made from one text the first time that it is asked for."""
         nonlocal whole
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         if whole is not None:
@@ -259,49 +292,57 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         wanted = written(asked.join(sets, "key").select(F.col("text.h").alias("h_"), F.col("text.doc_id").alias("id_")))
         few = wanted.count() <= BROADCAST_SETS
         one = base.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-        new = map_rows(one.dropDuplicates(["h", "doc_id"]).select("text"), lambda it: _whole_sets(it, words, t, common), "key binary, s binary, p binary")
-        new = written(new)
+        new = written(map_rows(one.select("text"), lambda it: _whole_sets(it, words, t, common), "key binary, s binary, p binary"))
         whole = new if whole is None else whole.unionByName(new)
         return whole
 
     def verified(pairs: DataFrame) -> DataFrame:
-        of = sets_of(pairs)
-        a, b = of.select(F.col("key").alias("a"), F.col("s").alias("sa")), of.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-        return written(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), lambda it: _verify(it, t), "a binary, b binary"))
+        both = met(pairs.select("a", "b"), sets_of(pairs).select("key", "s"), pairs.count() <= BROADCAST_PAIRS)
+        return written(map_rows(both.select("a", "b", "s_a", "s_b"), lambda it: _verify(it, t), "a binary, b binary"))
 
-    label = written(now.select("h", "c").distinct())
+    label = written(every.select("h").distinct().withColumn("c", F.col("h")))
+    now = every.filter("not few").drop("few")
     turn, before = 0, 0
     while True:
-        if turn:  # components only merge: an n-gram whose sets are in one of them is done
-            now = now.drop("c").join(label, "h")
+        # components only merge: an n-gram whose sets are in one of them is done
+        now = now.drop("c").join(label, "h")
+        if turn:
             mixed = written(now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("token", "rows"))
-            now = written(spread_join(now, mixed, ["token"], "rows"))
-        left = now.agg(F.count_distinct("c")).first()[0] if turn else label.count()
+            now = spread_join(now, mixed, ["token"], "rows")
+        now = written(now)
+        left = now.agg(F.count_distinct("c")).first()[0]
         if not left or (turn > 1 and left > PROGRESS * before):
             break
         # some sets of an n-gram and a range of sizes, mostly the same ones for many n-grams, others in each round: every other set meets the one most like it by the sketches
         size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(t[1] / t[0])) + 0.5 * (turn % 2)).alias("size")
         banded = now.select("token", "place", "h", "n", "c", "g", size)
-        hubs = [F.min(F.struct(F.xxhash64("h", F.lit(turn), F.lit(i)).alias("x"), "h", "n", "place", "c", "g")).alias(f"hub{i}") for i in range(HUBS)]
+        # the sets in which the n-gram comes first have the least of their own, so they are like many others
+        rank = [F.col("place") if i < HUBS // 2 else F.lit(0).cast("long") for i in range(HUBS)]
+        hubs = [F.min(F.struct(rank[i].alias("rank"), F.xxhash64("h", F.lit(turn), F.lit(i)).alias("x"), "h", "n", "place", "c", "g")).alias(f"hub{i}") for i in range(HUBS)]
         some = banded.groupBy("token", "size").agg(*hubs, F.count(F.lit(1)).alias("rows"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-        met = spread_join(banded, written(some), ["token", "size"], "rows")
+        choice = spread_join(banded, written(some), ["token", "size"], "rows")
         best = []
         for i in range(HUBS):
             hub = {c: f"hub{i}.{c}" for c in ("h", "n", "place", "c", "g")}
             fits = (F.col("c") != F.col(hub["c"])) & close_sizes("n", hub["n"], t) & long_behind("n", "place", hub["n"], hub["place"], t) & close_sketches("g", "n", hub["g"], hub["n"], t)
             best.append(F.when(fits, F.struct(apart(F.col("g"), F.col(hub["g"])).alias("apart"), F.col(hub["h"]).alias("h"))))
-        near = met.select("h", F.least(*best).alias("hub")).filter("hub is not null").groupBy("h").agg(F.min("hub").alias("hub"))
+        near = choice.select("h", F.least(*best).alias("hub")).filter("hub is not null").groupBy("h").agg(F.min("hub").alias("hub"))
         pairs = near.select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(verified(pairs), label)
         turn, before = turn + 1, left
+    met_at = few_pairs(every.filter("few"), t)
     if left:
-        pairs = written(joined_pairs(now, t).join(tried, ["a", "b"], "left_anti"))
-        of = sets_of(pairs)
-        a, b = of.select(F.col("key").alias("a"), F.col("p").alias("p_a")), of.select(F.col("key").alias("b"), F.col("p").alias("p_b"))
-        close = written(map_rows(pairs.join(a, "a").join(b, "b"), lambda it: _suffix_filter(it, t), "a binary, b binary"))
-        label = components(verified(close), label)
+        met_at = met_at.unionByName(joined_pairs(now, t))
+    pairs = met_at.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.struct("pa", "pb")).alias("at")).select("a", "na", "at.pa", "b", "nb", "at.pb")
+    pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+    if turn:
+        of_a, of_b = label.select(F.col("h").alias("a"), F.col("c").alias("ca")), label.select(F.col("h").alias("b"), F.col("c").alias("cb"))
+        pairs = written(pairs.join(of_a, "a").join(of_b, "b").filter("ca <> cb").drop("ca", "cb"))
+    both = met(pairs, sets_of(pairs).select("key", "p"), pairs.count() <= BROADCAST_PAIRS)
+    close = written(map_rows(both, lambda it: _suffix_filter(it, t), "a binary, b binary"))
+    label = components(verified(close), label)
     # the least id of a component goes back to its sets, then to the rows of each set
     of = written(sets.select("key", "id", "rows").join(label.withColumnRenamed("h", "key"), "key", "left").select("key", "id", "rows", F.coalesce("c", "key").alias("c")))
     least = written(of.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("sets")))
