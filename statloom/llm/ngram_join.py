@@ -227,8 +227,10 @@ def _can_link(t: Threshold) -> Column:
 
 def few_pairs(members: DataFrame, t: Threshold) -> DataFrame:
     """(a, na, pa, b, nb, pb) of the sets that share an n-gram, once for each one. ``members`` has token, place, h, n and g, few rows of a token."""
-    one, two = members.select("token", *_side(members, "a")), members.select(F.col("token").alias("t"), *_side(members, "b"))
-    return one.join(two, (F.col("token") == F.col("t")) & _can_link(t)).select("a", "na", "pa", "b", "nb", "pb")
+    together = members.groupBy("token").agg(F.collect_list(F.struct("h", "n", "place", "g")).alias("sets"))  # FEW at most
+    one = together.filter(F.size("sets") > 1).select("sets", F.explode("sets").alias("x")).select("sets", F.col("x.h").alias("a"), F.col("x.n").alias("na"), F.col("x.place").alias("pa"), F.col("x.g").alias("ga"))
+    two = one.select("a", "na", "pa", "ga", F.explode(F.filter("sets", lambda y: y["h"] > F.col("a"))).alias("y"))
+    return two.select("a", "na", "pa", "ga", F.col("y.h").alias("b"), F.col("y.n").alias("nb"), F.col("y.place").alias("pb"), F.col("y.g").alias("gb")).filter(_can_link(t)).select("a", "na", "pa", "b", "nb", "pb")
 
 
 def joined_pairs(members: DataFrame, t: Threshold) -> DataFrame:
@@ -337,12 +339,19 @@ def _components(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         met_at = met_at.unionByName(joined_pairs(now, t))
     pairs = met_at.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.struct("pa", "pb")).alias("at")).select("a", "na", "at.pa", "b", "nb", "at.pb")
     pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-    if turn:
+
+    def between(pairs: DataFrame) -> DataFrame:
         of_a, of_b = label.select(F.col("h").alias("a"), F.col("c").alias("ca")), label.select(F.col("h").alias("b"), F.col("c").alias("cb"))
-        pairs = written(pairs.join(of_a, "a").join(of_b, "b").filter("ca <> cb").drop("ca", "cb"))
+        return written(pairs.join(of_a, "a").join(of_b, "b").filter("ca <> cb").drop("ca", "cb"))
+
+    pairs = between(pairs) if turn else pairs
     both = met(pairs, sets_of(pairs).select("key", "p"), pairs.count() <= BROADCAST_PAIRS)
     close = written(map_rows(both, lambda it: _suffix_filter(it, t), "a binary, b binary"))
-    label = components(verified(close), label)
+    # a set meets one other first; most of the pairs that are left are within a component then
+    first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    label = components(verified(first), label)
+    rest = between(close.join(first, ["a", "b"], "left_anti"))
+    label = components(verified(rest), label)
     # the least id of a component goes back to its sets, then to the rows of each set
     of = written(sets.select("key", "id", "rows").join(label.withColumnRenamed("h", "key"), "key", "left").select("key", "id", "rows", F.coalesce("c", "key").alias("c")))
     least = written(of.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("sets")))

@@ -117,3 +117,16 @@ def test_filters_let_links_pass(a, b):
     assert su.sum() == len(u) - i - 1
     bits = np.bitwise_count(J.sketch(x).view(np.uint64) ^ J.sketch(y).view(np.uint64)).sum()
     assert bits <= len(x) + len(y) - 2 * both
+
+
+def test_near_copies_of_a_template_make_few_pairs(spark, monkeypatch):
+    """Links to the texts nearest to a template are found in rounds, so the join between components gets few rows; sets of other sizes only are no candidates."""
+    draw, joined, rows = random.Random(3), J.joined_pairs, []
+    monkeypatch.setattr(J, "joined_pairs", lambda *a: rows.append((out := joined(*a)).count()) or out)
+    texts = family(draw, 250, 150, 3)
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == plainly(list(enumerate(texts)))
+    assert sum(rows) < 4 * len(texts)
+    key = [bytes([i]) * 12 for i in range(4)]
+    tokens = spark.createDataFrame([(1, -1, 0, key[0], 100), (1, -1, 0, key[1], 200), (2, -1, 0, key[2], 100), (2, -1, 0, key[3], 110)], "token long, piece long, place long, key binary, n long")
+    assert {bytes(r.h) for r in J.shared_prefixes(tokens, J.THRESHOLD).collect()} == set(key[2:])
